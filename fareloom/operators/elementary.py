@@ -1,15 +1,15 @@
 """Stage 1 (A1-A4, J1, J5, U1, U3, W1): Jevons indices of (sector, carrier, window) cohorts.
 
-All cohorts and all periods are computed by one plan. The pairing of flights is an
-inner join on (cohort, flight, departure, k): ``k`` is part of the join key, so a flight
-that is quoted very often is spread over tasks instead of meeting in one.
+All cohorts and all periods are computed by one plan. Quotes pair on (cohort, flight,
+departure, k): ``k`` is part of the key, so a flight that is quoted very often is spread
+over tasks instead of meeting in one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fareloom.functions import text
@@ -107,6 +107,36 @@ def _narrow(df: DataFrame, sectors: Sequence[str] | None, windows: Sequence[int]
     return df
 
 
+def _against(rows: DataFrame, period: str, base: Callable[[Column, WindowSpec], Column], match: bool,
+             day: str, tie: str, hot_rows: int) -> DataFrame:
+    """A4 in one pass: ``base(value, group)`` gives a row the base period's value in its group.
+
+    The base quote of a pair is fetched by a window over (cohort, flight, k), which holds
+    one row per period, so there is no self-join. One aggregate then gives the counts,
+    the geometric means and the matched mean of every (period, cohort); the base mean is
+    fetched the same way from that small table.
+    """
+    rows = rows.withColumn("usable", F.col("fare") > 0)
+    if match:
+        rows = occurrence_no(rows, [period, *COHORT, *FLIGHT, "usable"], day, tie, hot_rows=hot_rows)
+        pair = Window.partitionBy(*COHORT, *FLIGHT, "usable", "occurrence")
+        rows = rows.withColumn("base_fare", base(F.col("fare"), pair))
+        gap = F.when(F.col("usable"), F.ln("fare") - F.ln("base_fare"))
+    else:
+        gap = F.lit(None).cast("double")
+    grouped = rows.groupBy(period, *COHORT).agg(
+        F.count(F.lit(1)).alias("quotes"), F.avg(F.when(F.col("usable"), F.ln("fare"))).alias("log_mean"),
+        F.count(gap).alias("matched_quote_count"), F.avg(gap).alias("matched_log"))
+    cohort = Window.partitionBy(*COHORT)
+    both = grouped.withColumns({
+        "base_log": base(F.col("log_mean"), cohort), "base_quote_count": base(F.col("quotes"), cohort)})
+    index = F.coalesce(F.exp("matched_log"), jevons(F.col("base_log"), F.col("log_mean")))
+    return both.filter(F.col("base_log").isNotNull() & F.col("log_mean").isNotNull()).select(
+        period, *COHORT, "base_quote_count", F.col("quotes").alias("current_quote_count"), "matched_quote_count",
+        to_places(F.exp("base_log"), 4).alias("base_geometric_mean"),
+        to_places(F.exp("log_mean"), 4).alias("current_geometric_mean"), to_places(index, 6).alias("index_value"))
+
+
 def elementary_indices(
     quotes: DataFrame, period: str, base, fare: str = "total_fare", match: bool = True,
     sectors: Sequence[str] | None = None, windows: Sequence[int] | None = None,
@@ -116,11 +146,8 @@ def elementary_indices(
     extra = [c for c in (day, tie) if c != period]
     rows = _narrow(prepare(quotes, period, fare, extra), sectors, windows)
     is_base = F.col(period) == F.lit(base)
-    pairs = None
-    if match:
-        numbered = number_quotes(rows, [period], day, tie, hot_rows)
-        pairs = match_flights(numbered.filter(is_base).drop(period), numbered, by=[period])
-    return cohort_jevons(rows.filter(is_base).drop(period), rows, by=[period], pairs=pairs)
+    return _against(rows, period, lambda value, group: F.max(F.when(is_base, value)).over(group),
+                    match, day, tie, hot_rows)
 
 
 def elementary_indices_lagged(
@@ -128,18 +155,13 @@ def elementary_indices_lagged(
     match: bool = True, sectors: Sequence[str] | None = None, windows: Sequence[int] | None = None,
     tie: str = "quote_id", hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
-    """A4 for every date against the date ``lag_days`` before it.
-
-    A quote serves its own date as current and a later one as base; the base side is the
-    same rows with the date moved on, so one numbering serves both roles.
-    """
+    """A4 for every date against the date ``lag_days`` before it, by a range frame on the day."""
     rows = _narrow(prepare(quotes, period, fare, [tie]), sectors, windows)
-    moved = F.date_add(F.col(period), lag_days)
-    pairs = None
-    if match:
-        numbered = number_quotes(rows, [period], period, tie, hot_rows)
-        pairs = match_flights(numbered.withColumn(period, moved), numbered, by=[period], base_by=[period])
-    return cohort_jevons(rows.withColumn(period, moved), rows, by=[period], base_by=[period], pairs=pairs)
+
+    def base(value: Column, group: WindowSpec) -> Column:
+        return F.max(value).over(group.orderBy(F.unix_date(period)).rangeBetween(-lag_days, -lag_days))
+
+    return _against(rows, period, base, match, period, tie, hot_rows)
 
 
 def jevons_of_two(base: DataFrame, current: DataFrame, fare: str = "total_fare", match: bool = True,

@@ -11,24 +11,29 @@ from fareloom import constants as C
 from fareloom.functions.numeric import pct_change, to_places
 
 
+def _at_offset(value: str, keys: Sequence[str], order: Column, offset: int) -> Column:
+    """The value exactly ``offset`` units earlier: a range frame of one point, so gaps give
+    null and the series is not joined to itself. Series are one row per key and date."""
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return F.max(value).over(group.orderBy(order).rangeBetween(-offset, -offset))
+
+
+def _month_no(month: str) -> Column:
+    return F.year(month) * 12 + F.month(month)
+
+
 def offset_join(series: DataFrame, offsets: dict[str, int], keys: Sequence[str] = (), date: str = "date",
                 value: str = "value") -> DataFrame:
     """The value so many calendar days earlier, one column per offset (null in gaps)."""
-    out = series
-    for name, days in offsets.items():
-        shifted = series.select(*keys, F.date_add(F.col(date), days).alias(date), F.col(value).alias(name))
-        out = out.join(shifted, [*keys, date], "left")
-    return out
+    return series.withColumns({
+        name: _at_offset(value, keys, F.unix_date(date), days) for name, days in offsets.items()})
 
 
 def month_offset_join(series: DataFrame, offsets: dict[str, int], keys: Sequence[str] = (), month: str = "month",
                       value: str = "value") -> DataFrame:
     """J12 by whole months; ``month`` is the first day of the month."""
-    out = series
-    for name, months in offsets.items():
-        shifted = series.select(*keys, F.add_months(F.col(month), months).alias(month), F.col(value).alias(name))
-        out = out.join(shifted, [*keys, month], "left")
-    return out
+    return series.withColumns({
+        name: _at_offset(value, keys, _month_no(month), months) for name, months in offsets.items()})
 
 
 def daily_changes(series: DataFrame, keys: Sequence[str] = (), date: str = "date", value: str = "value") -> DataFrame:
@@ -46,16 +51,11 @@ def monthly_changes(series: DataFrame, keys: Sequence[str] = (), month: str = "m
     """W10 for months: against the month before, and the year before or, in the first
     year, the first month. The first month of a series changes by 0."""
     joined = month_offset_join(series, {"prev_1": 1, "prev_12": 12}, keys, month, value)
-    start = joined.groupBy(*keys).agg(F.min(month).alias("first_month"),
-                                      F.min_by(value, month).alias("first_value")) if keys else None
-    if keys:
-        joined = joined.join(start, list(keys))
-    else:
-        first = series.agg(F.struct(F.min(month).alias("m"), F.min_by(value, month).alias("v"))).scalar()
-        joined = joined.withColumns({"first_month": first["m"], "first_value": first["v"]})
+    group = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(month)
+    joined = joined.withColumns({"first_month": F.first(month).over(group), "first_value": F.first(value).over(group)})
     now = F.col(value)
     is_first = F.col(month) == F.col("first_month")
-    within_year = F.months_between(F.col(month), F.col("first_month")) < 12
+    within_year = _month_no(month) - _month_no("first_month") < 12
     return joined.withColumns({
         "change_mom_pct": F.when(is_first, 0.0).otherwise(pct_change(now, F.col("prev_1"))),
         "change_yoy_pct": F.when(is_first, 0.0).when(within_year, pct_change(now, F.col("first_value")))
@@ -66,14 +66,13 @@ def monthly_changes(series: DataFrame, keys: Sequence[str] = (), month: str = "m
 def weekly_smooth(series: DataFrame, keys: Sequence[str], days: int = 7, date: str = "date", value: str = "value") -> DataFrame:
     """Mean of the last ``days`` calendar days, which is what daily[0] times the
     mean GEKS vector of a single level series comes to; ``days_observed`` tells gaps."""
-    day_no = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
-    frame = Window.partitionBy(*keys).orderBy(day_no).rangeBetween(-(days - 1), 0)
+    frame = Window.partitionBy(*keys).orderBy(F.unix_date(date)).rangeBetween(-(days - 1), 0)
     smooth = series.withColumns({
         "weekly_value": F.avg(value).over(frame), "days_observed": F.count(value).over(frame),
         "window_start_date": F.date_sub(F.col(date), days - 1),
     })
-    prior = smooth.select(*keys, F.date_add(F.col(date), 7).alias(date), F.col("weekly_value").alias("prior"))
-    return smooth.join(prior, [*keys, date], "left").withColumn(
+    prior = _at_offset("weekly_value", keys, F.unix_date(date), 7)
+    return smooth.withColumn("prior", prior).withColumn(
         "change_wow_pct", pct_change(F.col("weekly_value"), F.col("prior"))).drop("prior")
 
 

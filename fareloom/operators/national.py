@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fareloom import constants as C
@@ -108,7 +108,8 @@ def contributions(cells: DataFrame, omega: DataFrame, by: Sequence[str] = (), im
     """A10: additive shares of the composite by sector, by window and by tier.
 
     One grouping-sets aggregate. ``contribution`` sums to the composite within each
-    dimension; ``level`` is the index of the group itself.
+    dimension; ``level`` is the index of the group itself. The row of dimension ``all``
+    is the composite.
     """
     rows = _observed(cells, omega, by)
     rows = rows.withColumn("part", F.col("omega") * F.col("index_value") * 100.0)
@@ -120,19 +121,18 @@ def contributions(cells: DataFrame, omega: DataFrame, by: Sequence[str] = (), im
           F.grouping("route_tier").alias("no_tier"))
     size = omega.agg(F.count(F.lit(1))).scalar()
     whole = (F.col("no_sector") == 1) & (F.col("no_window") == 1) & (F.col("no_tier") == 1)
-    total = grouped.filter(whole).select(*by, F.col("observed").alias("all_observed"), F.col("cells").alias("all_cells"))
-    parts = grouped.filter(~whole).withColumns({
-        "dimension": F.when(F.col("no_sector") == 0, "sector").when(F.col("no_window") == 0, "window").otherwise("tier"),
-        "member": F.coalesce("sector", F.concat(F.lit("T+"), F.col("advance_days")), "route_tier"),
+    # one period has at most one row per sector, window and tier
+    period = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    joined = grouped.withColumns({
+        "dimension": F.when(whole, "all").when(F.col("no_sector") == 0, "sector")
+        .when(F.col("no_window") == 0, "window").otherwise("tier"),
+        "member": F.coalesce("sector", F.concat(F.lit("T+"), F.col("advance_days")), "route_tier", F.lit("NATIONAL")),
+        "all_observed": F.max(F.when(whole, F.col("observed"))).over(period),
+        "all_cells": F.max(F.when(whole, F.col("cells"))).over(period),
     })
-    if by:
-        joined = parts.join(total, [*by])
-    else:
-        one = total.agg(F.struct(F.first("all_observed").alias("o"), F.first("all_cells").alias("c"))).scalar()
-        joined = parts.withColumns({"all_observed": one["o"], "all_cells": one["c"]})
     scale = F.when((F.col("all_cells") < size) & F.lit(impute), 1.0 / F.col("all_observed")).otherwise(1.0)
     return joined.select(
         *by, "dimension", "member", to_places(F.col("part") * scale, 6).alias("contribution"),
         to_places(F.col("part") / F.col("observed"), 6).alias("level"),
-        to_places("observed", 7).alias("observed_weight"),
+        to_places("observed", 7).alias("observed_weight"), "cells",
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareloom import constants as C
@@ -28,9 +28,8 @@ def route_relatives(usable: DataFrame, lag_days: int = 30, date: str = DATE, **s
 def enough_quotes(usable: DataFrame, lag_days: int = 30, minimum: int = 10, date: str = DATE) -> DataFrame:
     """Dates with at least ``minimum`` quotes on both sides, with the count."""
     counts = usable.groupBy(date).agg(F.count(F.lit(1)).alias("total_quotes"))
-    counts = counts.filter(F.col("total_quotes") >= minimum)
-    base = counts.select(F.date_add(date, lag_days).alias(date))
-    return counts.join(base, date)
+    both = movements.offset_join(counts, {"base_quotes": lag_days}, (), date, "total_quotes")
+    return both.filter((F.col("total_quotes") >= minimum) & (F.col("base_quotes") >= minimum)).drop("base_quotes")
 
 
 def daily_values(usable: DataFrame, omega: DataFrame, lag_days: int = 30, minimum: int = 10, date: str = DATE) -> DataFrame:
@@ -41,21 +40,28 @@ def daily_values(usable: DataFrame, omega: DataFrame, lag_days: int = 30, minimu
 
 
 def daily_index(usable: DataFrame, omega: DataFrame, lag_days: int = 30, minimum: int = 10, date: str = DATE) -> DataFrame:
-    """Index, movements and the breakdown by tier and window, one row per date."""
-    cells = route_relatives(usable, lag_days, date)
-    composite = national.national_laspeyres(cells, omega, by=[date]).join(
-        enough_quotes(usable, lag_days, minimum, date), date)
-    parts = national.contributions(cells, omega, by=[date])
+    """Index, movements and the breakdown by tier and window, one row per date.
+
+    The composite and all its parts come from one grouping-sets aggregate, folded into
+    one row per date.
+    """
+    parts = national.contributions(route_relatives(usable, lag_days, date), omega, by=[date])
+
+    def part(dimension: str, member: str, column: str = "contribution") -> Column:
+        return F.max(F.when((F.col("dimension") == dimension) & (F.col("member") == member), F.col(column)))
+
     wide = parts.groupBy(date).agg(
-        *[F.max(F.when((F.col("dimension") == "tier") & (F.col("member") == tier), to_places("contribution", 2))).alias(name)
-          for tier, name in TIERS.items()],
-        *[F.max(F.when((F.col("dimension") == "window") & (F.col("member") == f"T+{w}"), to_places("contribution", 2))).alias(f"window_{w}")
-          for w in C.WINDOWS])
-    moved = movements.daily_changes(composite, date=date, value="composite_index")
-    return moved.join(wide, date).select(
+        to_places(part("all", "NATIONAL"), 4).alias("composite_index"), part("all", "NATIONAL", "cells").alias("cells"),
+        *[to_places(part("tier", tier), 2).alias(name) for tier, name in TIERS.items()],
+        *[to_places(part("window", f"T+{w}"), 2).alias(f"window_{w}") for w in C.WINDOWS])
+    wide = wide.join(enough_quotes(usable, lag_days, minimum, date), date)
+    size = omega.agg(F.count(F.lit(1))).scalar()
+    moved = movements.daily_changes(wide, date=date, value="composite_index")
+    return moved.select(
         F.col(date).alias("computation_date"), F.lit("daily").alias("frequency"),
         to_places("composite_index", 2).alias("index_value"), "change_dod_pct", "change_wow_pct", "change_mom_pct",
-        "total_quotes", "missing_cells_count", *TIERS.values(), *[f"window_{w}" for w in C.WINDOWS])
+        "total_quotes", (size - F.col("cells")).alias("missing_cells_count"),
+        *TIERS.values(), *[f"window_{w}" for w in C.WINDOWS])
 
 
 def daily_sector_index(cells: DataFrame, omega: DataFrame, by: Sequence[str] = (DATE,)) -> DataFrame:

@@ -224,7 +224,7 @@ def s14(spark, sf):
 
 
 @check("p8_split_total_70_30", with_(*O.BASE, EXTRACTED) + f"""select page_id,position,{R('b0+(fare-b0-f0-g0-u-180)', 2)} raw_base_fare,f0 raw_fuel_surcharge,g0 raw_taxes from
- (select *, {R('pool-b0-f0', 2)} g0 from (select *, {R('tx*0.7::double', 2)} b0,{R('tx*0.3::double', 2)} f0 from raw2 where position=0))""")
+ (select *, {R('pool-b0-f0', 2)} g0 from (select *, cast(round_even(cast(tx as decimal(12,2))*cast(0.7 as decimal(3,2)),2) as double) b0,cast(round_even(cast(tx as decimal(12,2))*cast(0.3 as decimal(3,2)),2) as double) f0 from raw2 where position=0))""")
 def p8(spark, sf):
     df = crawled(spark, sf).withColumns({"raw_total_fare": F.col("fare"), "raw_convenience_fee": F.lit(0.0)}).filter(
         F.col("fare").between(C.FARE_FLOOR, C.EXTRACT_FARE_MAX))
@@ -451,7 +451,7 @@ def p26_docs(spark, sf):
 
 
 _ASK = """(select l_orderkey||'-'||l_linenumber||'-'||l_partkey k,['Cheapest carrier ','What if fuel rises ','Surge on ','Lead time curve ','Index today ','Fare '][l_partkey%6+1]||
- case when l_orderkey%2=0 then lower(ring) else ['Delhi','Mumbai','Goa','Pune','Nowhere'][l_suppkey%5+1]||' and '||['Chennai','Lucknow','Bangalore'][l_partkey%3+1] end||' on '||['indigo','air india','spicejet','nobody'][l_orderkey%4+1]||' T+'||days text from lines)"""
+ case when l_orderkey%2=0 then lower(ring) else ['Delhi','Mumbai','Goa','Pune','Nowhere'][l_suppkey%5+1]||' and '||['Chennai','Lucknow','Bangalore'][l_partkey%3+1] end||' on '||['indigo','air india','spicejet','nobody'][l_orderkey%4+1]||' T+'||lead_days text from lines)"""
 
 
 @check("p26_tag_queries", "with " + O.LINES + ", asks as " + _ASK + "," + _tag_sql("asks", "k").removeprefix("with "))
@@ -835,7 +835,7 @@ def a22(spark, sf):
 
 
 _BACK = f"""bt as (select *,sign(predicted-lag(predicted) over (partition by year(d) order by d))=sign(other-lag(other) over (partition by year(d) order by d)) same from al),
-bm as (select year(d) y,count(*) days,1-sum((actual-predicted)*(actual-predicted))/(var_pop(actual)*count(*)) r2,avg(abs((predicted-actual)/actual))*100 mape,sqrt(avg((predicted-actual)*(predicted-actual))) rmse,avg(case when same is not null then cast(same as int)::double end)*100 conc,avg(case when predicted>0 then 1.0::double else 0 end)*100 fill from bt group by 1 having count(*)>1)"""
+bm as (select year(d) y,count(*) as days,1-sum((actual-predicted)*(actual-predicted))/(var_pop(actual)*count(*)) r2,avg(abs((predicted-actual)/actual))*100 mape,sqrt(avg((predicted-actual)*(predicted-actual))) rmse,avg(case when same is not null then cast(same as int)::double end)*100 conc,avg(case when predicted>0 then 1.0::double else 0 end)*100 fill from bt group by 1 having count(*)>1)"""
 
 
 @check("a23_a32_backtest_metrics", with_(*O.USE, _SERIES, _BACK) + f"select y \"year\",days,{R('r2', 4)} r_squared,{R('mape', 2)} mape_pct,{R('rmse', 2)} rmse,{R('conc', 1)} directional_concordance_pct,{R('fill', 1)} data_fill_rate_pct,case when r2>0.85 and mape<15 and conc>=80 and fill>=95 then 'PASSED' else 'FAILED' end verdict from bm")

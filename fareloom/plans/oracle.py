@@ -34,7 +34,7 @@ def with_(*blocks: str) -> str:
 _USUAL = f"floor((floor(cents/16)+200000)*({items(FARE_STEPS)}[l_linenumber%5+1])/100)"
 LINES = f"""lines as (select *, round(l_extendedprice*100) cents,
   {items(SECTOR_RING)}[(l_partkey*3+l_suppkey)%32+1] ring, {items(C.CARRIER_CODES)}[l_suppkey%5+1] carrier,
-  {items([c[4] for c in C.CARRIERS])}[l_suppkey%5+1] direct, {items(C.WINDOWS)}[l_linenumber%5+1] days,
+  {items([c[4] for c in C.CARRIERS])}[l_suppkey%5+1] direct, {items(C.WINDOWS)}[l_linenumber%5+1] lead_days,
   (l_partkey%40+8)*30 leaves, case when l_orderkey%97=0 then 0 else (l_partkey%7)*15+60 end lasts,
   cast(l_shipdate as date) travel from lineitem)"""
 
@@ -46,11 +46,11 @@ def _clock(m: str) -> str:
 NORM = f"""norm as (select concat_ws('-',l_orderkey,l_linenumber,l_partkey,l_suppkey,cast(cents as bigint),cast(travel as varchar)) quote_id,
   case when l_partkey%9<5 then direct else {items(C.AGENCIES)}[l_partkey%9-4] end source,
   case when l_partkey%9<5 then 'airline' else 'ota' end source_type,
-  cast(travel - cast(days as int) as timestamp) + to_minutes(cast((l_orderkey%24)*60+l_partkey%60 as bigint)) scrape_timestamp,
+  cast(travel - cast(lead_days as int) as timestamp) + to_minutes(cast((l_orderkey%24)*60+l_partkey%60 as bigint)) scrape_timestamp,
   substr(ring,1,3) origin_iata, substr(ring,5,3) destination_iata, carrier carrier_code,
   case when l_orderkey%3=0 then lower(carrier)||' '||cast(l_partkey%40+100 as varchar) else carrier||'-'||cast(l_partkey%40+100 as varchar) end flight_number,
   {_clock('leaves')} departure_time, case when l_orderkey%89<>0 then {_clock('((leaves+lasts)%1440)')} end arrival_time,
-  travel travel_date, days advance_days, lasts duration_minutes, l_linenumber%2 stops,
+  travel travel_date, lead_days advance_days, lasts duration_minutes, l_linenumber%2 stops,
   case when l_orderkey%50=0 then 99.0::double end raw_convenience_fee,
   case when l_orderkey%11=0 and cast(floor(l_quantity) as int)%10=0 then 0.0::double
        when l_orderkey%53=0 then floor(cents/4)/100 else {_USUAL}/100 end raw_total_fare,

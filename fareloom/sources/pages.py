@@ -8,8 +8,6 @@ quotes, which is the reference rule, not a safeguard.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,9 +160,8 @@ def quotes_from_cards(df: DataFrame, html: str = "html", kind: str = "airline")
     digits then count as its flight number, and cards of other carriers are left out.
     """
     page = F.col(html)
-    patterns = [F.lit(_mark_pattern(*mark)) for mark in CARD_MARKS[kind]]
-    mark = reduce(lambda rest, p: F.when(page.rlike(p), p).otherwise(rest),
-                  list(reversed(patterns)), F.lit(None).cast("string"))
+    patterns = [_mark_pattern(*mark) for mark in CARD_MARKS[kind]]
+    mark = F.coalesce(*[F.when(page.rlike(p), F.lit(p)) for p in patterns])
     marked = df.withColumn("mark", mark).filter(F.col("mark").isNotNull())
     pieces = F.split(page, F.col("mark"))
     cards = F.slice(pieces, 2, FIRST_ITEMS[kind])

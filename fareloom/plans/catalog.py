@@ -19,6 +19,7 @@ from fareloom.plans import oracle as O
 from fareloom.plans import publish
 from fareloom.plans.oracle import R, with_
 from fareloom.sources import cpi, pages, quotes, tables, weights
+from fareloom.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1217,3 +1218,43 @@ def d9(spark, sf):
 def d10(spark, sf):
     means = tables.facts(spark, sf).groupBy("origin_iata", "destination_iata").agg(F.avg("total_fare").alias("average_fare"))
     return analytics.income_ratio(means).drop("average_fare")
+
+
+# --- streaming: the stream is run over all that is there, into the shared folder, and read back ----
+
+@check("r1_stream_quotes", with_(*O.BASE, f"so as (select * exclude (raw_total_fare),case when seats_available=0 and raw_total_fare<=0 then {C.SOLD_OUT_FARE}::double else raw_total_fare end raw_total_fare from valid)", O.parts("so")) + f"select quote_id,{','.join(PART_COLUMNS)} from pt")
+def r1(spark, sf):
+    raw = tables.raw_quotes_of(flows.table_stream(spark, sf, "lineitem"))
+    return flows.run_available(flows.stream_quotes(raw).select("quote_id", *PART_COLUMNS), *flows.scratch_pair(spark, "r1"))
+
+
+@check("r2_stream_dedup", with_(*O.FACT) + "select distinct concat_ws('-',l_orderkey,l_linenumber) id from facts")
+def r2(spark, sf):
+    facts = tables.facts_of(flows.table_stream(spark, sf, "lineitem")).select(
+        F.substring_index("quote_id", "-", 2).alias("id"), "scrape_timestamp")
+    return flows.run_available(flows.stream_dedup(facts, "id"), *flows.scratch_pair(spark, "r2")).select("id")
+
+
+@check("r3_trunk_volatility")
+def r3(spark, sf):
+    facts = tables.facts_of(flows.table_stream(spark, sf, "lineitem")).select("sector", "advance_days", "scrape_timestamp", "total_fare")
+    found = flows.run_available(flows.trunk_volatility(facts), *flows.scratch_pair(spark, "r3"))
+    return found.select(F.col("window.start").cast("string").alias("hour"), "sector", "advance_days", "quotes",
+                        to_places("mean_fare", 4).alias("mean_fare"), to_places("std_fare", 4).alias("std_fare"))
+
+
+@check("r4_stream_upsert", with_(*O.CLEAN) + "select quote_id,sector,total_fare,is_outlier,data_quality_score,is_quarantined from clean")
+def r4(spark, sf):
+    store, checkpoint = flows.scratch_pair(spark, "r4")
+    flows.run_batches(tables.raw_quotes_of(flows.table_stream(spark, sf, "lineitem")), flows.upsert_batches(store), checkpoint)
+    return quotes.read_store(spark, store).select("quote_id", "sector", "total_fare", "is_outlier", "data_quality_score", "is_quarantined")
+
+
+@check("r5_published_series", "with recursive " + ",\n".join((*O.USE, _MONTHS, _ARRAYS, _fold_sql("mean"))) + "\n" + "select f.series_id,cast(lv.m as varchar) \"month\",f.pub[lv.idx+1] published_index from fold_mean f join lv on lv.series_id=f.series_id where f.t=len(f.arr)")
+def r5(spark, sf):
+    arrivals, (path, checkpoint) = flows.scratch_path(spark, "r5-levels"), flows.scratch_pair(spark, "r5")
+    levels = carrier_months(spark, sf).select("series_id", day("month", "period"), "level")
+    levels.write.parquet(arrivals)
+    stream = spark.readStream.schema(levels.schema).parquet(arrivals)
+    return flows.run_available(flows.published_series(stream), path, checkpoint).select(
+        "series_id", F.col("period").alias("month"), "published_index")

@@ -59,16 +59,26 @@ def _first_filled(row: Column, names: list[str]) -> Column:
     return F.coalesce(*[_filled(row[n]) for n in names])
 
 
+def _fields(text: Column, names: list[str]) -> Column:
+    """The named members of a JSON object as JSON text, in one parse."""
+    return F.from_json(text, "struct<" + ",".join(f"{n}:string" for n in names) + ">")
+
+
 def flight_list(payload: Column, kind: str) -> Column:
-    """The JSON text of the first flight list in a payload."""
-    options = []
-    for key in LIST_KEYS[kind]:
-        own = F.get_json_object(payload, f"$.{key}")
-        options.append(F.when(own.startswith("["), own))
-        for sub in SUB_KEYS:
-            inner = F.get_json_object(payload, f"$.{key}.{sub}")
-            options.append(F.when(own.startswith("{") & inner.startswith("[") & (inner != "[]"), inner))
-    return F.coalesce(*options)
+    """The JSON text of the first flight list in a payload.
+
+    The payload is parsed once into its candidate members; a member is parsed again only
+    if it is an object that may hold the list one level down.
+    """
+    members = F.transform(F.array(_fields(payload, LIST_KEYS[kind])), lambda m: F.array(*[m[k] for k in LIST_KEYS[kind]]))
+
+    def listed(member: Column) -> Column:
+        inside = F.transform(F.array(_fields(member, SUB_KEYS)), lambda s: F.coalesce(
+            *[F.when(s[k].startswith("[") & (s[k] != "[]"), s[k]) for k in SUB_KEYS]))
+        return F.when(member.startswith("["), member).when(member.startswith("{"), F.get(inside, F.lit(0)))
+
+    found = F.filter(F.transform(F.get(members, F.lit(0)), listed), lambda text: text.isNotNull())
+    return F.get(found, F.lit(0))
 
 
 def _raw_quotes(rows: DataFrame, kind: str, fee: Column | None) -> DataFrame:
@@ -99,8 +109,9 @@ def quotes_from_json(df: DataFrame, payload: str = "payload", kind: str = "airli
     """Flight list -> first items -> quotes. Airline pages need ``own_carrier``;
     agency pages may carry ``platform_fee``."""
     schema = "array<struct<" + ",".join(f"{n}:string" for n in FLIGHT_FIELDS) + ">>"
-    flights = F.slice(F.from_json(flight_list(F.col(payload), kind), schema), 1, FIRST_ITEMS[kind])
-    rows = df.select("*", F.posexplode(flights).alias("position", "fl"))
+    # one value per page, so that the list is found once and not once for each use
+    lists = F.transform(F.array(F.col(payload)), lambda p: F.slice(F.from_json(flight_list(p, kind), schema), 1, FIRST_ITEMS[kind]))
+    rows = df.select("*", F.posexplode(F.get(lists, F.lit(0))).alias("position", "fl"))
     fl = F.col("fl")
     number = _first_filled(fl, ["flightNumber", "flightNo", "flight_number"])
     made_up = (F.col("position") + 1000).cast("string")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareloom import constants as C
 from fareloom.functions import text
-from fareloom.functions.numeric import lookup, to_places
+from fareloom.functions.numeric import TIE_SLACK, lookup
 from fareloom.sources.schemas import FARE_PARTS, MONEY
 
 Tariff = Mapping | DataFrame | None
@@ -69,29 +70,39 @@ def decompose_fare(
     rated = attach_tariffs(df, **tariffs)
     gross = F.col(total).cast("double")
     taxable = F.greatest(F.lit(0.0), (gross - F.col("udf") - F.col("psf") - F.col("fee")) / (1.0 + gst_rate))
-    fuel = (F.when(taxable <= 0, 0.0).when(taxable < 400.0, taxable)
-            .otherwise(F.least(F.lit(1200.0), F.greatest(F.lit(400.0), taxable * 0.25))))
-    money = MONEY.simpleString()
+    fuel = (F.when(F.col("taxable") <= 0, 0.0).when(F.col("taxable") < 400.0, F.col("taxable"))
+            .otherwise(F.least(F.lit(1200.0), F.greatest(F.lit(400.0), F.col("taxable") * 0.25))))
+    # whole paise: sums of integers are exact, and cheaper than decimals
+    rated = rated.withColumns({"taxable": taxable, "total_fare": _paise(gross)})
     rated = rated.withColumns({
-        "total_fare": to_places(gross, 2).cast(money),
-        "fuel_surcharge": to_places(fuel, 2).cast(money),
-        "airport_taxes_gst": to_places(taxable * gst_rate, 2).cast(money),
-        "user_dev_fee": to_places(F.col("udf"), 2).cast(money),
-        "passenger_service_fee": to_places(F.col("psf"), 2).cast(money),
-        "convenience_fee": to_places(F.col("fee"), 2).cast(money),
+        "fuel_surcharge": _paise(fuel),
+        "airport_taxes_gst": _paise(F.col("taxable") * gst_rate),
+        "user_dev_fee": _paise(F.col("udf")),
+        "passenger_service_fee": _paise(F.col("psf")),
+        "convenience_fee": _paise(F.col("fee")),
     })
     fixed = (F.col("airport_taxes_gst") + F.col("user_dev_fee")
              + F.col("passenger_service_fee") + F.col("convenience_fee"))
-    short = F.col("total_fare") - F.col("fuel_surcharge") - fixed
-    eased = (F.when((short < 0) & (F.col("total_fare") >= F.lit(C.FARE_FLOOR).cast(money)),
-                    F.greatest(F.lit(0).cast(money), (F.col("fuel_surcharge") + short).cast(money)))
+    rated = rated.withColumn("left_over", F.col("total_fare") - fixed)
+    short = F.col("left_over") - F.col("fuel_surcharge")
+    eased = (F.when((short < 0) & (F.col("total_fare") >= int(C.FARE_FLOOR * 100)),
+                    F.greatest(F.lit(0).cast("bigint"), F.col("left_over")))
              .otherwise(F.col("fuel_surcharge")))
-    rated = rated.withColumn("fuel_surcharge", eased.cast(money))
-    rated = rated.withColumn("base_fare", (F.col("total_fare") - F.col("fuel_surcharge") - fixed).cast(money))
-    rated = rated.drop("udf", "psf", "fee")
-    if exact:
-        return rated
-    return rated.withColumns({name: F.col(name).cast("double") for name in [*FARE_PARTS, "total_fare"]})
+    rated = rated.withColumn("fuel_surcharge", eased)
+    rated = rated.withColumn("base_fare", F.col("left_over") - F.col("fuel_surcharge"))
+    rated = rated.drop("udf", "psf", "fee", "taxable", "left_over")
+    amount = _as_money if exact else (lambda name: F.col(name) / F.lit(100.0))
+    return rated.withColumns({name: amount(name) for name in [*FARE_PARTS, "total_fare"]})
+
+
+def _paise(value: Column) -> Column:
+    """Whole paise of an amount, rounded like ``to_places(value, 2)``."""
+    return F.floor(value * 100.0 + (0.5 + TIE_SLACK)).cast("bigint")
+
+
+def _as_money(name: str) -> Column:
+    hundredth = F.lit(Decimal("0.01")).cast("decimal(3,2)")
+    return (F.col(name).cast("decimal(14,0)") * hundredth).cast(MONEY.simpleString())
 
 
 def residual() -> Column:

@@ -14,13 +14,8 @@ FLIGHT_KEY = ["origin_iata", "destination_iata", "carrier_code", "flight_key", "
 
 
 def with_flight_key(df: DataFrame) -> DataFrame:
-    """Normalised codes and ``flight_key``, the parts of the canonical key."""
-    return df.withColumns({
-        "origin_iata": text.code("origin_iata"),
-        "destination_iata": text.code("destination_iata"),
-        "carrier_code": text.code("carrier_code"),
-        "flight_key": text.normalize_flight(F.coalesce("flight_number", F.lit(""))),
-    })
+    """``flight_key``, which with the codes (as P1 leaves them) makes the canonical key."""
+    return df.withColumn("flight_key", text.normalize_flight(F.coalesce("flight_number", F.lit(""))))
 
 
 def deduplicate_quotes(

@@ -21,17 +21,17 @@ FLIGHT = ["flight", "departs"]
 
 
 def prepare(df: DataFrame, period: str | None, fare: str = "total_fare", extra: Sequence[str] = ()) -> DataFrame:
-    """The narrow rows the stage needs: cohort, flight identity, fare, order columns."""
-    if "sector" in df.columns:
-        sector = text.code("sector")
-    else:
-        sector = F.concat_ws("-", text.code("origin_iata"), text.code("destination_iata"))
+    """The narrow rows the stage needs: cohort, flight identity, fare, order columns.
+
+    Codes are taken as P1 and the fact table hold them, so they are not tidied again.
+    """
+    sector = F.col("sector") if "sector" in df.columns else F.concat_ws("-", "origin_iata", "destination_iata")
     optional = {
         "flight": text.code("flight_number") if "flight_number" in df.columns else F.lit(""),
         "departs": F.trim("departure_time") if "departure_time" in df.columns else F.lit(""),
     }
     return df.select(
-        *([period] if period else []), sector.alias("sector"), text.code("carrier_code").alias("carrier_code"),
+        *([period] if period else []), sector.alias("sector"), "carrier_code",
         F.col("advance_days").cast("int").alias("advance_days"),
         *[F.coalesce(v, F.lit("")).alias(k) for k, v in optional.items()],
         F.col(fare).cast("double").alias("fare"), *extra,

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # longer generated methods are never compiled by the JVM; above this Spark splits them
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.showConsoleProgress": "false",
 }
 

@@ -31,14 +31,20 @@ def _pick(values: list, index: Column) -> Column:
 
 def raw_quotes_of(lines: DataFrame) -> DataFrame:
     """A raw quote per order line, with the untidiness real sources have."""
+    paise = F.when(F.col("unpriced"), F.lit(0)).otherwise(F.col("paise"))
+    amount = paise.cast("decimal(10,0)") * F.lit("0.01").cast("decimal(3,2)")
+    return _derived(lines).withColumn("total_fare", amount.cast(MONEY)).drop("paise", "unpriced", "ring", "number")
+
+
+def _derived(lines: DataFrame) -> DataFrame:
     order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     ring = _pick(SECTOR_RING, (part * 3 + supp) % 32)
     carrier = _pick(C.CARRIER_CODES, supp % 5)
     window = F.col("l_linenumber") % 5
-    cents = F.round(F.col("l_extendedprice") * 100)
+    cents = F.rint(F.col("l_extendedprice") * 100)
     usual = F.floor((F.floor(cents / 16) + 200000) * _pick(FARE_STEPS, window) / 100)
     paise = F.when(order % 53 == 0, F.floor(cents / 4)).otherwise(usual)
-    fare = F.when((order % 11 == 0) & (F.col("l_quantity").cast("int") % 10 == 0), F.lit(0)).otherwise(paise)
+    unpriced = (order % 11 == 0) & (F.col("l_quantity").cast("int") % 10 == 0)
     number = (part % 40 + 100).cast("string")
     direct = _pick([row[4] for row in C.CARRIERS], supp % 5)
     travel = F.to_date("l_shipdate")
@@ -68,7 +74,7 @@ def raw_quotes_of(lines: DataFrame) -> DataFrame:
         travel.alias("travel_date"), days.alias("advance_days"), lasts.cast("int").alias("duration_minutes"),
         (F.col("l_linenumber") % 2).alias("stops"),
         F.when(order % 50 == 0, F.lit(99)).cast(MONEY).alias("convenience_fee"),
-        (fare / 100).cast(MONEY).alias("total_fare"),
+        paise.cast("bigint").alias("paise"), unpriced.alias("unpriced"), ring.alias("ring"), number.alias("number"),
         (F.col("l_quantity").cast("int") % 10).alias("seats_available"),
         F.lit(False).alias("is_sold_out"),
     )
@@ -96,16 +102,13 @@ def facts_of(lines: DataFrame) -> DataFrame:
     Lines that cleaning rejects are left out.
     """
     order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    raw = raw_quotes_of(lines).filter(((part * 3 + supp) % 32 != 30) & (order % 97 != 0) & (order % 89 != 0))
-    sold_out = F.col("seats_available") == 0
+    raw = _derived(lines).filter(((part * 3 + supp) % 32 != 30) & (order % 97 != 0) & (order % 89 != 0))
     shown = raw.select(
-        "quote_id", "scrape_timestamp", F.concat_ws("-", F.upper(F.trim("origin")), "destination").alias("sector"),
-        F.upper(F.trim("origin")).alias("origin_iata"), F.col("destination").alias("destination_iata"),
-        F.col("carrier").alias("carrier_code"), "source", "source_type", "travel_date", "advance_days",
-        F.upper(F.regexp_replace("flight_number", " ", "-")).alias("flight_number"), "departure_time",
-        F.col("total_fare").cast("double").alias("quoted"), "seats_available", sold_out.alias("is_sold_out"))
-    fare = F.when(F.col("is_sold_out") & (F.col("quoted") <= 0), C.SOLD_OUT_FARE).otherwise(F.col("quoted"))
-    shown = shown.withColumn("total_fare", fare).drop("quoted")
+        "quote_id", "scrape_timestamp", F.col("ring").alias("sector"), F.substring("ring", 1, 3).alias("origin_iata"),
+        F.col("destination").alias("destination_iata"), F.col("carrier").alias("carrier_code"), "source", "source_type",
+        "travel_date", "advance_days", F.concat("carrier", F.lit("-"), "number").alias("flight_number"), "departure_time",
+        F.when(F.col("unpriced"), C.SOLD_OUT_FARE).otherwise(F.col("paise") / F.lit(100.0)).alias("total_fare"),
+        "seats_available", (F.col("seats_available") == 0).alias("is_sold_out"))
     low, high = F.col("total_fare") < C.FARE_FLOOR, F.col("total_fare") > C.FARE_CEILING
     source_points = F.when(F.col("source_type") == "airline", 15.0).otherwise(13.0)
     return shown.withColumns({

@@ -108,10 +108,12 @@ def _fee(rows: DataFrame) -> Column | None:
 def quotes_from_json(df: DataFrame, payload: str = "payload", kind: str = "airline") -> DataFrame:
     """Flight list -> first items -> quotes. Airline pages need ``own_carrier``;
     agency pages may carry ``platform_fee``."""
-    schema = "array<struct<" + ",".join(f"{n}:string" for n in FLIGHT_FIELDS) + ">>"
-    # one value per page, so that the list is found once and not once for each use
-    lists = F.transform(F.array(F.col(payload)), lambda p: F.slice(F.from_json(flight_list(p, kind), schema), 1, FIRST_ITEMS[kind]))
-    rows = df.select("*", F.posexplode(F.get(lists, F.lit(0))).alias("position", "fl"))
+    # one value per page, so that the list is found once and not once for each use; items
+    # are parsed one by one, so an item that is no object spoils only itself
+    lists = F.transform(F.array(F.col(payload)), lambda p: F.slice(
+        F.from_json(flight_list(p, kind), "array<string>"), 1, FIRST_ITEMS[kind]))
+    rows = df.select("*", F.posexplode(F.get(lists, F.lit(0))).alias("position", "item"))
+    rows = rows.withColumn("fl", _fields(F.col("item"), FLIGHT_FIELDS)).drop("item")
     fl = F.col("fl")
     number = _first_filled(fl, ["flightNumber", "flightNo", "flight_number"])
     made_up = (F.col("position") + 1000).cast("string")

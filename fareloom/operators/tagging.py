@@ -24,10 +24,15 @@ def whole_word(word: str) -> str:
     return BEFORE + word.replace("+", "\\+") + AFTER
 
 
+def has_word(text: Column, word: str) -> Column:
+    """Whole-word test; a plain search first spares most rows the pattern."""
+    return F.contains(text, F.lit(word)) & text.rlike(whole_word(word))
+
+
 def _cities(text: Column) -> Column:
     """Airports named in the text, in list order: cities first, then bare codes."""
     words = C.CITY_WORDS + [(row[0].lower(), row[0]) for row in C.AIRPORTS]
-    found = F.array(*[F.when(text.rlike(whole_word(w)), F.lit(iata)) for w, iata in words])
+    found = F.array(*[F.when(has_word(text, w), F.lit(iata)) for w, iata in words])
     return F.array_distinct(F.filter(found, lambda c: c.isNotNull()))
 
 
@@ -40,7 +45,7 @@ def tag_queries(df: DataFrame, text_col: str = "text", extra_index_words: Sequen
     df = df.withColumns({"pair_o": pair[0], "pair_d": pair[1], "cities": _cities(q)})
     known = F.col("pair_o").isin(airports) & F.col("pair_d").isin(airports)
     named = F.col("cities")
-    carrier = F.coalesce(*[F.when(q.rlike(whole_word(w)), F.lit(c)) for w, c in C.CARRIER_WORDS])
+    carrier = F.coalesce(*[F.when(has_word(q, w), F.lit(c)) for w, c in C.CARRIER_WORDS])
     days = F.regexp_extract(q, WINDOW, 1).try_cast("int")
     df = df.withColumns({
         "origin": F.when(known, F.col("pair_o")).otherwise(F.get(named, F.lit(0))),

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20)
     A text is never cut; one longer than ``limit`` makes a slice of its own.
     """
     for batch in batches:
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
         which = np.cumsum(lengths) // limit
         start = 0
         while start < batch.num_rows:

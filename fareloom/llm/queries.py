@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.llm import quality
+from fareloom.llm import bpe, quality
 from fareloom.llm.common import read_table
 
 
@@ -39,5 +40,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged join rates on judged.host is not distinct from rates.host
 """
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op5_quality_rules": op5_quality_rules, "op8_bpe": op8_bpe}
 ORACLES = {"op5_quality_rules": QUALITY_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.llm import bpe, quality
+from fareloom.llm import bpe, language, quality, unigram
 from fareloom.llm.common import read_table
 
 
@@ -47,5 +47,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op8_bpe": op8_bpe}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held = language.held_out("doc_id")
+    langs, weights = language.matrix(language.train(docs.where(~held).select("text", "lang")))
+    found = language.predict(docs, langs, weights)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = unigram.zipf_scores(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return unigram.token_counts(read_table(spark, sf_dir, "documents"), scores)
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op5_quality_rules": op5_quality_rules, "op8_bpe": op8_bpe,
+           "op10_token_counts": op10_token_counts}
 ORACLES = {"op5_quality_rules": QUALITY_SQL}

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.common import SPACE, stored
+from fareloom.llm.common import SPACE, let, stored
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -36,11 +36,6 @@ class Rules:
     host_rate: float = 0.5
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _repeat_words(words: Column, window: int) -> Column:
     """Words inside windows that occur twice or more in the text, the first one included."""
     def hashes(w: Column) -> Column:
@@ -56,10 +51,10 @@ def _repeat_words(words: Column, window: int) -> Column:
 
     def count(h: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        covered = _let(pairs, lambda p: _let(starts(p), reach))
+        covered = let(pairs, lambda p: let(starts(p), reach))
         return F.when(F.size(F.array_distinct(h)) < F.size(h), covered).otherwise(F.lit(0).cast("long"))
 
-    return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(_let(words, lambda w: _let(hashes(w), count)))
+    return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(let(words, lambda w: let(hashes(w), count)))
 
 
 def measure(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> dict[str, Column]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.llm import bpe, language, quality, unigram
+from fareloom.llm import bpe, language, lines, packing, quality, unigram
 from fareloom.llm.common import read_table
 
 
@@ -55,11 +55,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.col("new_text").alias("text"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = unigram.zipf_scores(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return unigram.token_counts(read_table(spark, sf_dir, "documents"), scores)
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op5_quality_rules": op5_quality_rules, "op8_bpe": op8_bpe,
-           "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op5_quality_rules": op5_quality_rules,
+           "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
 ORACLES = {"op5_quality_rules": QUALITY_SQL}

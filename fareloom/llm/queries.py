@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.llm import bpe, language, lines, packing, quality, unigram
-from fareloom.llm.common import read_table
+from fareloom.llm import bpe, language, lines, packing, quality, substrings, suffixes, unigram
+from fareloom.llm.common import read_table, row_key
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged join rates on judged.host is not distinct from rates.host
 """
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select("doc_id", row_key().alias("row_key"), F.length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole"))
+    found = suffixes.removed(docs).select("row_key", "n_removed", "n_spans", F.sha2("kept", 256).alias("rest"))
+    none = F.lit(0).cast("long")
+    return rows.join(found, "row_key", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
+        F.coalesce("rest", "whole").alias("kept_sha256"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", row_key().alias("row_key"), substrings.normal_words(F.col("text")).alias("words"))
+    count = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
+    rows = words.select("doc_id", "row_key", count.cast("long").alias("n_words"), F.sha2(F.col("words").cast("binary"), 256).alias("whole"))
+    found = substrings.removed(docs).select("row_key", "n_removed", F.sha2("kept", 256).alias("rest"))
+    return rows.join(found, "row_key", "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("rest", "whole").alias("kept_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
@@ -70,5 +91,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op5_quality_rules": op5_quality_rules,
-           "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
+           "op6_suffix_array_dedup": op6_suffix_array_dedup,
+           "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
 ORACLES = {"op5_quality_rules": QUALITY_SQL}

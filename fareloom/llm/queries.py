@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.llm import bpe, language, lines, packing, quality, substrings, suffixes, unigram
+from fareloom.llm import bpe, jaccard, language, lines, packing, quality, substrings, suffixes, unigram
 from fareloom.llm.common import read_table, row_key
 
 
@@ -40,6 +40,10 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged join rates on judged.host is not distinct from rates.host
 """
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_texts(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     body = F.coalesce("text", F.lit("")).cast("binary")
@@ -90,7 +94,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(read_table(spark, sf_dir, "documents"), scores)
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op5_quality_rules": op5_quality_rules,
+QUERIES = {"op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op4_ngram_jaccard": op4_ngram_jaccard,
+           "op5_quality_rules": op5_quality_rules,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
 ORACLES = {"op5_quality_rules": QUALITY_SQL}

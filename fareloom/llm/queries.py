@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.llm import bpe, jaccard, language, lines, packing, quality, substrings, suffixes, unigram
+from fareloom.llm import bpe, jaccard, language, lines, nearest, packing, quality, substrings, suffixes, unigram
 from fareloom.llm.common import read_table, row_key
 
 
@@ -80,6 +80,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search_all(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.remove(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.col("new_text").alias("text"))
@@ -94,7 +98,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(read_table(spark, sf_dir, "documents"), scores)
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op4_ngram_jaccard": op4_ngram_jaccard,
+QUERIES = {"op1_language_id": op1_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_line_dedup": op3_line_dedup, "op4_ngram_jaccard": op4_ngram_jaccard,
            "op5_quality_rules": op5_quality_rules,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}

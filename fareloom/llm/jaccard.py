@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.common import WordHashes, mixed, ragged_ranges, ragged_starts, slices, stored, text_key
+from fareloom.llm.common import NOT_SPACE, WordHashes, mixed, ragged_ranges, ragged_starts, slices, stored, text_key
 from fareloom.llm.components import components
 
 
@@ -341,9 +341,9 @@ def _links(sets: DataFrame, join: Join) -> DataFrame:
 
 
 def join_texts(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, tid, n_shingles, component_id``: one row for each row of ``docs``.
+    """``doc_id, tid, n_shingles, component_id, root``: one row for each row of ``docs``.
 
-    ``tid`` tells distinct texts apart.
+    ``tid`` tells distinct texts apart; ``root`` is the ``tid`` that stands for the component.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("tid"), F.col(text).cast("string").cast("binary").alias("text"))
     texts = rows.where("text is not null").select("tid", "text")
@@ -356,8 +356,24 @@ def join_texts(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", tex
     sets = stored(_sets(texts.dropDuplicates(["tid"]), join), "sets")
     roots = _links(sets, join)
     rooted = distinct.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "least", F.coalesce("root", "tid").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("tid", "component")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("tid", "root", "component")
     known = counted.select("tid", "n").join(named, "tid")
     size = F.coalesce("n", F.lit(0).cast("long"))
     return rows.select("doc_id", "tid").join(known, "tid", "left").select(
-        "doc_id", "tid", size.alias("n_shingles"), F.when(size == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+        "doc_id", "tid", size.alias("n_shingles"), F.when(size == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "root")
+
+
+def keep_one(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps one: that of the smallest id.
+
+    A null id comes last; among texts of one id, the smallest ``tid`` stays, and of equal rows
+    one. Rows without words link with nothing and all stay.
+    """
+    linked = join_texts(docs, join, doc_id, text).where("n_shingles > 0")
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("id_"), F.col("first.tid").alias("tid_"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), text_key(text).alias("tid"))
+    one = rows.join(chosen, (F.col("tid") == F.col("tid_")) & F.col("doc_id").eqNullSafe(F.col("id_"))) \
+        .groupBy("tid", "doc_id").agg(F.first("row").alias("row")).select("row.*")
+    wordless = docs.where(~F.regexp_like(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(NOT_SPACE)))
+    return one.unionByName(wordless)

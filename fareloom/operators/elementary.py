@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fareloom.functions import text
 from fareloom.functions.numeric import to_places
-from fareloom.operators.ranking import HOT_GROUP_ROWS, occurrence_no
+from fareloom.operators.ranking import occurrence_no
 
 COHORT = ["sector", "carrier_code", "advance_days"]
 FLIGHT = ["flight", "departs"]
@@ -61,11 +61,9 @@ def match_flights(base: DataFrame, current: DataFrame, by: Sequence[str] = (), b
     return right.join(left, keys)
 
 
-def number_quotes(
-    rows: DataFrame, period: Sequence[str], day: str, tie: str, hot_rows: int = HOT_GROUP_ROWS,
-) -> DataFrame:
+def number_quotes(rows: DataFrame, period: Sequence[str], day: str, tie: str) -> DataFrame:
     """W1 over usable fares: the arrival number of a quote among its flight's quotes."""
-    return occurrence_no(rows.filter(F.col("fare") > 0), [*period, *COHORT, *FLIGHT], day, tie, hot_rows=hot_rows)
+    return occurrence_no(rows.filter(F.col("fare") > 0), [*period, *COHORT, *FLIGHT], day, tie)
 
 
 def cohort_jevons(
@@ -108,7 +106,7 @@ def _narrow(df: DataFrame, sectors: Sequence[str] | None, windows: Sequence[int]
 
 
 def _against(rows: DataFrame, period: str, base: Callable[[Column, WindowSpec], Column], match: bool,
-             day: str, tie: str, hot_rows: int) -> DataFrame:
+             day: str, tie: str) -> DataFrame:
     """A4 in one pass: ``base(value, group)`` gives a row the base period's value in its group.
 
     The base quote of a pair is fetched by a window over (cohort, flight, k), which holds
@@ -118,7 +116,7 @@ def _against(rows: DataFrame, period: str, base: Callable[[Column, WindowSpec],
     """
     rows = rows.withColumn("usable", F.col("fare") > 0)
     if match:
-        rows = occurrence_no(rows, [period, *COHORT, *FLIGHT, "usable"], day, tie, hot_rows=hot_rows)
+        rows = occurrence_no(rows, [period, *COHORT, *FLIGHT, "usable"], day, tie)
         pair = Window.partitionBy(*COHORT, *FLIGHT, "usable", "occurrence")
         rows = rows.withColumn("base_fare", base(F.col("fare"), pair))
         gap = F.when(F.col("usable"), F.ln("fare") - F.ln("base_fare"))
@@ -140,20 +138,20 @@ def _against(rows: DataFrame, period: str, base: Callable[[Column, WindowSpec],
 def elementary_indices(
     quotes: DataFrame, period: str, base, fare: str = "total_fare", match: bool = True,
     sectors: Sequence[str] | None = None, windows: Sequence[int] | None = None,
-    day: str = "travel_date", tie: str = "quote_id", hot_rows: int = HOT_GROUP_ROWS,
+    day: str = "travel_date", tie: str = "quote_id",
 ) -> DataFrame:
     """A4 against one fixed base period, for every period of ``quotes`` at once."""
     extra = [c for c in (day, tie) if c != period]
     rows = _narrow(prepare(quotes, period, fare, extra), sectors, windows)
     is_base = F.col(period) == F.lit(base)
     return _against(rows, period, lambda value, group: F.max(F.when(is_base, value)).over(group),
-                    match, day, tie, hot_rows)
+                    match, day, tie)
 
 
 def elementary_indices_lagged(
     quotes: DataFrame, lag_days: int = 30, period: str = "travel_date", fare: str = "total_fare",
     match: bool = True, sectors: Sequence[str] | None = None, windows: Sequence[int] | None = None,
-    tie: str = "quote_id", hot_rows: int = HOT_GROUP_ROWS,
+    tie: str = "quote_id",
 ) -> DataFrame:
     """A4 for every date against the date ``lag_days`` before it, by a range frame on the day."""
     rows = _narrow(prepare(quotes, period, fare, [tie]), sectors, windows)
@@ -161,7 +159,7 @@ def elementary_indices_lagged(
     def base(value: Column, group: WindowSpec) -> Column:
         return F.max(value).over(group.orderBy(F.unix_date(period)).rangeBetween(-lag_days, -lag_days))
 
-    return _against(rows, period, base, match, period, tie, hot_rows)
+    return _against(rows, period, base, match, period, tie)
 
 
 def jevons_of_two(base: DataFrame, current: DataFrame, fare: str = "total_fare", match: bool = True,

@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fareloom.session import stored
+
 SLICES_PER_OCTAVE = 32
-HOT_GROUP_ROWS = 1_000_000
 
 
 def value_slice(value: Column) -> Column:
@@ -104,31 +105,28 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, rank_as: str = "
     )
 
 
-def occurrence_no(
-    df: DataFrame, keys: Sequence[str], day: str, tie: str, name: str = "occurrence",
-    hot_rows: int = HOT_GROUP_ROWS, prefix: int = 4,
-) -> DataFrame:
+def occurrence_no(df: DataFrame, keys: Sequence[str], day: str, tie: str, name: str = "occurrence") -> DataFrame:
     """Number the rows of each group 1, 2, … in order of ``day``, then ``tie``.
 
-    Groups above ``hot_rows`` are cut by day and by the first ``prefix`` characters of
-    ``tie``; the others are numbered by one window. With no hot group the second branch
-    is empty at run time and adaptive execution drops it.
+    One path for groups of every size: the rows are range-partitioned by (keys, day, tie),
+    so a group with most of the rows spans many stretches. Each stretch numbers its own rows
+    and adds the group's rows in earlier stretches. The stretches are written to the scratch
+    folder, so that counts and rows see the same cut. Where they are cut differs between
+    runs, the numbers do not.
     """
     keys = list(keys)
-    # at most (all rows / hot_rows) keys: a million even for 10^12 rows, so it may be broadcast
-    hot = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-                      .filter(F.col("n") > hot_rows).select(*keys))
-    cold_rows = df.join(hot, keys, "left_anti")
-    numbered = cold_rows.withColumn(
-        name, F.row_number().over(Window.partitionBy(*keys).orderBy(day, tie)).cast("bigint"))
-
-    hot_part = df.join(hot, keys, "left_semi").withColumn("slice", F.substring(tie, 1, prefix))
-    sizes = hot_part.groupBy(*keys, day, "slice").agg(F.count(F.lit(1)).alias("slice_rows"))
-    before = sizes.select(*keys, day, "slice", (
-        F.sum("slice_rows").over(Window.partitionBy(*keys).orderBy(day, "slice")) - F.col("slice_rows")
-    ).alias("rows_before"))
-    cut = (hot_part.join(before, [*keys, day, "slice"])
-           .withColumn(name, F.col("rows_before")
-                       + F.row_number().over(Window.partitionBy(*keys, day, "slice").orderBy(tie)))
-           .select(*df.columns, name))
-    return numbered.select(*df.columns, name).unionByName(cut)
+    order = list(dict.fromkeys([*keys, day, tie]))
+    cut = stored(df.repartitionByRange(*order).withColumn("stretch", F.spark_partition_id()), "stretches")
+    counts = cut.groupBy(*keys, "stretch").agg(F.count(F.lit(1)).alias("rows"))
+    # a group has a row for each stretch it spans, one for almost all groups
+    earlier = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    spanning = counts.withColumn("rows_before", F.sum("rows").over(earlier)).filter("rows_before is not null")
+    own = Window.partitionBy(*keys, "stretch").orderBy(day, tie)
+    joined = cut.withColumn("own", F.row_number().over(own))
+    before = spanning.select(*[F.col(k).alias(f"{k}__s") for k in [*keys, "stretch"]], "rows_before")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}__s")) for k in [*keys, "stretch"]]
+    match = same[0]
+    for part in same[1:]:
+        match = match & part
+    return joined.join(before, match, "left").select(
+        *df.columns, (F.coalesce("rows_before", F.lit(0)) + F.col("own")).cast("bigint").alias(name))

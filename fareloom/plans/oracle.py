@@ -98,7 +98,9 @@ nat as (select period,{R('case when n=(select count(*) from omega) then s else s
 LAGGED = "b.period=c.period-30"
 DAILY = (*USE, *elementary("usable", "travel_date", LAGGED), routes(), OMEGA, NATIONAL,
          """cnt as (select travel_date period,count(*) total_quotes from usable group by 1),
-daily as (select n.*,c.total_quotes from nat n join cnt c using (period) join cnt b on b.period=n.period-30 where c.total_quotes>=10 and b.total_quotes>=10)""")
+daily as (select c.period,c.total_quotes,case when c.total_quotes>=10 and b.total_quotes>=10 then n.composite_index end composite_index,
+ case when c.total_quotes>=10 and b.total_quotes>=10 then n.missing_cells_count end missing_cells_count
+ from cnt c left join cnt b on b.period=c.period-30 left join nat n on n.period=c.period)""")
 YEARLY = (*USE, "usable_y as (select *,year(travel_date) yr from usable)",
           *elementary("usable_y", "yr", "b.period=1995"), routes(), OMEGA, NATIONAL)
 

@@ -25,25 +25,32 @@ def route_relatives(usable: DataFrame, lag_days: int = 30, date: str = DATE, **s
     return route.route_indices(elem, by=[date], details=False, **shares)
 
 
-def enough_quotes(usable: DataFrame, lag_days: int = 30, minimum: int = 10, date: str = DATE) -> DataFrame:
-    """Dates with at least ``minimum`` quotes on both sides, with the count."""
+def quote_counts(usable: DataFrame, lag_days: int = 30, minimum: int = 10, date: str = DATE) -> DataFrame:
+    """Every date with its count, and ``enough``: at least ``minimum`` quotes on both sides."""
     counts = usable.groupBy(date).agg(F.count(F.lit(1)).alias("total_quotes"))
     both = movements.offset_join(counts, {"base_quotes": lag_days}, (), date, "total_quotes")
-    return both.filter((F.col("total_quotes") >= minimum) & (F.col("base_quotes") >= minimum)).drop("base_quotes")
+    enough = (F.col("total_quotes") >= minimum) & (F.coalesce("base_quotes", F.lit(0)) >= minimum)
+    return both.withColumn("enough", enough).drop("base_quotes")
+
+
+def _published(values: DataFrame, usable: DataFrame, lag_days: int, minimum: int, date: str) -> DataFrame:
+    """One row per date of ``usable``; dates without enough quotes have null values."""
+    columns = [c for c in values.columns if c != date]
+    counted = quote_counts(usable, lag_days, minimum, date).join(values, date, "left")
+    return counted.select(date, "total_quotes", *[F.when(F.col("enough"), F.col(c)).alias(c) for c in columns])
 
 
 def daily_values(usable: DataFrame, omega: DataFrame, lag_days: int = 30, minimum: int = 10, date: str = DATE) -> DataFrame:
-    """One-day values: date, total_quotes and the stage 3 columns."""
+    """One-day values: date, total_quotes and the stage 3 columns, null on thin dates."""
     cells = route_relatives(usable, lag_days, date)
-    composite = national.national_laspeyres(cells, omega, by=[date])
-    return composite.join(enough_quotes(usable, lag_days, minimum, date), date)
+    return _published(national.national_laspeyres(cells, omega, by=[date]), usable, lag_days, minimum, date)
 
 
 def daily_index(usable: DataFrame, omega: DataFrame, lag_days: int = 30, minimum: int = 10, date: str = DATE) -> DataFrame:
     """Index, movements and the breakdown by tier and window, one row per date.
 
     The composite and all its parts come from one grouping-sets aggregate, folded into
-    one row per date.
+    one row per date. Dates with too few quotes are published with null values.
     """
     parts = national.contributions(route_relatives(usable, lag_days, date), omega, by=[date])
 
@@ -54,7 +61,7 @@ def daily_index(usable: DataFrame, omega: DataFrame, lag_days: int = 30, minimum
         to_places(part("all", "NATIONAL"), 4).alias("composite_index"), part("all", "NATIONAL", "cells").alias("cells"),
         *[to_places(part("tier", tier), 2).alias(name) for tier, name in TIERS.items()],
         *[to_places(part("window", f"T+{w}"), 2).alias(f"window_{w}") for w in C.WINDOWS])
-    wide = wide.join(enough_quotes(usable, lag_days, minimum, date), date)
+    wide = _published(wide, usable, lag_days, minimum, date)
     size = omega.agg(F.count(F.lit(1))).scalar()
     moved = movements.daily_changes(wide, date=date, value="composite_index")
     return moved.select(

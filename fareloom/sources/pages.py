@@ -2,8 +2,8 @@
 
 Input is a table of pages already fetched: source, origin_iata, destination_iata,
 travel_date, advance_days, the page text, and for airline pages the carrier's own code.
-Everything is a column expression; a page yields at most 10 (airline) or 15 (agency)
-quotes, which is the reference rule, not a safeguard.
+Everything is a column expression. A page yields all its flights; ``position`` numbers them,
+so a caller who wants the first few (T4) filters on it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ LIST_KEYS = {
     "agency": ["flights", "trips", "itineraries", "journeys", "results", "data"],
 }
 SUB_KEYS = ["journeys", "flights", "fares"]
-FIRST_ITEMS = {"airline": 10, "agency": 15}
 FLIGHT_FIELDS = [
     "flightNumber", "flightNo", "flight_number", "departureTime", "depTime", "arrivalTime", "arrTime",
     "totalFare", "fare", "price", "amount", "carrierCode", "carrier", "airlineCode",
@@ -106,14 +105,14 @@ def _fee(rows: DataFrame) -> Column | None:
 
 
 def quotes_from_json(df: DataFrame, payload: str = "payload", kind: str = "airline") -> DataFrame:
-    """Flight list -> first items -> quotes. Airline pages need ``own_carrier``;
+    """Flight list -> items -> quotes. Airline pages need ``own_carrier``;
     agency pages may carry ``platform_fee``."""
     # one value per page, so that the list is found once and not once for each use; items
     # are parsed one by one, so an item that is no object spoils only itself
-    lists = F.transform(F.array(F.col(payload)), lambda p: F.slice(
-        F.from_json(flight_list(p, kind), "array<string>"), 1, FIRST_ITEMS[kind]))
+    lists = F.transform(F.array(F.col(payload)), lambda p: F.from_json(flight_list(p, kind), "array<string>"))
     rows = df.select("*", F.posexplode(F.get(lists, F.lit(0))).alias("position", "item"))
-    rows = rows.withColumn("fl", _fields(F.col("item"), FLIGHT_FIELDS)).drop("item")
+    # out of a generator, so that an item is parsed once and not once for each use of a member
+    rows = rows.select(*df.columns, "position", F.explode(F.array(_fields(F.col("item"), FLIGHT_FIELDS))).alias("fl"))
     fl = F.col("fl")
     number = _first_filled(fl, ["flightNumber", "flightNo", "flight_number"])
     made_up = (F.col("position") + 1000).cast("string")
@@ -177,7 +176,7 @@ def quotes_from_cards(df: DataFrame, html: str = "html", kind: str = "airline")
     mark = F.coalesce(*[F.when(page.rlike(p), F.lit(p)) for p in patterns])
     marked = df.withColumn("mark", mark).filter(F.col("mark").isNotNull())
     pieces = F.split(page, F.col("mark"))
-    cards = F.slice(pieces, 2, FIRST_ITEMS[kind])
+    cards = F.slice(pieces, F.lit(2), F.size(pieces))
     rows = marked.select("*", F.posexplode(cards).alias("position", "card"))
     plain = F.regexp_replace(F.regexp_replace("card", "(?s)<[^>]*(?:>|$)", " "), r"&#8377;|&#x20[bB]9;", "₹")
     rows = rows.withColumn("card", F.trim(F.regexp_replace(F.regexp_replace(plain, "&nbsp;|&#160;", " "), r"\s+", " ")))

@@ -1,8 +1,8 @@
 """The quote flow as Structured Streaming.
 
-Watermark rule: one day on the scrape time; rows later than that are dropped by the
-stream and repaired by the batch path. Every sink takes a checkpoint folder, so a query
-that loses executors or its driver resumes where it was.
+No row is dropped for being late: state is keyed by quote id (R2) or by hour and cohort (R3)
+and kept, and late rows correct what was given out. Every sink takes a checkpoint folder, so
+a query that loses executors or its driver resumes where it was.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from fareloom.sources.quotes import merge_store, read_store, stored_form, write_
 from fareloom.sources.schemas import RAW_QUOTE_FILE
 from fareloom.sources.weights import attach_dims
 
-LATENESS = "1 day"
-
 
 def read_quote_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Raw quote files (one JSON object per line) as they arrive."""
@@ -37,18 +35,41 @@ def stream_quotes(raw: DataFrame, **tariffs) -> DataFrame:
     return decompose.decompose_fare(handle_sold_out(valid), exact=False, **tariffs)
 
 
-def stream_dedup(quotes: DataFrame, key: str = "quote_id", ts: str = "scrape_timestamp", lateness: str = LATENESS) -> DataFrame:
-    """R2: drop repeats of an id; state is kept for ``lateness`` only."""
-    return quotes.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
+def stream_dedup(quotes: DataFrame, key: str = "quote_id") -> DataFrame:
+    """R2: the first row of each id, however far apart its repeats come.
+
+    The ids seen are state, partitioned by id; keep it on disk with the RocksDB state store.
+    """
+    return quotes.dropDuplicates([key])
+
 
+def trunk_volatility(quotes: DataFrame, ts: str = "scrape_timestamp", fare: str = "total_fare") -> DataFrame:
+    """Hourly count, mean and deviation of trunk sectors at T+1 and T+7.
 
-def trunk_volatility(quotes: DataFrame, ts: str = "scrape_timestamp", fare: str = "total_fare", lateness: str = LATENESS) -> DataFrame:
-    """Hourly count, mean and deviation of trunk sectors at T+1 and T+7."""
+    For update mode: an hour is given out again when more of its quotes come. State holds a
+    row per hour and cohort.
+    """
     watched = quotes.filter(F.col("sector").isin(C.TRUNK_SECTORS) & F.col("advance_days").isin(1, 7))
-    return watched.withWatermark(ts, lateness).groupBy(F.window(ts, "1 hour"), "sector", "advance_days").agg(
+    return watched.groupBy(F.window(ts, "1 hour"), "sector", "advance_days").agg(
         F.count(F.lit(1)).alias("quotes"), F.avg(fare).alias("mean_fare"), F.stddev_pop(fare).alias("std_fare"))
 
 
+def run_updates(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Process what is there in update mode; the newest row of each key.
+
+    Each micro-batch writes a folder of its own, so a batch that is run again replaces itself.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    query = (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema.add("batch_id", "long")).parquet(path)
+    newest = F.max_by(F.struct(*stream.columns), "batch_id").alias("row")
+    return rows.groupBy(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]).agg(newest).select("row.*")
+
+
 def upsert_batches(store: str, cohort_history: bool = True, on_batch: Callable[[DataFrame, int], None] | None = None,
                    ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: W2, cohort statistics, P17/P18, then S10.
@@ -140,10 +161,14 @@ def run_batches(stream: DataFrame, function: Callable[[DataFrame, int], None], c
     query.awaitTermination()
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a folder of parquet files, as a stream of that file alone."""
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table of a folder, stored as one parquet file or as a folder of them, as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # a glob pattern matches either form; files below a matching folder are found too
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def scratch_pair(spark: SparkSession, label: str) -> tuple[str, str]:
@@ -152,6 +177,6 @@ def scratch_pair(spark: SparkSession, label: str) -> tuple[str, str]:
 
 
 __all__ = [
-    "published_series", "read_quote_stream", "run_available", "run_batches", "scratch_pair",
+    "published_series", "read_quote_stream", "run_available", "run_batches", "run_updates", "scratch_pair",
     "stream_dedup", "stream_quotes", "table_stream", "trunk_volatility", "upsert_batches",
 ]

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fareloom import constants as C
@@ -37,15 +38,17 @@ def test_matched_pairs_win_over_means(spark):
     assert unmatched.index_value == pytest.approx((4950 * 5500 * 9999) ** (1 / 3) / (4500 * 5000) ** 0.5, abs=1e-5)
 
 
-def test_kth_pairs_with_kth_and_hot_groups_agree(spark):
+def test_numbers_of_one_flight_with_most_rows(spark):
     rng = random.Random(3)
     rows = [("DEL-BOM", "6E", 7, f"6E-{rng.randrange(2)}", "08:00", float(rng.randrange(2000, 9000)),
              f"2024-01-{1 + rng.randrange(3):02d}", f"{i:05d}") for i in range(200)]
     df = elementary.prepare(quotes(spark, rows), None, extra=["travel_date", "quote_id"])
     keys = [*elementary.COHORT, *elementary.FLIGHT]
-    cold = ranking.occurrence_no(df, keys, "travel_date", "quote_id")
-    hot = ranking.occurrence_no(df, keys, "travel_date", "quote_id", hot_rows=20, prefix=4)
-    assert sorted(map(tuple, cold.collect())) == sorted(map(tuple, hot.collect()))
+    df = df.withColumn("quote_id", F.concat(F.lit("indigo-00000000"), "quote_id"))  # ids of one beginning
+    order = Window.partitionBy(*keys).orderBy("travel_date", "quote_id")
+    want = df.withColumn("occurrence", F.row_number().over(order))
+    got = ranking.occurrence_no(df.repartition(7), keys, "travel_date", "quote_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_time_reversal(spark):

@@ -95,8 +95,8 @@ def page(spark, body, carrier="6E"):
 
 def test_json_pages(spark):
     flights = [{"flightNumber": str(100 + i), "fare": 5000 + i} for i in range(20)]
-    assert pages.quotes_from_json(page(spark, json.dumps({"trips": flights})), "body").count() == 10
-    assert pages.quotes_from_json(page(spark, json.dumps({"data": {"fares": flights}})), "body", "agency").count() == 15
+    assert pages.quotes_from_json(page(spark, json.dumps({"trips": flights})), "body").count() == 20
+    assert pages.quotes_from_json(page(spark, json.dumps({"data": {"fares": flights}})), "body", "agency").count() == 20
     mixed = {"flights": {"journeys": []}, "results": [
         {"flightNo": "AI 202", "price": {"amount": "1,25,0.5"}, "depTime": "2024-03-01T07:05", "arrTime": "9:10"},
         {"carrier": "sg", "flightNumber": 8169, "totalFare": 0, "amount": 7000}, {"price": 500}, {"price": 40000}, "odd"]}
@@ -113,21 +113,33 @@ def test_embedded_and_card_pages(spark):
     cards = "".join(f'<div class="c flight-item x"><span>6E {200 + i}</span> 06:10 <b>8:20</b> INR 4,{500 + i}</div>' for i in range(12))
     other = '<div class="flight-item">AI 101 07:00 09:00 Rs. 5000</div>'
     rows = pages.quotes_from_cards(page(spark, f"<html>{other}{cards}</html>"), "body").collect()
-    assert len(rows) == 9 and {(r.departure_time, r.arrival_time) for r in rows} == {("06:10", "08:20")}
+    assert len(rows) == 12 and {(r.departure_time, r.arrival_time) for r in rows} == {("06:10", "08:20")}
     agency = pages.quotes_from_cards(page(spark, f"<html>{other}{cards}</html>"), "body", "agency")
     assert agency.count() == 13
     assert pages.quotes_from_cards(page(spark, "<p>nothing here</p>"), "body").count() == 0
 
 
-def test_volatility_stream_matches_batch(spark, sample, tmp_path):
-    facts = tables.facts_of(flows.table_stream(spark, sample, "lineitem")).select("sector", "advance_days", "scrape_timestamp", "total_fare")
-    got = flows.run_available(flows.trunk_volatility(facts), str(tmp_path / "out"), str(tmp_path / "ck"))
-    batch = tables.facts(spark, sample).filter(F.col("sector").isin(flows.C.TRUNK_SECTORS) & F.col("advance_days").isin(1, 7))
-    want = batch.groupBy(F.window("scrape_timestamp", "1 hour"), "sector", "advance_days").agg(F.count(F.lit(1)).alias("n"))
-    last = batch.agg(F.max("scrape_timestamp")).first()[0]
-    want = want.filter(F.col("window.end") <= F.lit(last) - F.expr("interval 1 day"))
-    assert got.count() == want.count() > 0
-    assert got.agg(F.sum("quotes")).first()[0] == want.agg(F.sum("n")).first()[0]
+@pytest.mark.parametrize("files, per_batch", [(1, None), (4, None), (4, 1)])
+def test_streams_match_batch_for_any_layout(spark, sample, tmp_path, files, per_batch):
+    """One file, a folder of files, and a file to a micro-batch in shuffled order."""
+    lines = tables.table(spark, sample, "lineitem")
+    if files == 1:
+        source = sample
+    else:
+        source = str(tmp_path)
+        lines.repartition(files, F.rand(5)).write.parquet(f"{source}/lineitem.parquet")
+    facts = lambda df: tables.facts_of(df)
+    stream = facts(flows.table_stream(spark, source, "lineitem", per_batch))
+    batch = tables.facts(spark, sample)
+    ids = F.substring_index("quote_id", "-", 2).alias("id")
+    got = flows.run_available(flows.stream_dedup(stream.select(ids), "id"), str(tmp_path / "ids"), str(tmp_path / "ids-ck"))
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in batch.select(ids).distinct().collect())
+    found = flows.run_updates(flows.trunk_volatility(stream), ["window", "sector", "advance_days"], str(tmp_path / "out"), str(tmp_path / "ck"))
+    want = flows.trunk_volatility(batch)
+    key = lambda r: (r.window.start, r.sector, r.advance_days)
+    got, want = sorted(found.collect(), key=key), sorted(want.collect(), key=key)
+    assert [key(r) + (r.quotes,) for r in got] == [key(r) + (r.quotes,) for r in want] and got
+    assert [r.std_fare for r in got] == pytest.approx([r.std_fare for r in want], abs=1e-6)
 
 
 def test_published_stream_over_batches_matches_the_fold(spark, tmp_path):

@@ -37,11 +37,13 @@ from fareloom.llm.components import components
 @dataclass(frozen=True)
 class Join:
     """Words of a shingle, and the threshold as a fraction of whole numbers. The other numbers
-    only bound memory: texts of a tile or part, and text bytes (shingles) behind a shard."""
+    only bound memory: texts of a tile and of a part to verify, and text bytes (or shingles)
+    behind a shard."""
 
     words: int = 5
     over: int = 3
     under: int = 4
+    tile: int = 4096
     part: int = 1024
     shard_bytes: int = 32 << 20
     shard_rows: int = 1 << 18
@@ -79,7 +81,7 @@ def _repeated_shingles(texts: DataFrame, join: Join) -> DataFrame:
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, task, number = Shingler(join.words), TaskContext.get().partitionId(), 0
-        for part in slices(batches, 1, 8 << 20):
+        for part in slices(batches, 1, 6 << 20):
             slice_id, number = task << 32 | number, number + 1
             sets, tids = [], []
             for tid, text in dict(zip(part.column(0).to_pylist(), part.column(1).to_pylist())).items():
@@ -111,36 +113,38 @@ def _repeated_shingles(texts: DataFrame, join: Join) -> DataFrame:
                 (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "slice", "sizes", "tids", "counts", "data"])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(tids: list[bytes], slice_ids: list[int], n: list[int], repeated: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(slice_ids, pa.int64()), pa.array(n, pa.int64()),
-                                               pa.array(repeated, pa.int64())], ["tid", "slice", "n", "repeated"])
+        """For each row of a shard, the texts that have repeated shingles there and how many."""
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(
+                (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["slice", "tids", "n", "repeated"])
 
         def solved(group: list[dict]) -> pa.RecordBatch:
-            tids = np.concatenate([np.frombuffer(r["tids"], "V16") for r in group])
+            tids = [np.frombuffer(r["tids"], "V16") for r in group]
             counts = np.concatenate([np.frombuffer(r["counts"], "<i4") for r in group]).astype(np.int64)
-            slice_ids = np.repeat([r["slice"] for r in group], [len(r["tids"]) // 16 for r in group])
             of_text, shared = [], []
             for r in group:
                 data, m = np.frombuffer(r["data"], "<u4"), int(np.frombuffer(r["counts"], "<i4").sum())
                 of_text.append(data[:m])
                 shared.append(data[m:])
             values, shared = np.concatenate(of_text), np.unique(np.concatenate(shared))
-            same = np.unique(tids, return_inverse=True)[1]  # copies in several batches are one text
+            same = np.unique(np.concatenate(tids), return_inverse=True)[1]  # copies in several batches are one text
             pairs = np.unique(values.astype(np.uint64) << np.uint64(32) | np.repeat(same, counts).astype(np.uint64)) >> np.uint64(32)
             twice = np.unique(pairs[1:][pairs[1:] == pairs[:-1]]).astype(np.uint32)
             known = np.union1d(twice, shared)
             place = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
-            hits = np.bincount(np.repeat(np.arange(len(tids)), counts), known[place] == values if len(known) else np.zeros(len(values)), len(tids))
-            some = np.flatnonzero(hits)
-            return answer([x.tobytes() for x in tids[some]], slice_ids[some], [0] * len(some), hits[some].astype(np.int64))
+            hit = known[place] == values if len(known) else np.zeros(len(values), bool)
+            hits = np.bincount(np.repeat(np.arange(len(counts)), counts), hit, len(counts)).astype("<i4")
+            rows = []
+            for r, own, found in zip(group, tids, np.split(hits, np.cumsum([len(t) for t in tids])[:-1])):
+                some = np.flatnonzero(found)
+                rows.append((r["slice"], own[some].tobytes(), np.zeros(len(some), "<i4").tobytes(), found[some].tobytes()))
+            return packed(rows)
 
         group: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["sizes"]:
-                    own = np.frombuffer(row["tids"], "V16")
-                    yield answer([x.tobytes() for x in own], [row["slice"]] * len(own), np.frombuffer(row["counts"], "<i4").astype(np.int64),
-                                 np.frombuffer(row["data"], "<i4").astype(np.int64))
+                    yield packed([(row["slice"], row["tids"], row["counts"], row["data"])])
                     continue
                 if group and group[0]["shard"] != row["shard"]:
                     yield solved(group)
@@ -149,11 +153,30 @@ def _repeated_shingles(texts: DataFrame, join: Join) -> DataFrame:
         if group:
             yield solved(group)
 
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums over all shards, a row for each text of a batch."""
+        def summed(group: list[tuple]) -> pa.RecordBatch:
+            tids = np.concatenate([np.frombuffer(r[1], "V16") for r in group])
+            n, repeated = (np.concatenate([np.frombuffer(r[k], "<i4") for r in group]) for k in (2, 3))
+            tids, which = np.unique(tids, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in tids], pa.binary())] + [
+                pa.array(np.bincount(which, x, len(tids)).astype(np.int64)) for x in (n, repeated)], ["tid", "n", "repeated"])
+
+        group: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and group[0][0] != row[0]:
+                    yield summed(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield summed(group)
+
     chunks = texts.mapInArrow(told, "shard int, slice long, sizes boolean, tids binary, counts binary, data binary")
-    answers = chunks.repartition("shard").sortWithinPartitions("shard").mapInArrow(asked, "tid binary, slice long, n long, repeated long")
+    answers = chunks.repartition("shard").sortWithinPartitions("shard").mapInArrow(asked, "slice long, tids binary, n binary, repeated binary")
+    sums = answers.repartition("slice").sortWithinPartitions("slice").mapInArrow(answered, "tid binary, n long, repeated long")
     # each batch gets the whole answer about its texts, so copies in several batches agree
-    return answers.groupBy("tid", "slice").agg(F.sum("n").alias("n"), F.sum("repeated").alias("repeated")) \
-        .groupBy("tid").agg(F.max("n").alias("n"), F.max("repeated").alias("repeated"))
+    return sums.groupBy("tid").agg(F.max("n").alias("n"), F.max("repeated").alias("repeated"))
 
 
 def _signature(own: np.ndarray) -> bytes:
@@ -279,13 +302,15 @@ def _candidate_edges(sets: DataFrame, join: Join) -> DataFrame:
     light = light.select("tid", "token", F.explode(F.array(band, band + 1)).alias("band"))
     counts = light.groupBy("token", "band").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     total = counts.agg(F.sum("held")).first()[0] or 0
-    shards = max(8, int(total // join.shard_rows))
-    parts = F.ceil(F.col("held") / join.part).cast("int")
-    met = light.join(counts.select("token", "band", parts.alias("parts")), ["token", "band"])
-    common = F.array(F.xxhash64(F.lit(0), F.pmod(F.xxhash64("token"), F.lit(shards)), "band"))
-    single = F.transform(_pairs_of_parts(_part_of(F.col("tid"), F.col("parts")), F.col("parts")), lambda p: F.xxhash64(F.lit(1), "token", "band", p))
-    placed = met.select("tid", "token", F.explode(F.when(F.col("parts") == 1, common).otherwise(single)).alias("tile"))
-    tiles = placed.groupBy("tid", "tile").agg(F.collect_list("token").alias("tokens")).join(sets.select("tid", "n", "bitmap"), "tid")
+    shards = max(4, int(total // join.shard_rows))
+    met = light.join(counts.select("token", "band"), ["token", "band"])
+    # all of a text's shingles in a shard travel as one row
+    shard = F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int")
+    placed = stored(met.groupBy(shard.alias("shard"), "band", "tid").agg(F.collect_list("token").alias("tokens")), "placed")
+    parts = F.ceil(F.count(F.lit(1)) / join.tile).cast("int")
+    sized = placed.join(placed.groupBy("shard", "band").agg(parts.alias("parts")), ["shard", "band"])
+    pairs = F.transform(_pairs_of_parts(_part_of(F.col("tid"), F.col("parts")), F.col("parts")), lambda p: F.xxhash64("shard", "band", p))
+    tiles = sized.select("tid", "tokens", F.explode(pairs).alias("tile")).join(sets.select("tid", "n", "bitmap"), "tid")
     return _tile_edges(tiles, join)
 
 

@@ -59,7 +59,7 @@ def corpus():
 
 @pytest.mark.parametrize("small", [False, True])
 def test_join_equals_brute_force(spark, small):
-    join = jaccard.Join(part=2, shard_bytes=1 << 10, shard_rows=64) if small else jaccard.Join()
+    join = jaccard.Join(tile=3, part=2, shard_bytes=1 << 10, shard_rows=64) if small else jaccard.Join()
     docs = corpus()
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, tid string").repartition(3)
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join_texts(df, join).collect())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fareloom import constants as C
 from fareloom.functions.numeric import lookup, to_places
 from fareloom.functions.text import code, source_name
+from fareloom.operators.joins import join_cohort
 
 USABLE = "data_quality_score >= 80 and not is_outlier"
 
@@ -268,7 +269,7 @@ def in_basket(df: DataFrame, basket: DataFrame | None = None) -> DataFrame:
     """Rows of the monitored sectors."""
     if basket is None:
         return df.filter(F.col("sector").isin(C.SECTOR_CODES))
-    return df.join(basket.select("sector"), "sector", "left_semi")
+    return join_cohort(df, basket.select("sector").distinct(), ["sector"], "left_semi")
 
 
 def basket_grid(sectors: DataFrame) -> DataFrame:
@@ -368,7 +369,7 @@ def asof_fuel(quotes: DataFrame, prices: DataFrame, date: str = "scrape_date", k
     filled = (line.withColumn("series", F.lit(0))
               .withColumn("fuel_price", F.last("price", ignorenulls=True).over(order))
               .filter("asked").select(*keys, F.col("d").alias(date), "fuel_price"))
-    return quotes.join(filled, [*keys, date], "left")
+    return join_cohort(quotes, filled, [*keys, date], "left")
 
 
 def fuel_correlation(joined: DataFrame, keys: Sequence[str] = (), fare: str = "fare", fuel: str = "fuel_price") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fareloom import constants as C
@@ -19,7 +19,7 @@ def with_flight_key(df: DataFrame) -> DataFrame:
 
 
 def deduplicate_quotes(
-    df: DataFrame, fare: str = "raw_total_fare", scope_cols: Sequence[str] = (),
+    df: DataFrame, fare: str | Column = "raw_total_fare", scope_cols: Sequence[str] = (),
     order: Sequence[str] = ("scrape_timestamp", "quote_id"),
 ) -> DataFrame:
     """Direct source first, then lowest fare, then first seen.

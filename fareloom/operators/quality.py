@@ -12,7 +12,9 @@ from fareloom.functions import text
 from fareloom.functions.numeric import to_places
 from fareloom.operators import decompose, dedup
 from fareloom.operators.normalize import handle_sold_out
+from fareloom.operators.joins import join_cohort
 from fareloom.operators.ranking import approx_quantiles, exact_quantiles
+from fareloom.session import stored
 from fareloom.sources.schemas import CLEAN_QUOTE
 
 COHORT = ["sector", "advance_days", "weekday"]
@@ -88,7 +90,7 @@ def cohort_stats(
 
 def cohort_frame(df: DataFrame, stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every row with its cohort's statistics (null where the cohort has none)."""
-    return df.join(stats, keys or COHORT, "left")
+    return join_cohort(df, stats, keys or COHORT, "left")
 
 
 def evaluate_outliers(df: DataFrame, fare: str = "raw_total_fare", limits: OutlierLimits = LIMITS) -> DataFrame:
@@ -180,7 +182,7 @@ def clean_quotes_batch(
     """
     rows = dedup.previous_day_fare(raw) if with_prev_fare else raw
     rows = dedup.deduplicate_quotes(rows, scope_cols=scope_cols) if deduplicate else rows
-    rows = with_cohort(rows)
+    rows = stored(with_cohort(rows), "deduplicated")  # used twice: for the statistics and for the rows
     stats = cohort_stats(rows, approximate=approximate)
     return clean_rows(cohort_frame(rows, stats), **tariffs)
 

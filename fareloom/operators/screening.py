@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fareloom.functions.numeric import clip, to_places
 from fareloom.functions.text import row_key
+from fareloom.operators.joins import join_cohort
 from fareloom.operators.ranking import exact_quantiles, value_ranks
 
 
@@ -47,21 +48,21 @@ def mad_anomalies(
     usable = quotes.filter(F.col(fare) > 0).withColumn("fare", F.col(fare).cast("double"))
     medians = exact_quantiles(usable.select(*keys, "fare"), keys, "fare", {"median_fare": 0.5})
     medians = medians.filter(F.col("n") >= limits.min_quotes).drop("n")
-    gaps = usable.select(*keys, "fare").join(medians, keys).select(
+    gaps = join_cohort(usable.select(*keys, "fare"), medians, keys).select(
         *keys, F.abs(F.col("fare") - F.col("median_fare")).alias("gap"))
     mads = exact_quantiles(gaps, keys, "gap", {"mad": 0.5}).drop("n")
     moments = usable.groupBy(*keys).agg(F.avg("fare").alias("mean_fare"), F.stddev_pop("fare").alias("std_fare"))
     cohort = medians.join(mads, keys).join(moments, keys).withColumn(
         "mad", F.when(F.col("mad") < 1e-4, F.when(F.col("std_fare") > 1e-4, F.col("std_fare") / 1.4826).otherwise(1.0))
         .otherwise(F.col("mad")))
-    rows = usable.join(cohort, keys)
+    rows = join_cohort(usable, cohort, keys)
     mod_z = (F.col("fare") - F.col("median_fare")) * 0.6745 / F.col("mad")
     std_z = F.when(F.col("std_fare") > 0, (F.col("fare") - F.col("mean_fare")) / F.col("std_fare")).otherwise(0.0)
     rows = rows.withColumn("eff_z", F.greatest(F.abs(mod_z), F.abs(std_z)))
     flagged = rows.filter((F.col("eff_z") >= limits.z) | (F.col("fare") > limits.fare_flag)
                           | (F.col("fare") > F.col("median_fare") * limits.times_median))
     severity = (F.when((F.col("eff_z") >= limits.z_critical) | (F.col("fare") > limits.fare_critical), "critical")
-                .when(F.col("eff_z") >= 3.0, "high").otherwise("medium"))
+                .when(F.col("eff_z") >= limits.z, "high").otherwise("medium"))
     low = F.greatest(F.lit(limits.low), F.col("median_fare") - F.col("mad") * limits.band)
     high = F.least(F.lit(limits.high), F.col("median_fare") + F.col("mad") * limits.band)
     out = flagged.withColumns({
@@ -117,7 +118,7 @@ def variance_spikes(quotes: DataFrame, cohort: Sequence[str], date: str = "trave
             (F.stddev_pop(fare) / F.avg(fare)).alias(f"{prefix}cv"), F.count(F.lit(1)).alias(f"{prefix}n"))
 
     day, base = moments([*cohort, date], ""), moments(cohort, "base_")
-    return day.join(base, list(cohort)).withColumn(
+    return join_cohort(day, base, cohort).withColumn(
         "is_spike", (F.col("cv") > F.col("base_cv") * times) & (F.col("std") > min_std))
 
 
@@ -126,7 +127,7 @@ def consensus_fares(quotes: DataFrame, item: Sequence[str], source: str = "sourc
     """Median over the sources that are within ``tolerance`` of the first median."""
     keys = list(item)
     first = exact_quantiles(quotes, keys, fare, {"median_fare": 0.5}).drop("n")
-    near = quotes.join(first, keys).filter(
+    near = join_cohort(quotes, first, keys).filter(
         F.abs(F.col(fare) - F.col("median_fare")) < F.col("median_fare") * tolerance)
     return exact_quantiles(near, keys, fare, {"consensus_fare": 0.5}, count_as="agreeing_quotes")
 
@@ -137,7 +138,7 @@ def source_reliability(quotes: DataFrame, item: Sequence[str], source: str = "so
     keys = list(item)
     first = exact_quantiles(quotes, keys, fare, {"median_fare": 0.5}).drop("n")
     near = F.abs(F.col(fare) - F.col("median_fare")) < F.col("median_fare") * tolerance
-    return quotes.join(first, keys).groupBy(source).agg(
+    return join_cohort(quotes, first, keys).groupBy(source).agg(
         F.count(F.lit(1)).alias("quotes"), F.avg(near.cast("double")).alias("reliability"))
 
 
@@ -145,5 +146,5 @@ def three_sigma(quotes: DataFrame, keys: Sequence[str] = ("sector",), fare: str
                 sigmas: float = 3.0) -> DataFrame:
     """Quotes outside mean ± 3σ of their route; the route table is joined back."""
     stats = quotes.groupBy(*keys).agg(F.avg(fare).alias("route_mean"), F.stddev_pop(fare).alias("route_std"))
-    return quotes.join(stats, list(keys)).withColumn(
+    return join_cohort(quotes, stats, keys).withColumn(
         "outside_3_sigma", F.abs(F.col(fare) - F.col("route_mean")) > F.col("route_std") * sigmas)

@@ -1302,3 +1302,91 @@ def r5(spark, sf):
     stream = spark.readStream.schema(levels.schema).parquet(arrivals)
     return flows.run_available(flows.published_series(stream), path, checkpoint).select(
         "series_id", F.col("period").alias("month"), "published_index")
+
+
+# --- whole paths and further forms ------------------------------------------------------------
+
+CLEANED = (*O.CLEAN, f"usable as (select * replace (upper(trim(flight_number)) as flight_number) from clean where data_quality_score>=80 and not is_outlier and not is_quarantined and sector in ({O.quoted(C.SECTOR_CODES)}))")
+
+
+def cleaned_store(spark: SparkSession, sf: str) -> DataFrame:
+    """P1, P2, W2, A14 and P20 on raw quotes, stored (S10) and read back through P9."""
+    store = flows.scratch_path(spark, "e2e")
+    clean = quality.clean_quotes_batch(tables.valid_quotes(spark, sf))
+    quotes.write_store(quotes.stored_form(weights.attach_dims(clean)), store)
+    return quality.clean_quotes(quotes.read_store(spark, store)).filter(F.col("sector").isin(C.SECTOR_CODES))
+
+
+def _e2e_sql(fare: str) -> str:
+    usable = f"usable_y as (select * replace ({fare} as total_fare),year(travel_date) yr from usable)"
+    return with_(*CLEANED, usable, *O.elementary("usable_y", "yr", "b.period=1995"), O.routes(), O.OMEGA, O.NATIONAL) + \
+        "select period yr,composite_index,missing_cells_count from nat"
+
+
+def _e2e(spark: SparkSession, sf: str, fare: str) -> DataFrame:
+    usable = cleaned_store(spark, sf).withColumn("yr", F.year("travel_date"))
+    cells = route.route_indices(elementary.elementary_indices(usable, "yr", 1995, fare), ["yr"], details=False)
+    return national.national_laspeyres(cells, national.default_omega(spark), ["yr"]).select("yr", "composite_index", "missing_cells_count")
+
+
+@check("e2e_year_index", _e2e_sql("total_fare"))
+def e2e_year(spark, sf):
+    return _e2e(spark, sf, "total_fare")
+
+
+@check("f5_base_fare_index", _e2e_sql("base_fare"))
+def f5(spark, sf):
+    return _e2e(spark, sf, "base_fare")
+
+
+LATER_SHARES = {"6E": 0.5, "AI": 0.3, "SG": 0.2}
+
+
+@check("f6_two_share_tables", with_(*O.YEARLY[:-3]) + f"select period yr,sector,advance_days,{R('exp(0.5::double*(sum(w0*ln(index_value))/sum(w0)+sum(wt*ln(index_value))/sum(wt)))', 6)} index_value from (select *,{O.case('carrier_code', C.CARRIER_SHARES, str(C.UNKNOWN_CARRIER_SHARE))} w0,{O.case('carrier_code', LATER_SHARES, str(C.UNKNOWN_CARRIER_SHARE))} wt from elem) group by 1,2,3")
+def f6(spark, sf):
+    return route.route_indices(yearly_elementary(spark, sf), ["yr"], None, LATER_SHARES, details=False).drop("carriers")
+
+
+@check("a9_without_imputation", with_(*O.YEARLY) + f"select period yr,{R('s', 4)} composite_index from nat0")
+def a9_plain(spark, sf):
+    return national.national_laspeyres(yearly_routes(spark, sf), national.default_omega(spark), ["yr"], impute=False).select("yr", "composite_index")
+
+
+@check("a9_with_fallback", with_(*O.YEARLY) + f"select period yr,{R('s+((select sum(omega) from omega)-w)*100', 4)} composite_index from nat0")
+def a9_fallback(spark, sf):
+    return national.national_laspeyres(yearly_routes(spark, sf), national.default_omega(spark), ["yr"], False, 1.0).select("yr", "composite_index")
+
+
+@check("w12_from_pairs", ORACLES["w6_w12_rygeks_mean"])
+def w12_pairs(spark, sf):
+    levels = carrier_months(spark, sf)
+    pairs = multilateral.bilateral_pairs(levels, 14, period="month").select("series_id", "p_from", "p_to", "rel")
+    found = multilateral.rygeks_series(pairwise=pairs, periods=levels.select("series_id", "month"), period="month")
+    return found.select("series_id", day("month"), "published_index", F.lit("mean").alias("method"), "window_length", "is_expanding_window")
+
+
+@check("s1_s2_file_round_trip", ORACLES["s1_read_quotes"])
+def s1_files(spark, sf):
+    path = flows.scratch_path(spark, "quote-files")
+    quotes.write_quotes(tables.raw_quotes(spark, sf), path)
+    return quotes.read_quotes(spark, path, multi_line=False).select(
+        "quote_id", "origin_iata", "carrier_code", day("travel_date"), F.col("raw_total_fare").cast("double"), "advance_days")
+
+
+@check("a32_s17_report", with_(*O.USE, _SERIES) + f"select year(d) \"year\",cast(d as varchar) date,{R('predicted', 2)} predicted_fare,{R('actual', 2)} actual_fare from al")
+def s17(spark, sf):
+    """The nested report, written, read back and unnested."""
+    path = flows.scratch_path(spark, "report")
+    quotes.write_report(validation.backtest_report(aligned(spark, sf), ["year"]), path)
+    entry = "struct<date:string,predicted_fare:double,actual_fare:double>"
+    report = spark.read.schema(f"year int, time_series_comparison array<{entry}>").json(path)
+    return report.select("year", F.inline("time_series_comparison"))
+
+
+@check("s11_append_cpi", with_(O.CPI) + f"select code,count(*) n,{R('sum(index_value)', 2)} total from cpi group by 1")
+def s11(spark, sf):
+    path = flows.scratch_path(spark, "cpi")
+    records = cpi_records(spark, sf)
+    for load in (0, 1):
+        cpi.append_cpi(records.filter(F.col("record_id") % 2 == load), path, load)
+    return spark.read.parquet(path).groupBy("code").agg(F.count(F.lit(1)).alias("n"), to_places(F.sum("index_value"), 2).alias("total"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from fareloom import constants as C
 from fareloom.functions.numeric import to_places
+from fareloom.operators.dedup import deduplicate_quotes
 from fareloom.operators.normalize import normalize_quotes
 from fareloom.operators.quality import clean_rows, stored_form
-from fareloom.session import scratch_path
+from fareloom.session import stored
 from fareloom.sources.schemas import CLEAN_QUOTE, RAW_QUOTE_FILE
 from fareloom.sources.weights import attach_dims
 
@@ -51,37 +54,48 @@ def upsert_quotes(existing: DataFrame, batch: DataFrame, key: str = "quote_id",
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The fact table; filters on the travel month prune folders."""
-    schema = CLEAN_QUOTE.add(STORE_PARTITION, "string") if STORE_PARTITION not in CLEAN_QUOTE.fieldNames() else CLEAN_QUOTE
+    schema = StructType([*CLEAN_QUOTE.fields, StructField(STORE_PARTITION, StringType())])
     return spark.read.schema(schema).parquet(path)
 
 
 def write_store(facts: DataFrame, path: str) -> None:
-    """Month folders, sorted within for the index's filters; touched months are replaced."""
+    """Month folders, sorted within for the index's filters; touched months are replaced.
+
+    Rebalancing keeps a month and sector together only as far as the advisory partition
+    size goes; a cell with very many rows becomes several tasks and files.
+    """
     monthly = facts.withColumn(STORE_PARTITION, F.date_format("travel_date", "yyyy-MM"))
-    (monthly.repartition(STORE_PARTITION, "sector").sortWithinPartitions("sector", "advance_days", "carrier_code")
+    (monthly.hint("rebalance", STORE_PARTITION, "sector").sortWithinPartitions("sector", "advance_days", "carrier_code")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(STORE_PARTITION).parquet(path))
 
 
-def merge_store(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    """S10 on disk: only months the batch touches are rewritten.
+def one_per_flight(facts: DataFrame) -> DataFrame:
+    """W2 on stored facts; a fare put in for a sold-out quote counts as the missing one it was."""
+    filled = F.col("is_sold_out") & (F.col("total_fare") == C.SOLD_OUT_FARE)
+    return deduplicate_quotes(facts, F.when(filled, 0.0).otherwise(F.col("total_fare")))
+
+
+def merge_store(spark: SparkSession, path: str, batch: DataFrame, per_flight: bool = False) -> None:
+    """S10 on disk: only months the batch touches are read in full and rewritten.
 
-    A month also counts as touched when it holds a row the batch replaces. The merged
+    With ``per_flight`` the merged rows are reduced to one per flight (W2), as the quotes of
+    a flight may come in several batches. A month also counts as touched when it holds a row
+    the batch replaces. The merged
     months go to the shared scratch folder first, because a folder cannot be read and
     replaced by one job; a failure before the last write leaves the store as it was.
     """
     existing = read_store(spark, path)
     month = F.date_format("travel_date", "yyyy-MM").alias(STORE_PARTITION)
-    replaced = existing.join(batch.select("quote_id"), "quote_id", "left_semi").select(STORE_PARTITION)
-    touched = batch.select(month).union(replaced).distinct()
-    stored = existing.join(touched, STORE_PARTITION, "left_semi").drop(STORE_PARTITION)
-    merged = upsert_quotes(stored, batch.select(*stored.columns))
-    staged = scratch_path(spark, "merge")
-    merged.write.parquet(staged)
-    whole = spark.read.schema(CLEAN_QUOTE).parquet(staged)
-    emptied = touched.join(whole.select(month).distinct(), STORE_PARTITION, "left_anti")
-    if not emptied.isEmpty():
-        raise ValueError("the batch moves every row out of a month; rewrite the store instead")
+    batch = stored(batch.select(*CLEAN_QUOTE.fieldNames()), "batch")  # used three times below
+    replaced = existing.select("quote_id", STORE_PARTITION).join(batch.select("quote_id"), "quote_id", "left_semi").select(STORE_PARTITION)
+    touched = stored(batch.select(month).union(replaced).distinct(), "months")
+    kept = existing.join(touched, STORE_PARTITION, "left_semi").drop(STORE_PARTITION)
+    merged = upsert_quotes(kept, batch.select(*kept.columns))
+    whole = stored(one_per_flight(merged) if per_flight else merged, "merge")
     write_store(whole, path)
+    # months that lost all their rows, which replacing folders leaves as they were
+    for row in touched.join(whole.select(month).distinct(), STORE_PARTITION, "left_anti").toLocalIterator():
+        whole.limit(0).write.mode("overwrite").parquet(f"{path}/{STORE_PARTITION}={row[0]}")
 
 
 def export_rows(national: DataFrame, sectors: DataFrame, frequency: str = "daily") -> DataFrame:

@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from fareloom import constants as C
 from fareloom.operators import dedup, decompose, quality
 from fareloom.operators.normalize import handle_sold_out, normalize_quotes, validate_quotes
-from fareloom.session import scratch_path
+from fareloom.session import scratch_path, stored
 from fareloom.sources.quotes import merge_store, read_store, stored_form, write_store
 from fareloom.sources.schemas import RAW_QUOTE_FILE
 from fareloom.sources.weights import attach_dims
@@ -75,12 +76,14 @@ def upsert_batches(store: str, cohort_history: bool = True, on_batch: Callable[[
     """A ``foreachBatch`` function: W2, cohort statistics, P17/P18, then S10.
 
     A micro-batch alone would judge fares against itself, so the stored fares of the same
-    cohorts count too. Replaying a batch gives the same store.
+    cohorts count too; rows stored earlier keep the verdict of their time. Repeats of a
+    flight in other batches are settled against the stored rows. Replaying a batch gives the
+    same store.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         valid, _ = validate_quotes(normalize_quotes(batch))
-        rows = quality.with_cohort(dedup.deduplicate_quotes(valid))
+        rows = stored(quality.with_cohort(dedup.deduplicate_quotes(valid)), "micro-batch")
         fares = rows.select(*quality.COHORT, F.col("raw_total_fare").cast("double").alias("raw_total_fare"), "quote_id")
         known = _exists(spark, store)
         if known and cohort_history:
@@ -92,7 +95,7 @@ def upsert_batches(store: str, cohort_history: bool = True, on_batch: Callable[[
         framed = quality.cohort_frame(rows, quality.cohort_stats(fares))
         facts = stored_form(attach_dims(quality.clean_rows(framed)))
         if known:
-            merge_store(spark, store, facts)
+            merge_store(spark, store, facts, per_flight=True)
         else:
             write_store(facts, store)
         if on_batch is not None:
@@ -101,8 +104,10 @@ def upsert_batches(store: str, cohort_history: bool = True, on_batch: Callable[[
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+    try:
+        return bool(spark.read.schema("quote_id string").parquet(path).inputFiles())
+    except AnalysisException:  # no such folder yet
+        return False
 
 
 SERIES_OUT = "series_id string, period string, published_index double, window_length int, level_adjustment_factor double"
@@ -113,8 +118,8 @@ def published_series(levels: DataFrame, length: int = 13, base_value: float = 10
     """Each new period of a series is spliced (mean splice) onto what was published.
 
     ``levels``: series_id, period, level, new periods in order. State is the last
-    ``length`` periods; a period already published, or older than the newest, is ignored,
-    so nothing is ever revised. The relatives come from one level series, for which the
+    ``length`` periods. Nothing is ever revised: a period already published is ignored, and
+    one that comes late is given out with a null value and window length 0. The relatives come from one level series, for which the
     GEKS vector of a window is the levels over its first level. The function carries all
     it needs, so workers need not have this package.
     """
@@ -127,6 +132,8 @@ def published_series(levels: DataFrame, length: int = 13, base_value: float = 10
         out = []
         for period, level in zip(arrived["period"], arrived["level"]):
             if periods and period <= periods[-1]:
+                if period not in periods:  # late: told, for a correction by the batch path
+                    out.append((key[0], period, None, 0, None))
                 continue
             known = (known + [float(level)])[-length:]
             if not published:

@@ -165,3 +165,52 @@ def test_upsert_stream_in_two_batches(spark, sample, tmp_path):
         flows.run_batches(stream, flows.upsert_batches(store, on_batch=lambda facts, i: seen.append(i)), str(tmp_path / "ck"))
     rows = quotes.read_store(spark, store)
     assert seen == [0, 1] and rows.count() == rows.select("quote_id").distinct().count() > 0
+
+
+def test_merge_settles_flights_and_empties_months(spark, sample, tmp_path):
+    store = str(tmp_path / "store")
+    raw = normalize.normalize_quotes(tables.raw_quotes_of(some_lines(spark, sample, "l_orderkey % 3 = 0")))
+    facts = quotes.to_facts(normalize.validate_quotes(raw)[0]).dropDuplicates(["quote_id"])
+    quotes.write_store(facts, store)
+    month = F.date_format("travel_date", "yyyy-MM")
+    first = facts.select(F.min(month)).first()[0]
+    moved = facts.filter(month == first).withColumn("travel_date", F.add_months("travel_date", 500))
+    quotes.merge_store(spark, store, moved)
+    rows = quotes.read_store(spark, store)
+    assert rows.count() == facts.count() and rows.filter(month == first).count() == 0
+    quotes.merge_store(spark, store, facts.withColumn("quote_id", F.concat("quote_id", F.lit("-again"))), per_flight=True)
+    again = quotes.read_store(spark, store).filter(month != first).filter(month < "2030")
+    assert again.count() == quotes.one_per_flight(facts.filter(month != first)).count()
+
+
+def test_upsert_over_batches_has_the_flights_of_one(spark, sample, tmp_path):
+    """Four micro-batches in shuffled order leave the flights that one batch leaves."""
+    lines = tables.table(spark, sample, "lineitem").filter("l_orderkey % 2 = 0")
+    lines.repartition(4, F.rand(3)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {}
+    for name, per_batch in (("one", None), ("four", 1)):
+        raw = tables.raw_quotes_of(flows.table_stream(spark, str(tmp_path), "lineitem", per_batch))
+        store = str(tmp_path / name)
+        flows.run_batches(raw, flows.upsert_batches(store), str(tmp_path / f"{name}-ck"))
+        rows = quotes.read_store(spark, store).select("quote_id", "total_fare").collect()
+        got[name] = sorted(map(tuple, rows))
+    assert got["one"] == got["four"]
+
+
+def test_both_forms_of_a_cohort_join_agree(spark):
+    from fareloom.operators.joins import join_cohort
+    rows = spark.createDataFrame([(i % 3, float(i)) for i in range(60)], "k int, v double")
+    side = spark.createDataFrame([(0, "a"), (1, "b")], "k int, name string")
+    for how in ("inner", "left", "left_semi"):
+        small, large = (join_cohort(rows, side, ["k"], how, max_rows=m) for m in (10, 1))
+        assert sorted(map(str, small.collect())) == sorted(map(str, large.collect())) and small.columns == large.columns
+
+
+def test_late_period_is_told(spark, tmp_path):
+    schema, folder = "series_id string, period string, level double", str(tmp_path / "levels")
+    for part in ([("a", "2024-01", 100.0), ("a", "2024-03", 110.0)], [("a", "2024-02", 105.0), ("a", "2024-03", 110.0), ("a", "2024-04", 121.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        got = flows.run_available(flows.published_series(stream, length=4), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert sorted((r.period, r.window_length, r.published_index) for r in got.collect()) == [
+        ("2024-01", 1, 100.0), ("2024-02", 0, None), ("2024-03", 2, 110.0), ("2024-04", 3, 121.0)]

@@ -107,11 +107,10 @@ def _induce_by_scan(t: np.ndarray, small: np.ndarray, sigma: int, lms: np.ndarra
         sa[free[c]] = i
     placed = free
     free = (end - size).tolist()
-    for r in range(n):
-        i = sa[r] - 1
-        if i >= 0 and not smaller[i]:
-            c = text[i]
-            sa[free[c]] = i
+    for i in sa:  # the sweep sees what it has put in further on
+        if i > 0 and not smaller[i - 1]:
+            c = text[i - 1]
+            sa[free[c]] = i - 1
             free[c] += 1
     for c, upto in enumerate(end.tolist()):  # the LMS places are filled anew
         for r in range(placed[c], upto):
@@ -119,42 +118,57 @@ def _induce_by_scan(t: np.ndarray, small: np.ndarray, sigma: int, lms: np.ndarra
     free = end.tolist()
     sa[0] = n - 1
     free[text[n - 1]] -= 1
-    for r in range(n - 1, -1, -1):
-        i = sa[r] - 1
-        if i >= 0 and smaller[i]:
-            c = text[i]
+    for i in reversed(sa):
+        if i > 0 and smaller[i - 1]:
+            c = text[i - 1]
             free[c] -= 1
-            sa[free[c]] = i
+            sa[free[c]] = i - 1
     return np.array(sa, np.int64)
 
 
+def _named(t: np.ndarray, small: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
+    """Ranks of the LMS substrings (each up to the next LMS position, included), equal for equal ones.
+
+    Characters count with their types, larger ones first, so none is a prefix of another.
+    As many as fit a 64-bit number are compared at once; what is equal so far goes on.
+    """
+    item = 2 * t + small
+    bits = int(2 * sigma).bit_length()
+    per, n = 64 // bits, len(lms)
+    length = np.append(np.diff(lms) + 1, 1)
+    rank, open_ = np.zeros(n, np.int64), np.arange(n)
+    for done in range(0, int(length.max()), per):
+        part = np.zeros(len(open_), np.uint64)
+        for k in range(done, done + per):
+            inside = k < length[open_]
+            part <<= np.uint64(bits)
+            part[inside] |= item[lms[open_[inside]] + k].astype(np.uint64)
+        order = np.lexsort((part, rank[open_])) if done else np.argsort(part, kind="stable")
+        open_, part = open_[order], part[order]
+        before = rank[open_]
+        first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (before[1:] != before[:-1])))
+        count = np.diff(np.append(first, len(open_)))
+        # a rank is the number of smaller substrings, so a group's parts stay inside its range
+        group = np.searchsorted(before, before)
+        rank[open_] = before + np.repeat(first, count) - group
+        open_ = open_[np.repeat(count > 1, count)]
+        open_ = open_[length[open_] > done + per]
+        if not len(open_):
+            break
+    return np.unique(rank, return_inverse=True)[1]
+
+
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of integers below ``sigma`` whose last one is 0 and occurs nowhere else."""
-    n = len(t)
-    if n == 1:
+    if len(t) == 1:
         return np.zeros(1, np.int64)
-    induce = _induce_by_bucket if n >= 64 * sigma or sigma <= 512 else _induce_by_scan
     small = _smaller(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        order = induce(t, small, sigma, lms)
-        order = order[is_lms[order]]  # LMS substrings in order
-        length = np.zeros(n, np.int64)  # from each LMS position to the next one, included
-        length[lms[:-1]] = np.diff(lms) + 1
-        length[lms[-1]] = 1
-        same = np.zeros(len(order), bool)
-        pair = np.flatnonzero(length[order[1:]] == length[order[:-1]]) + 1
-        run = length[order[pair]]
-        if len(pair):
-            equal = t[ragged_ranges(order[pair], run)] == t[ragged_ranges(order[pair - 1], run)]
-            same[pair] = np.logical_and.reduceat(equal, ragged_starts(run)[:-1])
-        name = np.zeros(n, np.int64)
-        name[order] = np.cumsum(~same) - 1
-        short = name[lms]
+        short = _named(t, small, sigma, lms)
         names = int(short.max()) + 1
         lms = lms[np.argsort(short)] if names == len(lms) else lms[suffix_array(short, names)]
+    induce = _induce_by_bucket if sigma <= 512 else _induce_by_scan
     return induce(t, small, sigma, lms)
 
 

@@ -13,7 +13,8 @@ from fareloom.session import build_session
 HEADLINE = [
     "national_index_by_year", "p20_clean_quotes_batch", "w2_deduplicate_quotes", "a13_a14_cohort_stats", "a4_elementary_indices",
     "a9_national_laspeyres", "a10_contributions", "w14_daily_index", "a19_w7_weekly_index", "w15_monthly_index",
-    "a16_mad_anomalies", "a24_elasticity", "p21_a28_affordability", "s10_upsert_quotes", "s12_quotes_from_json", "p26_tag_queries",
+    "a16_mad_anomalies", "a24_elasticity", "p21_a28_affordability", "s10_upsert_quotes", "s12_quotes_from_json", "s13_quotes_from_embedded_state", "s14_quotes_from_cards", "p26_tag_queries",
+    "j14_in_basket", "w4_cohort_frame", "d8_asof_fuel", "r4_stream_upsert", "e2e_year_index",
 ]
 
 

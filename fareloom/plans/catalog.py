@@ -1390,3 +1390,17 @@ def s11(spark, sf):
     for load in (0, 1):
         cpi.append_cpi(records.filter(F.col("record_id") % 2 == load), path, load)
     return spark.read.parquet(path).groupBy("code").agg(F.count(F.lit(1)).alias("n"), to_places(F.sum("index_value"), 2).alias("total"))
+
+
+HIGHER_FEES = {source: 2 * fee for source, fee in C.SOURCE_FEES.items()}
+_TARIFF_SQL = O.parts("valid").replace(O.case("source", C.SOURCE_FEES), O.case("source", HIGHER_FEES)).replace("180", "200") \
+    .replace("/1.05::double", "/1.12::double").replace("tx*0.05::double", "tx*0.12::double")
+
+
+@check("f2_tariffs", with_(*O.BASE, _TARIFF_SQL) + f"select quote_id,{','.join(PART_COLUMNS)} from pt")
+def f2(spark, sf):
+    """A service-fee table, a convenience-fee table and a tax rate of the caller's own."""
+    valid = tables.valid_quotes(spark, sf)
+    psf = valid.select(F.col("origin_iata").alias("origin")).distinct().withColumn("psf", F.lit(200.0))
+    fees = spark.createDataFrame(list(HIGHER_FEES.items()), "source string, fee double")
+    return decompose.decompose_fare(valid, gst_rate=0.12, exact=False, psf_rates=psf, fees=fees).select("quote_id", *PART_COLUMNS)

@@ -22,18 +22,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back.
 
     Later stages, retries and lost executors read the files instead of computing the
-    plan again. The folder is the one the cluster names in ``spark.checkpoint.dir``.
+    plan again. The folder is the one the cluster names in ``spark.checkpoint.dir``. The
+    path is added to ``paths``, for a caller who will ``release`` it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Empties stored tables that no later plan reads, so that their room is free again."""
+    for path in paths:
+        spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+    paths.clear()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.common import NOT_SPACE, WordHashes, mixed, ragged_ranges, ragged_starts, slices, stored, text_key
+from fareloom.llm.common import NOT_SPACE, WordHashes, mixed, ragged_ranges, ragged_starts, release, slices, stored, text_key
 from fareloom.llm.components import components
 
 
@@ -295,7 +295,7 @@ def _pairs_of_parts(part: Column, parts: Column) -> Column:
                        lambda other: F.least(part, other).cast("long") * parts + F.greatest(part, other))
 
 
-def _candidate_edges(sets: DataFrame, join: Join) -> DataFrame:
+def _candidate_edges(sets: DataFrame, join: Join, paths: list[str]) -> DataFrame:
     light = sets.select("tid", "n", F.explode("prefix").alias("token"))
     # neighbouring bands hold all sizes that can reach the threshold
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(join.under / join.over)) + F.lit(1e-9)).cast("int")
@@ -306,7 +306,7 @@ def _candidate_edges(sets: DataFrame, join: Join) -> DataFrame:
     met = light.join(counts.select("token", "band"), ["token", "band"])
     # all of a text's shingles in a shard travel as one row
     shard = F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int")
-    placed = stored(met.groupBy(shard.alias("shard"), "band", "tid").agg(F.collect_list("token").alias("tokens")), "placed")
+    placed = stored(met.groupBy(shard.alias("shard"), "band", "tid").agg(F.collect_list("token").alias("tokens")), "placed", paths)
     parts = F.ceil(F.count(F.lit(1)) / join.tile).cast("int")
     sized = placed.join(placed.groupBy("shard", "band").agg(parts.alias("parts")), ["shard", "band"])
     pairs = F.transform(_pairs_of_parts(_part_of(F.col("tid"), F.col("parts")), F.col("parts")), lambda p: F.xxhash64("shard", "band", p))
@@ -345,12 +345,12 @@ def _verified(rows: DataFrame, join: Join) -> DataFrame:
     return _by_group(rows.select("tile", "tid", "n", "bitmap", "members", "label"), "tile", solved, "a binary, b binary")
 
 
-def _links(sets: DataFrame, join: Join) -> DataFrame:
+def _links(sets: DataFrame, join: Join, paths: list[str]) -> DataFrame:
     """``node, root`` over all texts that have a partner."""
-    groups = components(_candidate_edges(sets, join))
+    groups = components(_candidate_edges(sets, join, paths))
     sized = groups.join(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / join.part).cast("int").alias("parts")), "root")
     members = stored(sized.select(F.col("node").alias("tid"), F.col("root").alias("block"), "parts",
-                                  _part_of(F.col("node"), F.col("parts")).alias("part")).join(sets, "tid").drop("prefix"), "blocks")
+                                  _part_of(F.col("node"), F.col("parts")).alias("part")).join(sets, "tid").drop("prefix"), "blocks", paths)
     # first round: every part with itself and with the first part
     with_first = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     tiles = F.transform(with_first, lambda p: F.xxhash64("block", p, F.lit(0)))  # tile p holds the parts 0 and p
@@ -372,17 +372,19 @@ def join_texts(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", tex
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("tid"), F.col(text).cast("string").cast("binary").alias("text"))
     texts = rows.where("text is not null").select("tid", "text")
-    counted = stored(_repeated_shingles(texts, join), "shingles")
-    distinct = stored(rows.groupBy("tid").agg(F.min("doc_id").alias("least")), "texts")
+    paths: list[str] = []
+    counted = stored(_repeated_shingles(texts, join), "shingles", paths)
+    distinct = stored(rows.groupBy("tid").agg(F.min("doc_id").alias("least")), "texts", paths)
     able = counted.where((F.col("n") > 0) & (join.under * F.col("repeated") >= join.over * F.col("n"))).select("tid")
     # one row stands for all copies; with the id in the key, a text of very many copies is spread
     chosen = distinct.join(able, "tid").select(F.col("tid").alias("tid_"), "least")
     texts = rows.join(chosen, (F.col("tid") == F.col("tid_")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("tid", "text")
-    sets = stored(_sets(texts.dropDuplicates(["tid"]), join), "sets")
-    roots = _links(sets, join)
+    sets = stored(_sets(texts.dropDuplicates(["tid"]), join), "sets", paths)
+    roots = _links(sets, join, paths)
     rooted = distinct.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "least", F.coalesce("root", "tid").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("tid", "root", "component")
-    known = counted.select("tid", "n").join(named, "tid")
+    known = stored(counted.select("tid", "n").join(named, "tid"), "named")
+    release(docs.sparkSession, paths)
     size = F.coalesce("n", F.lit(0).cast("long"))
     return rows.select("doc_id", "tid").join(known, "tid", "left").select(
         "doc_id", "tid", size.alias("n_shingles"), F.when(size == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "root")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.common import SPACE, let, stored
+from fareloom.llm.common import SPACE, let, row_key, stored
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -94,15 +94,11 @@ def host_verdicts(base: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return joined.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > rules.host_rate).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text", host: str = "source",
-          carry: bool = False) -> DataFrame:
-    """Per row: id, host, measures, ``base_failed``, the host's figures and ``kept``.
-
-    With ``carry`` the whole input row comes along as the struct ``row``.
-    """
-    ids = [F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host")]
+def judge(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """Per row: ``row_key``, id, host, measures, ``base_failed``, the host's figures and ``kept``."""
+    ids = [row_key(doc_id, text).alias("row_key"), F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host")]
     parts = [c.alias(name) for name, c in measure(docs, rules, text).items()]
-    base = docs.select(*ids, *parts, *([F.struct("*").alias("row")] if carry else []))
+    base = docs.select(*ids, *parts)
     # the measures cost a pass over all texts: keep them for the two uses below
     base = stored(base.withColumn("base_failed", failed(rules)), "quality")
     hosts = host_verdicts(base, rules).withColumnRenamed("host", "host_")
@@ -110,6 +106,8 @@ def judge(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text:
     return both.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def keep_good(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` whose document and host pass, columns unchanged."""
-    return judge(docs, rules, carry=True).where("kept").select("row.*")
+    good = judge(docs, rules, doc_id, text, host).where("kept").select("row_key", F.col("host").alias("host_"))
+    rows = docs.select(F.struct("*").alias("row"), row_key(doc_id, text).alias("row_key"), F.col(host).cast("string").alias("host"))
+    return rows.join(good.distinct(), (rows["row_key"] == good["row_key"]) & F.col("host").eqNullSafe(F.col("host_")), "left_semi").select("row.*")

@@ -205,18 +205,19 @@ def touched(docs: DataFrame, items: Callable[[], Items], index: Index, windows:
     gives, in a worker, the function from a text to its items.
     """
     rows = docs.select(row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").cast("binary").alias("text"))
-    paths: list[str] = []
-    runs = stored(_runs(rows, items, windows), "runs", paths)
+    spark, early, paths = docs.sparkSession, [], []
+    runs = stored(_runs(rows, items, windows), "runs", early)
     counted = runs.groupBy("key").agg(F.sum("anchors").alias("times"), F.count(F.lit(1)).alias("runs")).where("times > 1")
     known = counted.select("key", (F.col("runs") > windows.hot).alias("hot"))
     again = runs.join(known, "key").groupBy("row_key").agg(F.collect_set(F.struct("key", "start", "n", "anchors", "hot")).alias("runs"))
     parts = stored(rows.join(again, "row_key").select("row_key", "text", "runs"), "candidates", paths)
+    release(spark, early)
     segments = stored(_segments(parts, items, windows), "segments", paths)
     marks = _marks(segments, index, shard_bytes)
     places = segments.select("key", "id", "row_key", "start", "n").join(marks, ["key", "id"])
     spans = places.groupBy("row_key").agg(F.collect_set(F.struct("start", "n", "marks")).alias("spans"))
     found = stored(parts.select("row_key", "text").dropDuplicates(["row_key"]).join(spans, "row_key"), "touched")
-    release(docs.sparkSession, paths)
+    release(spark, paths)
     return found
 
 

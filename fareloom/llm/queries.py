@@ -98,8 +98,48 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(read_table(spark, sf_dir, "documents"), scores)
 
 
+JACCARD_SQL = r"""
+with recursive docs as (select row_number() over () as r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                lambda w: w <> '') as ws from documents),
+shingles as (select distinct r, array_to_string(list_slice(ws, i, i + 4), ' ') as s
+             from (select r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from docs where len(ws) > 0)),
+sizes as (select r, count(*) as n from shingles group by r),
+links as (select a, b from (select x.r as a, y.r as b, count(*) as i from shingles x join shingles y on x.s = y.s and x.r <> y.r group by all) p
+          join sizes m on m.r = p.a join sizes n on n.r = p.b where 100 * i >= 75 * (m.n + n.n - i)),
+reach as (select r, r as t from docs union select reach.r, b from reach join links on a = t)
+select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(e.doc_id) as component_id
+from docs d left join sizes using (r) join reach on reach.r = d.r join docs e on e.r = reach.t group by d.r, d.doc_id
+"""
+
+BYTES_SQL = """
+with docs as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+starts as (select r, i from (select r, i, count(*) over (partition by w) as n from
+    (select r, i, md5(substr(h, 2 * i + 1, 800)) as w from (select r, h, unnest(range(0, length(h) // 2 - 399)) as i from docs))) where n > 1),
+bytes as (select r, i, substr(h, 2 * i + 1, 2) as x from (select r, h, unnest(range(0, length(h) // 2)) as i from docs)),
+marked as (select b.r, b.i, x, max(s.i) over (partition by b.r order by b.i rows between 399 preceding and current row) is not null as gone
+           from bytes b left join starts s on s.r = b.r and s.i = b.i),
+edges as (select *, gone and not coalesce(lag(gone) over (partition by r order by i), false) as first from marked),
+kept as (select r, count(*) filter (gone) as n_removed, count(*) filter (first) as n_spans, string_agg(x, '' order by i) filter (not gone) as x from edges group by r)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(x, ''))) as kept_sha256 from docs left join kept using (r)
+"""
+
+WORDS_SQL = r"""
+with docs as (select row_number() over () as r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents),
+starts as (select r, i from (select r, i, count(*) over (partition by w) as n from
+    (select r, i, array_to_string(list_slice(ws, i, i + 34), ' ') as w from (select r, ws, unnest(range(1, len(ws) - 33)) as i from docs))) where n > 1),
+words as (select r, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as w from docs),
+marked as (select b.r, b.i, w, max(s.i) over (partition by b.r order by b.i rows between 34 preceding and current row) is not null as gone
+           from words b left join starts s on s.r = b.r and s.i = b.i),
+kept as (select r, count(*) filter (gone) as n_removed, string_agg(w, ' ' order by i) filter (not gone) as w from marked group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(w, '')) as kept_sha256 from docs left join kept using (r)
+"""
+
 QUERIES = {"op1_language_id": op1_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_line_dedup": op3_line_dedup, "op4_ngram_jaccard": op4_ngram_jaccard,
            "op5_quality_rules": op5_quality_rules,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
-ORACLES = {"op5_quality_rules": QUALITY_SQL}
+ORACLES = {"op4_ngram_jaccard": JACCARD_SQL, "op5_quality_rules": QUALITY_SQL, "op6_suffix_array_dedup": BYTES_SQL,
+           "op7_substring_dedup": WORDS_SQL}

@@ -70,3 +70,10 @@ def test_pipeline_equals_a_plain_one(spark, sample, duck):
     assert lengths == {i: len(t.encode().split()) for i, t in plain}
     assert len({(r.bucket_length, r.batch, r.slot) for r in rows}) == len(rows)
     assert max(r.n_tokens for r in rows) <= packing.Shape().max_length
+
+
+def test_other_queries_equal_their_sql(spark, sample, duck):
+    for name in ("op4_ngram_jaccard", "op6_suffix_array_dedup", "op7_substring_dedup"):
+        rows = queries.QUERIES[name](spark, sample)
+        got = sorted(map(tuple, rows.collect()), key=str)
+        assert got == sorted(sql_rows(duck, queries.ORACLES[name], *rows.columns), key=str), name

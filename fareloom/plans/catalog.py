@@ -548,11 +548,15 @@ def a4(spark, sf):
 
 
 def two_years(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The two last whole years of the data: the last one may be cut off, so it is left out."""
     usable = tables.usable_facts(spark, sf)
-    return usable.filter(F.year("travel_date") == 1999), usable.filter(F.year("travel_date") == 2000)
+    last = usable.agg(F.max(F.year("travel_date")) - 1).scalar()
+    return usable.filter(F.year("travel_date") == last - 1), usable.filter(F.year("travel_date") == last)
 
 
-TWO = (*O.USE, "usable_y as (select *,year(travel_date) yr from usable where year(travel_date) in (1999,2000))",
+# the two last whole years of the data, under the labels 1999 and 2000
+LABELS = "select *,case when year(travel_date)=(select max(year(travel_date))-1 from usable) then 2000 else 1999 end yr from usable where year(travel_date) between (select max(year(travel_date))-2 from usable) and (select max(year(travel_date))-1 from usable)"
+TWO = (*O.USE, f"usable_y as ({LABELS})",
        *O.elementary("usable_y", "yr", "b.period=1999"))
 
 
@@ -632,7 +636,7 @@ def a7(spark, sf):
 
 
 GAP = "sector='DEL-BOM' and carrier_code='6E'"
-GAPPED = (*O.USE, f"usable_y as (select *,year(travel_date) yr from usable where year(travel_date) in (1999,2000) and not ({GAP}))",
+GAPPED = (*O.USE, f"usable_y as ({LABELS} and not ({GAP}))",
           *O.elementary("usable_y", "yr", "b.period=1999"))
 
 

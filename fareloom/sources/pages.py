@@ -168,7 +168,8 @@ def _mark_pattern(form: str, word: str) -> str:
 def quotes_from_cards(df: DataFrame, html: str = "html", kind: str = "airline") -> DataFrame:
     """Split the page at its flight cards, read each card's text.
 
-    A card runs to the start of the next one. Airline pages need ``own_carrier``: bare
+    A card runs to the start of the next one, the last to the end of the page's main part.
+    Airline pages need ``own_carrier``: bare
     digits then count as its flight number, and cards of other carriers are left out.
     """
     page = F.col(html)
@@ -178,7 +179,8 @@ def quotes_from_cards(df: DataFrame, html: str = "html", kind: str = "airline")
     pieces = F.split(page, F.col("mark"))
     cards = F.slice(pieces, F.lit(2), F.size(pieces))
     rows = marked.select("*", F.posexplode(cards).alias("position", "card"))
-    plain = F.regexp_replace(F.regexp_replace("card", "(?s)<[^>]*(?:>|$)", " "), r"&#8377;|&#x20[bB]9;", "₹")
+    inside = F.regexp_replace("card", r"(?is)<(?:footer|/main|/body)\b.*$", "")
+    plain = F.regexp_replace(F.regexp_replace(inside, "(?s)<[^>]*(?:>|$)", " "), r"&#8377;|&#x20[bB]9;", "₹")
     rows = rows.withColumn("card", F.trim(F.regexp_replace(F.regexp_replace(plain, "&nbsp;|&#160;", " "), r"\s+", " ")))
     card = F.col("card")
     named = F.when(F.regexp_extract(card, FLIGHT, 1) != "", F.upper(F.regexp_extract(card, FLIGHT, 1)))

@@ -117,6 +117,8 @@ def test_embedded_and_card_pages(spark):
     agency = pages.quotes_from_cards(page(spark, f"<html>{other}{cards}</html>"), "body", "agency")
     assert agency.count() == 13
     assert pages.quotes_from_cards(page(spark, "<p>nothing here</p>"), "body").count() == 0
+    footer = '<div class="flight-item">6E 101</div><footer>Fees from Rs. 4999, 10:00 to 18:00</footer>'
+    assert pages.quotes_from_cards(page(spark, f"<html>{footer}</html>"), "body").count() == 0
 
 
 @pytest.mark.parametrize("files, per_batch", [(1, None), (4, None), (4, 1)])

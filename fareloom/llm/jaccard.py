@@ -43,10 +43,10 @@ class Join:
     words: int = 5
     over: int = 3
     under: int = 4
-    tile: int = 4096
+    tile: int = 16384
     part: int = 1024
     shard_bytes: int = 32 << 20
-    shard_rows: int = 1 << 18
+    shard_rows: int = 1 << 21
 
 
 class Shingler:

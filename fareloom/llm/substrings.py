@@ -115,7 +115,7 @@ def normal_words(text: Column) -> Column:
 
 def removed(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``row_key, n_removed, kept``: the texts that lose words, and the words left, joined by one blank."""
-    windows = Windows(size, gram=max(1, size * 6 // 35), fine_gram=max(1, size * 4 // 5))
+    windows = Windows(size, gram=max(1, size * 10 // 35), fine_gram=max(1, size * 4 // 5))
     index = lambda segments, times, n: repeated_windows(segments, times, n, size)
     found = touched(docs, _words_of, index, windows, doc_id, text)
 

@@ -85,7 +85,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.remove(read_table(spark, sf_dir, "documents"))
+    found = lines.remove_blocks(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.col("new_text").alias("text"))
 
 

@@ -96,3 +96,36 @@ def test_packing_is_whole_and_dense(spark):
         in_order = [(r.doc_id is not None, r.doc_id or 0, r.chunk) for r in sorted((r for r in rows if r.bucket_length == bucket), key=lambda r: (r.batch, r.slot))]
         assert in_order == sorted(in_order)
     assert packing.pack(df.limit(0), shape).collect() == []
+
+
+def plain_blocks(docs):
+    """Every pair of neighbouring lines with words stays at its first place; other lines of repeated pairs go."""
+    places = {}
+    for d, (doc_id, text) in enumerate(docs):
+        parts = text.split("\n") if text else []
+        full = [i for i, x in enumerate(parts) if x.strip()]
+        for a, b in itertools.pairwise(full):
+            places.setdefault("\n".join(parts[a:b + 1]), []).append(((doc_id is not None, doc_id or 0, a), d, a, b))
+    drop, held = [set() for _ in docs], [set() for _ in docs]
+    for found in places.values():
+        if len(found) > 1:
+            for place, d, a, b in found:
+                (held if place == min(f[0] for f in found) else drop)[d].update(range(a, b + 1))
+    return [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[d] - held[d]) if drop[d] - held[d] else t)
+            for d, (i, t) in enumerate(docs)]
+
+
+def test_every_repeated_block_goes(spark):
+    docs = corpus()
+    for m in (2, 3, 4):  # blocks between lines of their own, with and without blank lines
+        for b in range(12):
+            block = [f"block {m} {b} {i}" for i in range(m)]
+            docs += [(100 + 50 * m + 3 * b + k, "\n".join([f"before {m} {b} {k}", *block[:1], *[""] * (b % 3), *block[1:], f"after {m} {b} {k}"])) for k in range(3)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, key string").repartition(3)
+    rows = lines.remove_blocks(df).collect()
+    sort = lambda rows: sorted(rows, key=str)
+    assert sort((r.row.doc_id, r.new_text) for r in rows) == sort(plain_blocks(docs))
+    assert all(r.n_removed == (r.row.text or "").count("\n") + bool(r.row.text) - (r.new_text or "").count("\n") - bool(r.new_text) for r in rows if r.new_text)
+    left = [line for r in rows for line in (r.new_text or "").split("\n") if line.startswith("block ")]
+    assert len(left) == len(set(left)) == 12 * (2 + 3 + 4)
+    assert lines.remove_blocks(df.limit(0)).collect() == []

@@ -11,7 +11,9 @@ items. Two texts with an equal window are found without comparing texts:
 3. A remaining run becomes a *segment*, the items of its windows. Equal segments are folded
    into one with a count, so groups of copies of any size cost one segment; what is left of
    a key goes to one task, where an index over the segments finds the windows that occur
-   twice. A key with very many runs is refined by a second, longer gram before that.
+   twice. A key with very many runs is refined by a second, longer gram before that. One that
+   still has very many distinct segments is never gathered: its segments are taken apart into
+   single windows, told by 128-bit digests and counted by a partial aggregate.
 4. The marks go back to every place of a segment and from there to the texts.
 
 Every window of the corpus belongs to exactly one segment, and equal windows always meet in
@@ -20,6 +22,7 @@ one task, so the result is exact whatever the partitioning.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -158,6 +161,44 @@ def _segments(rows: DataFrame, items: Callable[[], Items], windows: Windows) ->
     return rows.mapInArrow(run, "key long, id binary, segment binary, row_key binary, start int, n int, anchors int")
 
 
+def _folded(segments: DataFrame) -> DataFrame:
+    """Equal segments of a key as one, with their number of places."""
+    return segments.groupBy("key", "id", "segment", "n").agg(F.count(F.lit(1)).alias("times"), F.max("anchors").alias("anchors"))
+
+
+def _marks_by_window(folded: DataFrame, items: Callable[[], Items], windows: Windows) -> DataFrame:
+    """The marks of keys too large for one task, by counting their windows one by one.
+
+    Only digests move. A window in very many segments is one row per task when counted, and
+    one row of the other side when its places are joined, which adaptive execution splits.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = items()(b"").dtype.itemsize
+        for part in slices(batches, 2, 1 << 18):
+            at, owner, digests = [], [], []
+            for i, (body, n) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                at += range(n)
+                owner += [i] * n
+                digests += [hashlib.blake2b(body[a * width:(a + windows.size) * width], digest_size=16).digest() for a in range(n)]
+            rows = pa.array(owner, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32()),
+                                              part.column(3).take(rows), part.column(4).take(rows)], ["digest", "key", "id", "at", "n", "times"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            marks = []
+            for n, at in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                bits = np.zeros(n, bool)
+                bits[at] = True
+                marks.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.binary())], ["key", "id", "marks"])
+
+    single = folded.select("key", "id", "segment", "n", "times").mapInArrow(cut, "digest binary, key long, id binary, at int, n int, times long")
+    twice = single.groupBy("digest").agg(F.sum("times").alias("places")).where("places > 1").select("digest")
+    found = single.join(twice, "digest").groupBy("key", "id", "n").agg(F.collect_list("at").alias("at"))
+    return found.mapInArrow(packed, "key long, id binary, marks binary")
+
+
 #: Segments of a shard, their counts and numbers of windows -> for each, which windows occur twice.
 Index = Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
 
@@ -192,8 +233,7 @@ def _marks(segments: DataFrame, index: Index, shard_bytes: int) -> DataFrame:
         if shard:
             yield solved(shard)
 
-    folded = segments.groupBy("key", "id", "segment", "n").agg(F.count(F.lit(1)).alias("times"), F.max("anchors").alias("anchors"))
-    ordered = folded.repartition("key").sortWithinPartitions("key")
+    ordered = _folded(segments).repartition("key").sortWithinPartitions("key")
     return ordered.select("key", "id", "segment", "n", "times", "anchors").mapInArrow(run, "key long, id binary, marks binary")
 
 
@@ -213,7 +253,14 @@ def touched(docs: DataFrame, items: Callable[[], Items], index: Index, windows:
     parts = stored(rows.join(again, "row_key").select("row_key", "text", "runs"), "candidates", paths)
     release(spark, early)
     segments = stored(_segments(parts, items, windows), "segments", paths)
-    marks = _marks(segments, index, shard_bytes)
+    many = segments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > windows.hot).select("key")
+    distinct = segments.select("key", "id").join(many, "key", "left_semi").distinct()
+    still = stored(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > windows.hot).select("key"), "still-hot", paths)
+    if still.isEmpty():
+        marks = _marks(segments, index, shard_bytes)
+    else:
+        hot = stored(_folded(segments.join(still, "key", "left_semi")), "hot", paths)
+        marks = _marks(segments.join(still, "key", "left_anti"), index, shard_bytes).unionByName(_marks_by_window(hot, items, windows))
     places = segments.select("key", "id", "row_key", "start", "n").join(marks, ["key", "id"])
     spans = places.groupBy("row_key").agg(F.collect_set(F.struct("start", "n", "marks")).alias("spans"))
     found = stored(parts.select("row_key", "text").dropDuplicates(["row_key"]).join(spans, "row_key"), "touched")

@@ -100,3 +100,26 @@ def test_prefix_groups_and_nodes():
         for s in group.tolist():
             assert where.setdefault(tuple(words[s:s + 20]), g) == g
     assert sorted(substrings.internal_nodes([1, 3, 3, 0, 2])) == [(1, 0, 3), (2, 4, 5), (3, 1, 3)]
+
+
+@pytest.mark.parametrize("module, size, gram", [(suffixes, 60, 9), (substrings, 10, 3)])
+def test_a_hot_key_is_never_gathered(spark, module, size, gram):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    own = lambda: " ".join(word() for _ in range(20))
+    passage = " ".join(word() for _ in range(16))
+    docs = [f"{own()} {passage} {own()}" for _ in range(60)] + ["q " * 90, passage, passage]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    items = module._bytes_of if module is suffixes else module._words_of
+    plain = module.repeated_windows
+
+    def guarded(segments, times, n):
+        if len(segments) > 8:
+            raise ValueError(f"{len(segments)} segments of one key in one task")
+        return plain(segments, times, n, size)
+
+    found = windows.touched(df, items, guarded, windows.Windows(size, gram, size * 4 // 5, hot=8), shard_bytes=1)
+    split = (lambda t: t.encode()) if module is suffixes else (lambda t: tuple(t.split()))
+    want = {t: m.tolist() for t, m in zip(docs, plain_marks([split(t) for t in docs], size)) if m.any()}
+    got = {bytes(r.text).decode(): windows.covered(len(split(bytes(r.text).decode())), r.spans, size).tolist() for r in found.collect()}
+    assert got == want and len(got) > 60

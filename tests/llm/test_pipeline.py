@@ -77,3 +77,17 @@ def test_other_queries_equal_their_sql(spark, sample, duck):
         rows = queries.QUERIES[name](spark, sample)
         got = sorted(map(tuple, rows.collect()), key=str)
         assert got == sorted(sql_rows(duck, queries.ORACLES[name], *rows.columns), key=str), name
+
+
+def test_pipeline_takes_passages_of_over_fifty_words(spark, sample):
+    numbers = iter(np.random.default_rng(8).permutation(np.arange(10**4, 10**5)).tolist())  # no word twice
+    words = lambda n: [str(next(numbers)) for _ in range(n)]
+    passages = [words(n) for n in range(51, 61)]
+    texts = [" ".join([*words(80), *p, *words(80)]) for p in passages for _ in range(2)]
+    df = spark.createDataFrame([(i, t, "en", f"host{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        df = function(spark, df, sample)
+    left = {r.doc_id: r.text.split() for r in df.collect()}
+    assert sorted(left) == list(range(20))
+    for i, own in left.items():
+        assert 159 <= len(own) <= 162 and not set(passages[i // 2][1:-1]) & set(own)

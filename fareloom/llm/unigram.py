@@ -1,9 +1,10 @@
 """Token counts under a unigram model, by dynamic programming shared over a trie.
 
 A pre-token's tokens are the segmentation into vocabulary pieces with the largest sum of
-log probabilities. The distinct pre-tokens of a batch are put into a trie; the forward
-scores (best sum, and number of pieces, up to each node) are computed once for a node and so
-once for every prefix that pre-tokens share; a terminal node stores its pre-token's count.
+log probabilities. The distinct pre-tokens of a batch are taken in sorted order, which walks
+their trie without building it: a stack holds the forward scores (best sum, and number of
+pieces) up to each node of the path, so a prefix that pre-tokens share is scored once. Counts
+are stored by pre-token; the only trie that is built is that of the vocabulary.
 
 Defined cases: a null text is empty and has 0 tokens; among equal scores the fewest pieces
 win; every single byte is a piece, so every text can be cut; equal rows get equal results;

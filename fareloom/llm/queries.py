@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.llm import bpe, jaccard, language, lines, nearest, packing, quality, substrings, suffixes, unigram
+from fareloom.llm import alignment, bpe, fingerprint, infilling, jaccard, language, lines, nearest, packing, quality, substrings, suffixes, unigram
 from fareloom.llm.common import read_table, row_key
 
 
@@ -137,9 +137,77 @@ kept as (select r, count(*) filter (gone) as n_removed, string_agg(w, ' ' order
 select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(w, '')) as kept_sha256 from docs left join kept using (r)
 """
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = fingerprint.compare_edited(read_table(spark, sf_dir, "documents"))
+    own, edit, following = F.col("own"), F.col("edit"), F.col("next")
+    return trees.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint.fingerprint(own).alias("fingerprint"),
+        fingerprint.fingerprint(edit).alias("edited_fingerprint"), fingerprint.likeness(own, edit).alias("near_edited"),
+        fingerprint.likeness(own, following).alias("near_next"), fingerprint.edit_start(own, edit).alias("edit_start"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(read_table(spark, sf_dir, "documents"))
+
+
+FINGERPRINT_SQL = r"""
+with docs as (select row_number() over (order by doc_id desc nulls last, md5(coalesce('=' || doc_id, '-') || chr(10) || coalesce('=' || text, '-'))) as r,
+                     doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
+pairs as (select r, doc_id, t, n, n // 3 as cut, coalesce(lead(t) over (order by r), first_value(t) over (order by r)) as nt from docs),
+edits as (select *, left(t, (n - cut)::bigint) || left(nt, cut::bigint) as e from pairs),
+texts as (select r, 'own' as kind, t from edits union all select r, 'edit', e from edits union all select r, 'next', nt from edits),
+words as (select r, kind, generate_subscripts(ws, 1) as i, unnest(ws) as w
+          from (select r, kind, regexp_extract_all(t, '[^ 	-]+[ 	-]*|[ 	-]+') as ws from texts)),
+ends as (select *, ((ascii(w) + 3 * length(w)) % 6 = 0 or contains(w, chr(10)))::int as e from words),
+runs as (select *, coalesce(sum(e) over (partition by r, kind order by i rows between unbounded preceding and 1 preceding), 0) as k from ends),
+pieces as (select r, kind, k, md5(string_agg(w, '' order by i)) as d, sum(length(w)) as size, max_by(length(w) - length(replace(w, chr(10), '')), i) as nl
+           from runs group by all),
+para_runs as (select *, coalesce(sum((nl > 0)::int) over (partition by r, kind order by k rows between unbounded preceding and 1 preceding), 0) as p from pieces),
+paras as (select r, kind, p, md5(string_agg(d, '' order by k)) as d, count(*) as size, max_by(nl, k) as nl from para_runs group by all),
+sect_runs as (select *, coalesce(sum((nl > 1 or d < '4')::int) over (partition by r, kind order by p rows between unbounded preceding and 1 preceding), 0) as s from paras),
+sects as (select r, kind, s, md5(string_agg(d, '' order by p)) as d, count(*) as size from sect_runs group by all),
+top as (select r, kind, sha256(string_agg(d, '' order by s)) as root, list(left(d, 10) || '.' || size order by s) as ss from sects group by all),
+mid as (select r, kind, list(left(d, 10) || '.' || size order by p) as ps from paras group by all),
+low as (select r, kind, list(left(d, 10) || '.' || size order by k) as cs from pieces group by all),
+trees as (select r, kind, coalesce(root, sha256('')) as root, coalesce(cs, []) as cs,
+                 concat_ws(';', coalesce(root, sha256('')), coalesce(array_to_string(ss, ','), ''), coalesce(array_to_string(ps, ','), ''), coalesce(array_to_string(cs, ','), '')) as f
+          from texts left join top using (r, kind) left join mid using (r, kind) left join low using (r, kind)),
+sized as (select *, coalesce(list_sum(list_transform(list_distinct(cs), lambda x: substr(x, 12)::bigint)), 0)::bigint as size from trees),
+met as (select o.r, o.root <> e.root as differs, o.f as fingerprint, e.f as edited_fingerprint, o.cs as oc, e.cs as ec, o.size as os, e.size as es, x.size as ns,
+               coalesce(list_sum(list_transform(list_intersect(o.cs, e.cs), lambda y: substr(y, 12)::bigint)), 0)::bigint as both_e,
+               coalesce(list_sum(list_transform(list_intersect(o.cs, x.cs), lambda y: substr(y, 12)::bigint)), 0)::bigint as both_n
+        from sized o join sized e on e.r = o.r and e.kind = 'edit' join sized x on x.r = o.r and x.kind = 'next' where o.kind = 'own'),
+steps as (select r, generate_subscripts(oc, 1) as i, unnest(oc) as c, ec from met where differs),
+same as (select r, i, c, bool_and(c is not distinct from ec[i]) over (partition by r order by i) as eq from steps),
+starts as (select r, coalesce(sum(substr(c, 12)::bigint) filter (eq), 0)::bigint as pos from same group by r)
+select doc_id, n::bigint as n_chars, sha256(e) as edited_sha256, fingerprint, edited_fingerprint,
+       case when greatest(os, es) > 0 then both_e / greatest(os, es) else 1.0 end::double as near_edited,
+       case when greatest(os, ns) > 0 then both_n / greatest(os, ns) else 1.0 end::double as near_next,
+       case when differs then coalesce(pos, 0) end as edit_start
+from edits join met using (r) left join starts using (r)
+"""
+
+INFILLING_SQL = """
+with docs as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h,
+                     regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u from documents),
+drawn as (select doc_id, t, u, len(u)::bigint as n, ('0x' || substr(h, 1, 8))::bigint % (len(u) + 1) as x, ('0x' || substr(h, 9, 8))::bigint % (len(u) + 1) as y,
+                 ('0x' || substr(h, 17, 8))::bigint % 100 as p, ('0x' || substr(h, 25, 8))::bigint % 100 as q from docs),
+cut as (select doc_id, t, n, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or p >= 90 then 'plain' when q < 20 then 'spm' else 'psm' end as form,
+               array_to_string(list_slice(u, 1, least(x, y)), '') as a, array_to_string(list_slice(u, least(x, y) + 1, greatest(x, y)), '') as b,
+               array_to_string(list_slice(u, greatest(x, y) + 1, n), '') as c from drawn)
+select doc_id, n, form, case when form <> 'plain' then length(a) end::bigint as prefix_chars, case when form <> 'plain' then length(b) end::bigint as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || c || '<M>' || b else '<S>' || c || '<P>' || a || '<M>' || b end) as output_sha256,
+       sha256(t) as restored_sha256 from cut
+"""
+
 QUERIES = {"op1_language_id": op1_language_id, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_line_dedup": op3_line_dedup, "op4_ngram_jaccard": op4_ngram_jaccard,
            "op5_quality_rules": op5_quality_rules,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
-           "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
+           "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts,
+           "op11_fingerprints": op11_fingerprints, "op12_alignment": op12_alignment, "op13_infilling": op13_infilling}
 ORACLES = {"op4_ngram_jaccard": JACCARD_SQL, "op5_quality_rules": QUALITY_SQL, "op6_suffix_array_dedup": BYTES_SQL,
-           "op7_substring_dedup": WORDS_SQL}
+           "op7_substring_dedup": WORDS_SQL, "op11_fingerprints": FINGERPRINT_SQL, "op13_infilling": INFILLING_SQL}

@@ -34,6 +34,7 @@ from fareloom.llm.common import row_key
 MARKERS = {b"<P>": 0, b"<S>": 2, b"<M>": 1}
 #: The order of prefix (0), middle (1) and suffix (2) in the output (fixed values).
 FORMS = {"psm": (0, 2, 1), "spm": (2, 0, 1)}
+PARTITION = 32 << 20  # bytes of text that one task sorts, on average
 HEAD = -1  # the place of a document's first record, which holds what is known of it
 
 
@@ -126,7 +127,8 @@ def pieces(docs: DataFrame, shares: Shares = Shares(), size: int = 8192, doc_id:
     among that task's equal rows, so that copies spread, whatever order a task reads them in.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    partitions = max(rows.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    partitions = max(n_bytes // PARTITION + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def emit(read: Iterator) -> Iterator[tuple]:
         task, seen = TaskContext.get().partitionId(), {}

@@ -29,6 +29,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,8 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_b = np.array(list(map(len, self.bytes_b)))
         self.blank = self.b.piece_to_id("▁")
+        self.told_a, self.told_b = (np.array([[b"%d%s" % (i, mark) for i in range(n)] for mark in marks], object)
+                                    for n, marks in ((len(self.size_a), (b",", b"|")), (len(self.size_b), (b",", b";"))))
         self.inner = re.compile(r"\s ").search
         self.cut = re.compile(r"(?<=\S) ").split
         self.show = False
@@ -116,17 +119,24 @@ class Aligner:
         if not words:
             return
         self.chars += sum(map(len, words))
-        a = [self.ids_a(" " + w) for w in words]
-        b = self.b.encode(words, num_threads=1)
+        n, told = len(words), [f" {w}".encode() for w in words]
+        a, na = self._ids_a(words, np.array(list(map(len, told))))
+        ids = self.b.encode(words, num_threads=1)
         if "" in words:  # the tokenizer puts no blank before an empty text
-            b[words.index("")] = [self.blank]
-        na, nb = np.array(list(map(len, a))), np.array(list(map(len, b)))
-        spelled = np.array([b"".join(map(self.bytes_b.__getitem__, y)) == b" " + w.encode() for y, w in zip(b, words)])
-        of_a, of_b = np.repeat(np.arange(len(words)), na), np.repeat(np.arange(len(words)), nb)
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64, n.sum()) for ids, n in ((a, na), (b, nb)))
-        a, b, of_a, n = a[spelled[of_a]], b[spelled[of_b]], of_a[spelled[of_a]], len(words)
+            ids[words.index("")] = [self.blank]
+        nb = np.array(list(map(len, ids)))
+        b = np.fromiter(chain.from_iterable(ids), np.int64, int(nb.sum()))
+        spelled = np.ones(n, bool)
+        pieces = list(map(self.bytes_b.__getitem__, b.tolist()))
+        if b"".join(pieces) != b"".join(told) or (np.add.reduceat(self.size_b[b], ragged_starts(nb)[:-1]) != list(map(len, told))).any():
+            at = ragged_starts(nb).tolist()
+            spelled = np.array([b"".join(pieces[p:q]) == t for p, q, t in zip(at, at[1:], told)])
+        of_a, of_b = np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)
+        a, b, of_a = a[spelled[of_a]], b[spelled[of_b]], of_a[spelled[of_a]]
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        ends = np.union1d(end_a, end_b)
+        ends = np.concatenate([end_a, end_b])
+        ends.sort(kind="stable")  # two sorted runs are merged
+        ends = ends[np.diff(ends, append=-1) != 0]
         i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         both = (end_a[i] == ends) & (end_b[j] == ends)
         n_links, n_groups = np.bincount(of_a[i], minlength=n), np.bincount(of_a[i[both]], minlength=n)
@@ -139,11 +149,37 @@ class Aligner:
         self.links = np.concatenate([self.links, numbers[back]])
         self.link_at = np.concatenate([self.link_at, self.link_at[-1] + np.cumsum(n_links)])
         if self.show:
-            told_a, told_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            stop_a, stop_b = (i[both] + 1).tolist(), (j[both] + 1).tolist()
-            groups = [f"{','.join(told_a[p:q])}|{','.join(told_b[r:s])}" for p, q, r, s in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b)]
-            at = ragged_starts(n_groups).tolist()
-            self.shown += [";".join(groups[p:q]).encode() for p, q in zip(at, at[1:])]
+            self._show(a, b, i[both], j[both], np.where(spelled, na + nb, 0))
+
+    def _ids_a(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of blank + word for each word, one after another, and their numbers.
+
+        Words that end with white space, or are empty, would join with the next blank, so
+        they are encoded alone; the others are encoded as one text and told apart by bytes.
+        """
+        alone = [k for k, w in enumerate(words) if not w or w[-1].isspace()]
+        apart = set(alone)
+        ids = np.array(self.ids_a("".join([f" {w}" for k, w in enumerate(words) if k not in apart] if alone else [f" {w}" for w in words])), np.int64)
+        ends = np.cumsum(np.delete(sizes, alone))
+        stops = np.searchsorted(np.cumsum(self.size_a[ids]), ends, side="right")
+        counts = np.diff(stops, prepend=0)
+        if not alone:
+            return ids, counts
+        found = iter(np.split(ids, stops[:-1]) if len(stops) else [])
+        each = [np.array(self.ids_a(f" {w}"), np.int64) if k in apart else next(found) for k, w in enumerate(words)]
+        return np.concatenate(each), np.array(list(map(len, each)))
+
+    def _show(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, n_tokens: np.ndarray) -> None:
+        """Each chunk's groups as text, with a semicolon at the end; ``last``: the last tokens of groups."""
+        end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        end_a[last_a], end_b[last_b] = 1, 1
+        start_a, start_b = np.concatenate([[0], last_a + 1]), np.concatenate([[0], last_b + 1])
+        group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
+        order = np.empty(len(a) + len(b), object)  # of a group, first the tokens of one kind, then of the other
+        order[np.arange(len(a)) + start_b[group_a]] = self.told_a[end_a, a]
+        order[np.arange(len(b)) + start_a[group_b + 1]] = self.told_b[end_b, b]
+        parts, at = order.tolist(), ragged_starts(n_tokens).tolist()
+        self.shown += [b"".join(parts[p:q]) for p, q in zip(at, at[1:])]
 
     def _chunks(self, text: str) -> list[str]:
         """Chunks without the blank before them."""
@@ -375,7 +411,7 @@ def _results(aligner: Aligner, texts: list[str | None], look_up: Callable[[np.nd
     of_chunk = np.column_stack([aligner.sizes[used], *of_chunk])[place] if len(used) else np.zeros((0, 6), np.int64)
     sums = np.diff(np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(of_chunk, axis=0)])[at], axis=0)
     shown, order = aligner.shown, numbers.tolist()
-    groups = [hashlib.sha256(b";".join([shown[k] for k in order[p:q]])).hexdigest() if q > p else "" for p, q in zip(at.tolist(), at[1:].tolist())]
+    groups = [hashlib.sha256(b"".join([shown[k] for k in order[p:q]])[:-1]).hexdigest() if q > p else "" for p, q in zip(at.tolist(), at[1:].tolist())]
     return [pa.array(sums[:, k]) for k in range(6)] + [pa.array(groups, pa.string())]
 
 

@@ -11,6 +11,7 @@ from fareloom import constants as C
 from fareloom.functions.numeric import lookup, to_places
 from fareloom.functions.text import code, source_name
 from fareloom.operators.joins import join_cohort
+from fareloom.session import stored
 
 USABLE = "data_quality_score >= 80 and not is_outlier"
 
@@ -285,9 +286,20 @@ BASKET_KEY = ["sector", "advance_days", "carrier_code", "source"]
 
 
 def basket_missing(grid: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Expected quotes that were not observed."""
+    """Expected quotes that were not observed.
+
+    The cells of the grid are numbered, and every map task folds its quotes into a presence
+    bitmap of the cells, 4 KB for each 32 768 of them; only bitmaps are shuffled.
+    """
+    cells = stored(grid.distinct().withColumn("cell", F.row_number().over(Window.orderBy(*BASKET_KEY))), "cells")  # a few hundred a sector
     seen = quotes.select("sector", "advance_days", "carrier_code", source_name("source").alias("source"))
-    return grid.join(seen, BASKET_KEY, "left_anti")
+    bits = join_cohort(seen, cells, BASKET_KEY).groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("present"))
+    place = F.bitmap_bit_position("cell")
+    byte = F.conv(F.hex(F.substring("present", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, (place % 8).cast("int")) == 1
+    return (cells.withColumn("part", F.bitmap_bucket_number("cell")).join(bits, "part", "left")
+            .filter(F.col("present").isNull() | ~held).select(*grid.columns))
 
 
 def basket_fill(grid: DataFrame, quotes: DataFrame) -> DataFrame:

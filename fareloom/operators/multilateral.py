@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fareloom.functions.numeric import to_places
 
 SPLICES = ("mean", "movement", "window", "half")
+BLOCK = 100  # published rows of a series that are laid down together
 
 
 def number_periods(levels: DataFrame, series: str = "series_id", period: str = "period") -> DataFrame:
@@ -113,24 +114,41 @@ def _spliced(published: Column, g: Column, method: str) -> tuple[Column, Column]
 
 
 def splice(vectors: DataFrame, method: str = "mean", base_value: float = 100.0, series: str = "series_id") -> DataFrame:
-    """(series, t, published, factor, window_length); earlier values are never revised."""
+    """(series, t, published, factor, window_length); earlier values are never revised.
+
+    A fold over the windows of a series. A step reads the last values only, which it keeps
+    in a ring as long as the longest window; what was published is laid down in blocks, so
+    that a step costs the same however long the series is.
+    """
     if method not in SPLICES:
         raise ValueError(f"unknown splice method: {method}")
     ordered = vectors.groupBy(series).agg(F.array_sort(F.collect_list(F.struct("t", "g"))).alias("windows"))
+    ordered = ordered.withColumn("longest", F.array_max(F.transform("windows", lambda w: F.size(w["g"]))))
 
     def step(done: Column, window: Column) -> Column:
-        value, factor = _spliced(F.transform(done, lambda d: d["published"]), window["g"], method)
-        first = F.size(done) == 0
-        return F.concat(done, F.array(F.struct(
+        value, factor = _spliced(done["ring"], window["g"], method)
+        first = F.size(done["ring"]) == 0
+        row = F.struct(
             window["t"].alias("t"),
             F.when(first, F.lit(base_value)).otherwise(to_places(value, 4)).alias("published"),
             F.when(first, F.lit(1.0)).otherwise(to_places(factor, 6)).alias("factor"),
             F.size(window["g"]).alias("window_length"),
-        )))
-
-    empty = F.expr("cast(array() as array<struct<t:int,published:double,factor:double,window_length:int>>)")
-    folded = ordered.select(series, F.inline(F.aggregate("windows", empty, step)))
-    return folded
+        )
+        return F.get(F.transform(F.array(row), lambda r: _laid(done, r)), F.lit(0))  # the row is computed once
+
+    def _laid(done: Column, row: Column) -> Column:
+        ring, block = F.concat(done["ring"], F.array(row["published"])), F.concat(done["block"], F.array(row))
+        full = F.size(done["block"]) >= BLOCK - 1
+        return F.struct(
+            F.when(F.size(ring) > F.col("longest"), F.slice(ring, 2, F.col("longest"))).otherwise(ring).alias("ring"),
+            F.when(full, F.slice(block, 1, 0)).otherwise(block).alias("block"),
+            F.when(full, F.concat(done["blocks"], F.array(block))).otherwise(done["blocks"]).alias("blocks"),
+        )
+
+    rows = "array<struct<t:int,published:double,factor:double,window_length:int>>"
+    empty = F.expr(f"cast(named_struct('ring',array(),'block',array(),'blocks',array()) as struct<ring:array<double>,block:{rows},blocks:array<{rows}>>)")
+    return ordered.select(series, F.inline(F.aggregate(
+        "windows", empty, step, lambda done: F.concat(F.flatten(done["blocks"]), done["block"]))))
 
 
 def rygeks_series(

@@ -13,11 +13,12 @@ from fareloom.functions.numeric import to_places
 from fareloom.operators import decompose, dedup
 from fareloom.operators.normalize import handle_sold_out
 from fareloom.operators.joins import join_cohort
-from fareloom.operators.ranking import approx_quantiles, exact_quantiles
+from fareloom.operators.ranking import approx_quantiles, exact_quantiles, quantiles_of_counts
 from fareloom.session import stored
 from fareloom.sources.schemas import CLEAN_QUOTE
 
 COHORT = ["sector", "advance_days", "weekday"]
+QUARTILES = {"cohort_q1": 0.25, "cohort_median": 0.5, "cohort_q3": 0.75}
 
 
 @dataclass(frozen=True)
@@ -81,9 +82,16 @@ def cohort_stats(
     """Count, quartiles and fences per cohort."""
     keys = keys or COHORT
     quantiles = approx_quantiles if approximate else exact_quantiles
-    stats = quantiles(
-        df.select(*keys, F.col(fare).cast("double").alias("fare")), keys, "fare",
-        {"cohort_q1": 0.25, "cohort_median": 0.5, "cohort_q3": 0.75}, count_as="cohort_size")
+    stats = quantiles(df.select(*keys, F.col(fare).cast("double").alias("fare")), keys, "fare", QUARTILES, count_as="cohort_size")
+    return _with_bounds(stats, limits)
+
+
+def cohort_stats_of_counts(counts: DataFrame, keys: list[str] | None = None, limits: OutlierLimits = LIMITS) -> DataFrame:
+    """A14/A13 from (keys, fare, n)."""
+    return _with_bounds(quantiles_of_counts(counts, keys or COHORT, "fare", QUARTILES, count_as="cohort_size"), limits)
+
+
+def _with_bounds(stats: DataFrame, limits: OutlierLimits) -> DataFrame:
     low, high = iqr_bounds(F.col("cohort_q1"), F.col("cohort_median"), F.col("cohort_q3"), limits)
     return stats.withColumns({"lower_bound": low, "upper_bound": high})
 

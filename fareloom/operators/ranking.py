@@ -49,8 +49,15 @@ def exact_quantiles(
     Only the slices that hold a wanted rank are ranked, so the last sort sees a small
     part of the distinct values however large the group is.
     """
+    return quantiles_of_counts(value_counts(df, keys, value), keys, value, probs, count_as)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count_as: str = "n",
+) -> DataFrame:
+    """The same from (keys, value, n), one row for each distinct value of a group."""
     keys = list(keys)
-    counts = value_counts(df, keys, value).withColumn("slice", value_slice(F.col(value)))
+    counts = counts.withColumn("slice", value_slice(F.col(value)))
     wanted = _slice_offsets(counts, keys)
     hit = F.lit(False)
     for name, p in probs.items():

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from fareloom.functions.numeric import clip, to_places
 from fareloom.functions.text import row_key
 from fareloom.operators.joins import join_cohort
-from fareloom.operators.ranking import exact_quantiles, value_ranks
+from fareloom.operators.ranking import exact_quantiles, quantiles_of_counts, value_counts, value_ranks
+from fareloom.session import stored
 
 
 @dataclass(frozen=True)
@@ -41,17 +42,20 @@ def mad_anomalies(
 ) -> DataFrame:
     """Quotes far from their cohort's median by median absolute deviation or std.
 
-    Two exact quantile passes (the median, then the median of the deviations) and one
-    moment pass, each on map-side combined counts; the cohort table is joined back.
+    The quotes are read once into value counts, from which the cohort table comes: the
+    medians, the medians of the deviations (a value's count moves to its distance from the
+    median, where both sides meet) and the moments; and once more for the flags.
     """
     keys = list(keys)
     usable = quotes.filter(F.col(fare) > 0).withColumn("fare", F.col(fare).cast("double"))
-    medians = exact_quantiles(usable.select(*keys, "fare"), keys, "fare", {"median_fare": 0.5})
-    medians = medians.filter(F.col("n") >= limits.min_quotes).drop("n")
-    gaps = join_cohort(usable.select(*keys, "fare"), medians, keys).select(
-        *keys, F.abs(F.col("fare") - F.col("median_fare")).alias("gap"))
-    mads = exact_quantiles(gaps, keys, "gap", {"mad": 0.5}).drop("n")
-    moments = usable.groupBy(*keys).agg(F.avg("fare").alias("mean_fare"), F.stddev_pop("fare").alias("std_fare"))
+    counts = stored(value_counts(usable, keys, "fare"), "fare-counts")
+    means = counts.groupBy(*keys).agg((F.sum(F.col("fare") * F.col("n")) / F.sum("n")).alias("mean_fare"))
+    medians = quantiles_of_counts(counts, keys, "fare", {"median_fare": 0.5}, count_as="quotes")
+    medians = stored(medians.filter(F.col("quotes") >= limits.min_quotes).drop("quotes").join(means, keys), "medians")
+    spread = counts.join(medians, keys).withColumn("gap", F.abs(F.col("fare") - F.col("median_fare")))
+    mads = quantiles_of_counts(spread.groupBy(*keys, "gap").agg(F.sum("n").alias("n")), keys, "gap", {"mad": 0.5}, count_as="quotes").drop("quotes")
+    off = F.col("fare") - F.col("mean_fare")
+    moments = spread.groupBy(*keys).agg(F.sqrt(F.sum(off * off * F.col("n")) / F.sum("n")).alias("std_fare"))
     cohort = medians.join(mads, keys).join(moments, keys).withColumn(
         "mad", F.when(F.col("mad") < 1e-4, F.when(F.col("std_fare") > 1e-4, F.col("std_fare") / 1.4826).otherwise(1.0))
         .otherwise(F.col("mad")))

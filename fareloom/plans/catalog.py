@@ -1280,13 +1280,13 @@ def r1(spark, sf):
 def r2(spark, sf):
     facts = tables.facts_of(flows.table_stream(spark, sf, "lineitem")).select(
         F.substring_index("quote_id", "-", 2).alias("id"))
-    return flows.run_available(flows.stream_dedup(facts, "id"), *flows.scratch_pair(spark, "r2")).select("id")
+    return flows.run_first_sights(flows.stream_dedup(facts, "id"), *flows.scratch_pair(spark, "r2"), key="id").select("id")
 
 
 @check("r3_trunk_volatility", with_(*O.FACT) + f"select cast(date_trunc('hour',scrape_timestamp) as varchar) \"hour\",sector,advance_days,count(*) quotes,{R('avg(total_fare)', 4)} mean_fare,{R('stddev_pop(total_fare)', 4)} std_fare from facts where sector in ({O.quoted(C.TRUNK_SECTORS)}) and advance_days in (1,7) group by 1,2,3")
 def r3(spark, sf):
     facts = tables.facts_of(flows.table_stream(spark, sf, "lineitem")).select("sector", "advance_days", "scrape_timestamp", "total_fare")
-    found = flows.run_updates(flows.trunk_volatility(facts), ["window", "sector", "advance_days"], *flows.scratch_pair(spark, "r3"))
+    found = flows.run_trunk_volatility(facts, *flows.scratch_pair(spark, "r3"))
     return found.select(F.col("window.start").cast("string").alias("hour"), "sector", "advance_days", "quotes",
                         to_places("mean_fare", 4).alias("mean_fare"), to_places("std_fare", 4).alias("std_fare"))
 

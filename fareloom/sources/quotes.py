@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -12,6 +14,7 @@ from fareloom.operators.dedup import deduplicate_quotes
 from fareloom.operators.normalize import normalize_quotes
 from fareloom.operators.quality import clean_rows, stored_form
 from fareloom.session import stored
+from fareloom.sources.ledger import COHORT, Ledger, cohort_fares, exists, negative, summed
 from fareloom.sources.schemas import CLEAN_QUOTE, RAW_QUOTE_FILE
 from fareloom.sources.weights import attach_dims
 
@@ -61,9 +64,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def write_store(facts: DataFrame, path: str) -> None:
     """Month folders, sorted within for the index's filters; touched months are replaced.
 
-    Rebalancing keeps a month and sector together only as far as the advisory partition
-    size goes; a cell with very many rows becomes several tasks and files.
+    The side tables of a store that is kept by :func:`merge_store` are built anew at the
+    next merge.
     """
+    _write_months(facts, path)
+    Ledger(facts.sparkSession, path).outdated()
+
+
+def _write_months(facts: DataFrame, path: str) -> None:
+    """Rebalancing keeps a month and sector together only as far as the advisory partition
+    size goes; a cell with very many rows becomes several tasks and files."""
     monthly = facts.withColumn(STORE_PARTITION, F.date_format("travel_date", "yyyy-MM"))
     (monthly.hint("rebalance", STORE_PARTITION, "sector").sortWithinPartitions("sector", "advance_days", "carrier_code")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(STORE_PARTITION).parquet(path))
@@ -75,27 +85,67 @@ def one_per_flight(facts: DataFrame) -> DataFrame:
     return deduplicate_quotes(facts, F.when(filled, 0.0).otherwise(F.col("total_fare")))
 
 
+def _replace_months(path: str) -> Callable[[DataFrame, list[str]], None]:
+    def replace(whole: DataFrame, months: list[str]) -> None:
+        _write_months(whole, path)
+        left = {r[0] for r in whole.select(F.date_format("travel_date", "yyyy-MM")).distinct().collect()}
+        for month in months:  # months that lost all their rows, which replacing folders leaves as they were
+            if month not in left and exists(whole.sparkSession, f"{path}/{STORE_PARTITION}={month}"):
+                whole.limit(0).write.mode("overwrite").parquet(f"{path}/{STORE_PARTITION}={month}")
+    return replace
+
+
+def open_store(spark: SparkSession, path: str) -> Ledger:
+    """The store's side tables, an interrupted merge finished, and made if there are none."""
+    ledger = Ledger(spark, path)
+    empty = spark.createDataFrame([], CLEAN_QUOTE)
+    ledger.finish(_replace_months(path), empty)
+    if not ledger.known:
+        ledger.adopt(read_store(spark, path) if exists(spark, path) else None)
+    return ledger
+
+
 def merge_store(spark: SparkSession, path: str, batch: DataFrame, per_flight: bool = False) -> None:
-    """S10 on disk: only months the batch touches are read in full and rewritten.
+    """S10 on disk: only months the batch touches are read and rewritten.
 
-    With ``per_flight`` the merged rows are reduced to one per flight (W2), as the quotes of
-    a flight may come in several batches. A month also counts as touched when it holds a row
-    the batch replaces. The merged
-    months go to the shared scratch folder first, because a folder cannot be read and
-    replaced by one job; a failure before the last write leaves the store as it was.
+    A month also counts as touched when it holds a row the batch replaces; the id index tells
+    which, from the buckets of the batch's ids. With ``per_flight`` the merged rows are
+    reduced to one per flight (W2), as the quotes of a flight may come in several batches. A
+    store that does not exist yet is made. A merge that fails is finished by the next one or
+    has left no trace (:mod:`fareloom.sources.ledger`).
     """
-    existing = read_store(spark, path)
-    month = F.date_format("travel_date", "yyyy-MM").alias(STORE_PARTITION)
+    ledger = open_store(spark, path)
     batch = stored(batch.select(*CLEAN_QUOTE.fieldNames()), "batch")  # used three times below
-    replaced = existing.select("quote_id", STORE_PARTITION).join(batch.select("quote_id"), "quote_id", "left_semi").select(STORE_PARTITION)
-    touched = stored(batch.select(month).union(replaced).distinct(), "months")
-    kept = existing.join(touched, STORE_PARTITION, "left_semi").drop(STORE_PARTITION)
+    month = F.date_format("travel_date", "yyyy-MM").alias(STORE_PARTITION)
+    touched = batch.select(month).union(ledger.months_of(batch).select(STORE_PARTITION))
+    months = sorted(r[0] for r in touched.distinct().collect() if r[0])  # as many as there are months at most
+    kept = store_months(spark, path, months).drop(STORE_PARTITION)
     merged = upsert_quotes(kept, batch.select(*kept.columns))
-    whole = stored(one_per_flight(merged) if per_flight else merged, "merge")
-    write_store(whole, path)
-    # months that lost all their rows, which replacing folders leaves as they were
-    for row in touched.join(whole.select(month).distinct(), STORE_PARTITION, "left_anti").toLocalIterator():
-        whole.limit(0).write.mode("overwrite").parquet(f"{path}/{STORE_PARTITION}={row[0]}")
+    ledger.commit(kept, one_per_flight(merged) if per_flight else merged, months, _replace_months(path))
+
+
+def store_months(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
+    """The rows of some months; no other folder is read."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], StructType([*CLEAN_QUOTE.fields, StructField(STORE_PARTITION, StringType())]))
+    return read_store(spark, path).filter(F.col(STORE_PARTITION).isin(months))
+
+
+def stored_fares(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """``COHORT, fare, n`` of the store's fares in the cohorts of ``rows``, less the quotes that ``rows`` replaces.
+
+    Read are the counts of the touched cohorts, and of the facts the months that hold a
+    replaced quote.
+    """
+    ledger = open_store(spark, path)
+    counts = ledger.fares_of(rows)
+    replaced = stored(ledger.months_of(rows), "replaced")
+    months = [r[0] for r in replaced.select(STORE_PARTITION).distinct().collect()]
+    if not months:
+        return counts
+    gone = store_months(spark, path, months).join(replaced, ["quote_id", STORE_PARTITION], "left_semi")
+    gone = cohort_fares(gone).join(rows.select(*COHORT).distinct(), COHORT, "left_semi")
+    return summed([counts, negative(gone)], [*COHORT, "fare"])
 
 
 def export_rows(national: DataFrame, sectors: DataFrame, frequency: str = "daily") -> DataFrame:

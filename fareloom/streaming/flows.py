@@ -1,7 +1,7 @@
 """The quote flow as Structured Streaming.
 
-No row is dropped for being late: state is keyed by quote id (R2) or by hour and cohort (R3)
-and kept, and late rows correct what was given out. Every sink takes a checkpoint folder, so
+No row is dropped for being late, and no state grows for ever: ids that leave the state stay
+in a table beside the sink (R2), hours are put together from the parts batches give out (R3). Every sink takes a checkpoint folder, so
 a query that loses executors or its driver resumes where it was.
 """
 
@@ -11,8 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,7 +19,8 @@ from fareloom import constants as C
 from fareloom.operators import dedup, decompose, quality
 from fareloom.operators.normalize import handle_sold_out, normalize_quotes, validate_quotes
 from fareloom.session import scratch_path, stored
-from fareloom.sources.quotes import merge_store, read_store, stored_form, write_store
+from fareloom.sources.ledger import bucket, cohort_fares, exists, present, summed
+from fareloom.sources.quotes import merge_store, stored_fares, stored_form
 from fareloom.sources.schemas import RAW_QUOTE_FILE
 from fareloom.sources.weights import attach_dims
 
@@ -36,23 +36,79 @@ def stream_quotes(raw: DataFrame, **tariffs) -> DataFrame:
     return decompose.decompose_fare(handle_sold_out(valid), exact=False, **tariffs)
 
 
-def stream_dedup(quotes: DataFrame, key: str = "quote_id") -> DataFrame:
-    """R2: the first row of each id, however far apart its repeats come.
+def stream_dedup(quotes: DataFrame, key: str = "quote_id", keep: str = "1 hour") -> DataFrame:
+    """R2, the first tier: the first row of each id among those that arrive within ``keep``.
 
-    The ids seen are state, partitioned by id; keep it on disk with the RocksDB state store.
+    The watermark is on the time of arrival, so nothing is ever late, and an id leaves the
+    state ``keep`` after it came. Repeats that come later are told by
+    :func:`run_first_sights`, to which the stream is given.
     """
-    return quotes.dropDuplicates([key])
+    arrived = quotes.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", keep)
+    return arrived.dropDuplicatesWithinWatermark([key]).drop("arrived")
 
 
-def trunk_volatility(quotes: DataFrame, ts: str = "scrape_timestamp", fare: str = "total_fare") -> DataFrame:
-    """Hourly count, mean and deviation of trunk sectors at T+1 and T+7.
+def run_first_sights(stream: DataFrame, path: str, checkpoint: str, key: str = "quote_id") -> DataFrame:
+    """R2, the second tier: appends rows whose id no earlier batch had; what is there, read back.
 
-    For update mode: an hour is given out again when more of its quotes come. State holds a
-    row per hour and cohort.
+    The ids given out are kept beside the output in hash buckets, of which a batch reads
+    those of its ids and to which it adds a folder. A batch that is run again does not see
+    its own folder and replaces what it wrote.
     """
+    seen, schema = f"{path}.seen", f"{stream.select(key).schema[key].name} {stream.select(key).schema[key].dataType.simpleString()}, batch_id int, bucket int"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = stored(batch.dropDuplicates([key]), "sights")
+        if exists(spark, seen):
+            known = spark.read.schema(schema).parquet(seen).filter((F.col("batch_id") < batch_id) & present(F.col("bucket"), rows.select(bucket(key))))
+            rows = stored(rows.join(known, key, "left_anti"), "first-sights")
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows.select(key, bucket(key).alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{seen}/batch_id={batch_id}")
+
+    run_batches(stream, write, checkpoint)
+    return stream.sparkSession.read.schema(stream.schema.add("batch_id", "long")).parquet(path).drop("batch_id")
+
+
+HOUR = ["window", "sector", "advance_days"]
+
+
+def trunk_moments(quotes: DataFrame, ts: str = "scrape_timestamp", fare: str = "total_fare") -> DataFrame:
+    """Hourly count, mean and squared deviations of trunk sectors at T+1 and T+7."""
     watched = quotes.filter(F.col("sector").isin(C.TRUNK_SECTORS) & F.col("advance_days").isin(1, 7))
     return watched.groupBy(F.window(ts, "1 hour"), "sector", "advance_days").agg(
-        F.count(F.lit(1)).alias("quotes"), F.avg(fare).alias("mean_fare"), F.stddev_pop(fare).alias("std_fare"))
+        F.count(F.lit(1)).alias("quotes"), F.avg(fare).alias("mean_fare"), (F.var_pop(fare) * F.count(F.lit(1))).alias("m2"))
+
+
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """Moments of parts of an hour put together: quotes, mean_fare, m2."""
+    hour, n = Window.partitionBy(*HOUR), F.col("quotes")
+    parts = parts.withColumn("whole", F.sum(n * F.col("mean_fare")).over(hour) / F.sum(n).over(hour))
+    off = F.col("mean_fare") - F.col("whole")
+    return parts.groupBy(*HOUR).agg(F.sum(n).alias("quotes"), F.first("whole").alias("mean_fare"), F.sum(F.col("m2") + n * off * off).alias("m2"))
+
+
+def trunk_volatility(quotes: DataFrame, ts: str = "scrape_timestamp", fare: str = "total_fare") -> DataFrame:
+    """R3 over a table: quotes, mean and deviation of each hour and cohort."""
+    return _volatility(trunk_moments(quotes, ts, fare))
+
+
+def _volatility(moments: DataFrame) -> DataFrame:
+    return moments.withColumn("std_fare", F.sqrt(F.col("m2") / F.col("quotes"))).drop("m2")
+
+
+def run_trunk_volatility(stream: DataFrame, path: str, checkpoint: str, ts: str = "scrape_timestamp", fare: str = "total_fare") -> DataFrame:
+    """R3 over a stream of quotes, in any order.
+
+    A micro-batch gives out the moments of its quotes, for open and for closed hours alike,
+    and reading puts an hour's parts together. There is no state at all, so none grows, and a
+    quote that comes late is one more part. A batch that is run again replaces its folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        trunk_moments(batch, ts, fare).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    run_batches(stream, write, checkpoint)
+    parts = stream.sparkSession.read.schema(trunk_moments(stream, ts, fare).schema.add("batch_id", "long")).parquet(path).drop("batch_id")
+    return _volatility(merged_moments(parts))
 
 
 def run_updates(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
@@ -76,40 +132,26 @@ def upsert_batches(store: str, cohort_history: bool = True, on_batch: Callable[[
     """A ``foreachBatch`` function: W2, cohort statistics, P17/P18, then S10.
 
     A micro-batch alone would judge fares against itself, so the stored fares of the same
-    cohorts count too; rows stored earlier keep the verdict of their time. Repeats of a
-    flight in other batches are settled against the stored rows. Replaying a batch gives the
-    same store.
+    cohorts count too; rows stored earlier keep the verdict of their time. Those fares are
+    kept as counts beside the store, of which a batch reads and adds to its own cohorts'.
+    Repeats of a flight in other batches are settled against the stored rows. Replaying a
+    batch gives the same store.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         valid, _ = validate_quotes(normalize_quotes(batch))
         rows = stored(quality.with_cohort(dedup.deduplicate_quotes(valid)), "micro-batch")
-        fares = rows.select(*quality.COHORT, F.col("raw_total_fare").cast("double").alias("raw_total_fare"), "quote_id")
-        known = _exists(spark, store)
-        if known and cohort_history:
-            past = read_store(spark, store).select(
-                "sector", "advance_days", F.weekday("travel_date").alias("weekday"),
-                F.col("total_fare").alias("raw_total_fare"), "quote_id")
-            past = past.join(rows.select("quote_id"), "quote_id", "left_anti")
-            fares = fares.unionByName(past.select(*fares.columns))
-        framed = quality.cohort_frame(rows, quality.cohort_stats(fares))
+        counts = cohort_fares(rows, "raw_total_fare")
+        if cohort_history:
+            counts = summed([counts, stored_fares(spark, store, rows)], [*quality.COHORT, "fare"])
+        framed = quality.cohort_frame(rows, quality.cohort_stats_of_counts(counts))
         facts = stored_form(attach_dims(quality.clean_rows(framed)))
-        if known:
-            merge_store(spark, store, facts, per_flight=True)
-        else:
-            write_store(facts, store)
+        merge_store(spark, store, facts, per_flight=True)
         if on_batch is not None:
             on_batch(facts, batch_id)
     return run
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.schema("quote_id string").parquet(path).inputFiles())
-    except AnalysisException:  # no such folder yet
-        return False
-
-
 SERIES_OUT = "series_id string, period string, published_index double, window_length int, level_adjustment_factor double"
 SERIES_STATE = "periods array<string>, levels array<double>, published array<double>"
 
@@ -184,6 +226,6 @@ def scratch_pair(spark: SparkSession, label: str) -> tuple[str, str]:
 
 
 __all__ = [
-    "published_series", "read_quote_stream", "run_available", "run_batches", "run_updates", "scratch_pair",
-    "stream_dedup", "stream_quotes", "table_stream", "trunk_volatility", "upsert_batches",
+    "merged_moments", "published_series", "read_quote_stream", "run_available", "run_batches", "run_first_sights", "run_trunk_volatility", "run_updates",
+    "scratch_pair", "stream_dedup", "stream_quotes", "table_stream", "trunk_moments", "trunk_volatility", "upsert_batches",
 ]

@@ -134,9 +134,9 @@ def test_streams_match_batch_for_any_layout(spark, sample, tmp_path, files, per_
     stream = facts(flows.table_stream(spark, source, "lineitem", per_batch))
     batch = tables.facts(spark, sample)
     ids = F.substring_index("quote_id", "-", 2).alias("id")
-    got = flows.run_available(flows.stream_dedup(stream.select(ids), "id"), str(tmp_path / "ids"), str(tmp_path / "ids-ck"))
+    got = flows.run_first_sights(flows.stream_dedup(stream.select(ids), "id"), str(tmp_path / "ids"), str(tmp_path / "ids-ck"), "id")
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in batch.select(ids).distinct().collect())
-    found = flows.run_updates(flows.trunk_volatility(stream), ["window", "sector", "advance_days"], str(tmp_path / "out"), str(tmp_path / "ck"))
+    found = flows.run_trunk_volatility(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     want = flows.trunk_volatility(batch)
     key = lambda r: (r.window.start, r.sector, r.advance_days)
     got, want = sorted(found.collect(), key=key), sorted(want.collect(), key=key)

@@ -1304,8 +1304,8 @@ def r5(spark, sf):
     levels = carrier_months(spark, sf).select("series_id", day("month", "period"), "level")
     levels.write.parquet(arrivals)
     stream = spark.readStream.schema(levels.schema).parquet(arrivals)
-    return flows.run_available(flows.published_series(stream), path, checkpoint).select(
-        "series_id", F.col("period").alias("month"), "published_index")
+    found = flows.latest_published(flows.run_published_series(stream, path, checkpoint))
+    return found.select("series_id", F.col("period").alias("month"), "published_index")
 
 
 # --- whole paths and further forms ------------------------------------------------------------

@@ -45,6 +45,8 @@ FLIGHT = r"(?i)\b(6E|AI|IX|QP|SG)[ -]?([0-9]{3,4})\b"
 RUPEES = r"(?i)(?:₹|Rs\.?|INR)\s*([0-9,]{4,7})"
 BARE_AMOUNT = r"\b([0-9,]{4,6})\b"
 CLOCK = r"\b(?:[01]?[0-9]|2[0-3]):[0-5][0-9]\b"
+TAG = r"^<([a-zA-Z][a-zA-Z0-9]*)"
+MAIN_END = r"(?is)<(?:footer|/main|/body)\b.*$"
 DEFAULT_DEPARTS, DEFAULT_ARRIVES = "08:00", "10:15"
 PAGE_COLUMNS = ["source", "origin_iata", "destination_iata", "travel_date", "advance_days"]
 
@@ -165,21 +167,43 @@ def _mark_pattern(form: str, word: str) -> str:
     return rf"<{tag}\s(?:[^>]*\s)?{part}[^>]*>"
 
 
+def _closed(rest: Column, name: Column) -> Column:
+    """What stands before the tag that closes a card, whose opening tag has this name; null if none does.
+
+    Only tags of the card's own name are looked at, so other tags need not be closed.
+    """
+    pattern = F.concat(F.lit("(?i)</?"), name, F.lit(r"\b[^>]*>"))
+
+    def step(seen: Column, tag: Column) -> Column:  # seen: depth below the card's own tag, tags passed
+        change = F.when(tag.startswith("</"), -1).when(tag.endswith("/>"), 0).otherwise(1)
+        return F.when(seen["depth"] == 0, seen).otherwise(F.struct((seen["depth"] + change).alias("depth"), (seen["n"] + 1).alias("n")))
+
+    opened = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+    ends = F.aggregate(F.regexp_extract_all(rest, pattern, F.lit(0)), opened, step, lambda seen: F.when(seen["depth"] == 0, seen["n"]))
+    return F.get(F.transform(F.array(ends), lambda n: F.when(n.isNotNull(), F.array_join(F.slice(F.split(rest, pattern, n + 1), F.lit(1), n), " "))), F.lit(0))
+
+
 def quotes_from_cards(df: DataFrame, html: str = "html", kind: str = "airline") -> DataFrame:
-    """Split the page at its flight cards, read each card's text.
+    """The page's flight cards, and the text of each.
 
-    A card runs to the start of the next one, the last to the end of the page's main part.
-    Airline pages need ``own_carrier``: bare
+    A card ends at its own closing tag, by the depth of the tags of its name: cards inside a
+    card are cards too, and part of its text. One that is never closed ends where the next
+    card starts, or the page's main part. Airline pages need ``own_carrier``: bare
     digits then count as its flight number, and cards of other carriers are left out.
     """
     page = F.col(html)
     patterns = [_mark_pattern(*mark) for mark in CARD_MARKS[kind]]
     mark = F.coalesce(*[F.when(page.rlike(p), F.lit(p)) for p in patterns])
     marked = df.withColumn("mark", mark).filter(F.col("mark").isNotNull())
-    pieces = F.split(page, F.col("mark"))
-    cards = F.slice(pieces, F.lit(2), F.size(pieces))
-    rows = marked.select("*", F.posexplode(cards).alias("position", "card"))
-    inside = F.regexp_replace("card", r"(?is)<(?:footer|/main|/body)\b.*$", "")
+    names = F.transform(F.regexp_extract_all(page, F.col("mark"), F.lit(0)), lambda t: F.regexp_extract(t, TAG, 1))
+    marked = marked.select(*df.columns, F.explode(F.array(F.struct(F.split(page, F.col("mark")).alias("pieces"), names.alias("names")))).alias("cut"))
+    marked = marked.select(*df.columns, "cut.pieces", "cut.names")
+    rows = marked.select(*df.columns, "pieces", F.posexplode("names").alias("position", "name"))
+    own = F.get("pieces", F.col("position") + 1)
+    # a card with others inside goes on beyond the next mark
+    whole = F.call_function("array_join", F.slice("pieces", F.col("position") + 2, F.size("pieces")), F.concat(F.lit("<"), F.col("name"), F.lit(">")))
+    rows = rows.select(*df.columns, "position", F.coalesce(_closed(own, F.col("name")), _closed(whole, F.col("name")), own).alias("card"))
+    inside = F.regexp_replace("card", MAIN_END, "")
     plain = F.regexp_replace(F.regexp_replace(inside, "(?s)<[^>]*(?:>|$)", " "), r"&#8377;|&#x20[bB]9;", "₹")
     rows = rows.withColumn("card", F.trim(F.regexp_replace(F.regexp_replace(plain, "&nbsp;|&#160;", " "), r"\s+", " ")))
     card = F.col("card")

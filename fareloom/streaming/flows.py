@@ -7,15 +7,13 @@ a query that loses executors or its driver resumes where it was.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fareloom import constants as C
+from fareloom.functions.numeric import to_places
 from fareloom.operators import dedup, decompose, quality
 from fareloom.operators.normalize import handle_sold_out, normalize_quotes, validate_quotes
 from fareloom.session import scratch_path, stored
@@ -152,47 +150,87 @@ def upsert_batches(store: str, cohort_history: bool = True, on_batch: Callable[[
     return run
 
 
-SERIES_OUT = "series_id string, period string, published_index double, window_length int, level_adjustment_factor double"
-SERIES_STATE = "periods array<string>, levels array<double>, published array<double>"
+PUBLISHED = "series_id string, period string, published_index double, window_length int, level_adjustment_factor double, kind string, batch_id int"
+VALUES = ["published_index", "window_length", "level_adjustment_factor"]
+LEVELS = "series_id string, period string, level double, batch_id int, bucket int"
 
 
-def published_series(levels: DataFrame, length: int = 13, base_value: float = 100.0) -> DataFrame:
-    """Each new period of a series is spliced (mean splice) onto what was published.
+def spliced_tail(tails: DataFrame, length: int = 13, base_value: float = 100.0) -> DataFrame:
+    """Values of a series from its first new period on, by the mean splice.
 
-    ``levels``: series_id, period, level, new periods in order. State is the last
-    ``length`` periods. Nothing is ever revised: a period already published is ignored, and
-    one that comes late is given out with a null value and window length 0. The relatives come from one level series, for which the
-    GEKS vector of a window is the levels over its first level. The function carries all
-    it needs, so workers need not have this package.
+    ``tails``: series_id, known (array of (period, level) in order, with the ``length`` - 1
+    periods before the first new one), start (where that is) and ring (the values published
+    for those before it). The relatives come from one level series, for which the GEKS vector
+    of a window is its levels over the first of them. A step reads the ring only.
     """
-    def to_places(value: float, places: int) -> float:
-        return math.floor(value * 10.0**places + 0.5 + 1e-7) / 10.0**places
-
-    def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        periods, known, published = (list(part) for part in state.get) if state.exists else ([], [], [])
-        arrived = pd.concat(list(chunks)).sort_values("period")
-        out = []
-        for period, level in zip(arrived["period"], arrived["level"]):
-            if periods and period <= periods[-1]:
-                if period not in periods:  # late: told, for a correction by the batch path
-                    out.append((key[0], period, None, 0, None))
-                continue
-            known = (known + [float(level)])[-length:]
-            if not published:
-                value, factor = base_value, 1.0
-            else:
-                g = [x / known[0] for x in known]
-                history = published[-(len(g) - 1):]
-                factor = math.exp(sum(math.log(p) - math.log(x) for p, x in zip(history, g)) / len(history))
-                value = to_places(g[-1] * factor, 4)
-            periods = (periods + [period])[-length:]
-            published = (published + [value])[-length:]
-            out.append((key[0], period, value, len(known), to_places(factor, 6)))
-        state.update((periods, known, published))
-        yield pd.DataFrame(out, columns=["series_id", "period", "published_index", "window_length", "level_adjustment_factor"])
-
-    return levels.groupBy("series_id").applyInPandasWithState(
-        advance, SERIES_OUT, SERIES_STATE, "append", GroupStateTimeout.NoTimeout)
+    def step(done: Column, k: Column) -> Column:
+        first = F.greatest(F.lit(0), k - (length - 1))
+        levels = F.transform(F.slice(F.col("known"), first + 1, k - first + 1), lambda e: e["level"])
+        n = F.size(levels)
+        history = F.slice(done["ring"], F.size(done["ring"]) - n + 2, n - 1)
+        gaps = F.zip_with(history, F.slice(levels, F.lit(1), n - 1), lambda p, x: F.ln(p) - F.ln(x / F.get(levels, F.lit(0))))
+        factor = F.exp(F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x) / (n - 1))
+        new = F.size(done["ring"]) == 0
+        row = F.struct(
+            F.get("known", k)["period"].alias("period"),
+            F.when(new, F.lit(base_value)).otherwise(to_places(F.get(levels, n - 1) / F.get(levels, F.lit(0)) * factor, 4)).alias("published_index"),
+            n.alias("window_length"), F.when(new, F.lit(1.0)).otherwise(to_places(factor, 6)).alias("level_adjustment_factor"))
+        return F.get(F.transform(F.array(row), lambda r: F.struct(
+            F.slice(F.concat(done["ring"], F.array(r["published_index"])), -F.least(F.size(done["ring"]) + 1, F.lit(length)), length).alias("ring"),
+            F.concat(done["rows"], F.array(r)).alias("rows"))), F.lit(0))
+
+    rows = "array<struct<period:string,published_index:double,window_length:int,level_adjustment_factor:double>>"
+    start = F.struct(F.col("ring").alias("ring"), F.expr(f"cast(array() as {rows})").alias("rows"))
+    steps = F.sequence(F.col("start"), F.size("known") - 1)
+    return tails.select("series_id", F.inline(F.aggregate(steps, start, step, lambda done: done["rows"])))
+
+
+def run_published_series(stream: DataFrame, path: str, checkpoint: str, length: int = 13, base_value: float = 100.0) -> DataFrame:
+    """New periods of series are spliced (mean splice) onto what was published.
+
+    ``stream``: series_id, period, level, in any order; what was given out so far, read back.
+    A value once published stays. A period that comes late is published, and every value from
+    there on that it changes is given out again as a correction: rows of ``kind`` published and
+    correction, told apart by ``batch_id``; :func:`latest_published` has the series as of now.
+    A period comes once; repeats are ignored. Levels are kept beside the output in buckets of
+    series, of which a batch reads those of its series. No Python function runs in a task.
+    """
+    levels, spark = f"{path}.levels", stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        earlier = lambda schema, at: (spark.read.schema(schema).parquet(at) if exists(spark, at) else spark.createDataFrame([], schema)).filter(
+            F.col("batch_id") < batch_id)
+        new = batch.groupBy("series_id", "period").agg(F.min("level").alias("level")).withColumn("bucket", bucket("series_id"))
+        new = stored(new, "levels")
+        here = present(F.col("bucket"), new.select("bucket"))
+        known = stored(earlier(LEVELS, levels).filter(here).join(new.select("series_id").distinct(), "series_id", "left_semi"), "known-levels")
+        new = stored(new.join(known, ["series_id", "period"], "left_anti"), "new-levels")
+        new.select("series_id", "period", "level", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{levels}/batch_id={batch_id}")
+        starts = new.groupBy("series_id").agg(F.min("period").alias("first"))
+        given = earlier(PUBLISHED, path).join(starts, "series_id")
+        given = given.groupBy("series_id", "period", "first").agg(F.max_by(F.struct(*VALUES), "batch_id").alias("given"))
+        rows = known.select("series_id", "period", "level").unionByName(new.select("series_id", "period", "level")).join(starts, "series_id")
+        given = stored(given.drop("first"), "given")
+        rows = rows.join(given.select("series_id", "period", F.col("given.published_index").alias("value")), ["series_id", "period"], "left")
+        whole = rows.groupBy("series_id").agg(
+            F.array_sort(F.collect_list(F.struct("period", "level", "value"))).alias("all"),
+            F.count_if(F.col("period") < F.col("first")).cast("int").alias("before"))
+        kept = F.least(F.col("before"), F.lit(length - 1))
+        known_part = F.slice("all", F.col("before") - kept + 1, F.size("all") - F.col("before") + kept)
+        tails = whole.select("series_id", known_part.alias("known"), kept.alias("start"),
+                             F.transform(F.slice("all", F.col("before") - kept + 1, kept), lambda e: e["value"]).alias("ring"))
+        out = spliced_tail(tails, length, base_value).join(given, ["series_id", "period"], "left")
+        out = out.filter(~F.col("given").eqNullSafe(F.struct(*VALUES))).withColumn(
+            "kind", F.when(F.col("given").isNull(), "published").otherwise("correction")).drop("given")
+        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    run_batches(stream, write, checkpoint)
+    return spark.read.schema(PUBLISHED).parquet(path)
+
+
+def latest_published(rows: DataFrame) -> DataFrame:
+    """The series as of now: the last value given out for each period."""
+    return rows.groupBy("series_id", "period").agg(F.max_by(F.struct(*VALUES, "kind"), "batch_id").alias("row")).select("series_id", "period", "row.*")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -226,6 +264,6 @@ def scratch_pair(spark: SparkSession, label: str) -> tuple[str, str]:
 
 
 __all__ = [
-    "merged_moments", "published_series", "read_quote_stream", "run_available", "run_batches", "run_first_sights", "run_trunk_volatility", "run_updates",
-    "scratch_pair", "stream_dedup", "stream_quotes", "table_stream", "trunk_moments", "trunk_volatility", "upsert_batches",
+    "latest_published", "merged_moments", "read_quote_stream", "run_available", "run_batches", "run_first_sights", "run_published_series", "run_trunk_volatility", "run_updates",
+    "scratch_pair", "spliced_tail", "stream_dedup", "stream_quotes", "table_stream", "trunk_moments", "trunk_volatility", "upsert_batches",
 ]

@@ -117,6 +117,14 @@ def test_embedded_and_card_pages(spark):
     agency = pages.quotes_from_cards(page(spark, f"<html>{other}{cards}</html>"), "body", "agency")
     assert agency.count() == 13
     assert pages.quotes_from_cards(page(spark, "<p>nothing here</p>"), "body").count() == 0
+    outer = '<div class="flight-item">6E 111 06:00 07:00 <div>Rs. 4100 <div class="flight-item">6E 222 08:00 09:30 Rs. 5200</div></div></div>'
+    after = '<p>From Rs. 9999, 6E 999</p><div class="flight-item">6E 333 <br/><div>10:00 11:00</div>Rs. 6300</div> INR 7777 <footer>6E 444 Rs. 1500</footer>'
+    rows = pages.quotes_from_cards(page(spark, f"<html><body>{outer}{after}</body></html>"), "body").collect()
+    assert sorted((r.flight_number, float(r.raw_total_fare), r.departure_time) for r in rows) == [
+        ("6E-111", 4100.0, "06:00"), ("6E-222", 5200.0, "08:00"), ("6E-333", 6300.0, "10:00")]
+    unclosed = '<div class="flight-item">6E 111 <div>Rs. 4100<div class="flight-item">6E 222 Rs. 5200</div><p>7:00 8:00</p>'
+    rows = pages.quotes_from_cards(page(spark, unclosed), "body").collect()
+    assert sorted((r.flight_number, float(r.raw_total_fare), r.departure_time) for r in rows) == [("6E-111", 4100.0, "08:00"), ("6E-222", 5200.0, "08:00")]
     footer = '<div class="flight-item">6E 101</div><footer>Fees from Rs. 4999, 10:00 to 18:00</footer>'
     assert pages.quotes_from_cards(page(spark, f"<html>{footer}</html>"), "body").count() == 0
 
@@ -144,18 +152,28 @@ def test_streams_match_batch_for_any_layout(spark, sample, tmp_path, files, per_
     assert [r.std_fare for r in got] == pytest.approx([r.std_fare for r in want], abs=1e-6)
 
 
-def test_published_stream_over_batches_matches_the_fold(spark, tmp_path):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_published_stream_over_batches_matches_the_fold(spark, tmp_path, shuffled):
+    """Four batches give the batch series; late periods come with corrections of what followed."""
     rows = [(s, f"2024-{m:02d}-01", 100.0 + (m * k * 7) % 13) for k, s in enumerate("abc", start=1) for m in range(1, 11)]
     schema = "series_id string, period string, level double"
     folder = str(tmp_path / "levels")
-    for part in ([r for r in rows if r[1] < "2024-05"], [r for r in rows if r[1] >= "2024-05"]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    part = (lambda i: (i * 7) % 4) if shuffled else (lambda i: i % 10 * 4 // 10)
+    parts = [[r for i, r in enumerate(rows) if part(i) == k] for k in range(4)]
+    spark.createDataFrame([], schema).write.parquet(folder)
+    for k in range(4):
+        spark.createDataFrame(parts[k] + parts[0][:3], schema).coalesce(1).write.mode("append").parquet(folder)  # repeats are ignored
         stream = spark.readStream.schema(schema).parquet(folder)
-        got = flows.run_available(flows.published_series(stream, length=4), str(tmp_path / "out"), str(tmp_path / "ck"))
+        got = flows.run_published_series(stream, str(tmp_path / "out"), str(tmp_path / "ck"), length=4)
     want = multilateral.rygeks_series(spark.createDataFrame(rows, schema), length=4)
-    left = sorted((r.series_id, r.period, r.published_index) for r in got.collect())
-    right = sorted((r.series_id, r.period, r.published_index) for r in want.collect())
-    assert left == right
+    key = ("series_id", "period", "published_index", "window_length", "level_adjustment_factor")
+    left = sorted(tuple(r[c] for c in key) for r in flows.latest_published(got).collect())
+    right = sorted(tuple(r[c] for c in key) for r in want.collect())
+    assert [r[:2] + r[3:4] for r in left] == [r[:2] + r[3:4] for r in right]
+    assert [r[2] for r in left] == pytest.approx([r[2] for r in right], abs=1.5e-4) and [r[4] for r in left] == pytest.approx([r[4] for r in right], abs=2e-6)
+    given = got.collect()
+    assert sum(r.kind == "published" for r in given) == len(rows)  # each period once
+    assert any(r.kind == "correction" for r in given) == shuffled
 
 
 def test_upsert_stream_in_two_batches(spark, sample, tmp_path):
@@ -208,11 +226,12 @@ def test_both_forms_of_a_cohort_join_agree(spark):
         assert sorted(map(str, small.collect())) == sorted(map(str, large.collect())) and small.columns == large.columns
 
 
-def test_late_period_is_told(spark, tmp_path):
+def test_late_period_is_published_and_what_follows_corrected(spark, tmp_path):
     schema, folder = "series_id string, period string, level double", str(tmp_path / "levels")
-    for part in ([("a", "2024-01", 100.0), ("a", "2024-03", 110.0)], [("a", "2024-02", 105.0), ("a", "2024-03", 110.0), ("a", "2024-04", 121.0)]):
+    spark.createDataFrame([], schema).write.parquet(folder)
+    for part in ([("a", "2024-01", 100.0), ("a", "2024-03", 110.0)], [("a", "2024-02", 150.0), ("a", "2024-03", 110.0), ("a", "2024-04", 121.0)]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(schema).parquet(folder)
-        got = flows.run_available(flows.published_series(stream, length=4), str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert sorted((r.period, r.window_length, r.published_index) for r in got.collect()) == [
-        ("2024-01", 1, 100.0), ("2024-02", 0, None), ("2024-03", 2, 110.0), ("2024-04", 3, 121.0)]
+        got = flows.run_published_series(spark.readStream.schema(schema).parquet(folder), str(tmp_path / "out"), str(tmp_path / "ck"), length=4)
+    rows = sorted((r.period, r.batch_id, r.kind, r.window_length, r.published_index) for r in got.collect())
+    assert rows == [("2024-01", 0, "published", 1, 100.0), ("2024-02", 1, "published", 2, 150.0), ("2024-03", 0, "published", 2, 110.0),
+                    ("2024-03", 1, "correction", 3, 110.0), ("2024-04", 1, "published", 4, 121.0)]

@@ -2,7 +2,7 @@
 
 import numpy as np
 from test_jaccard import plain_components
-from test_lines_and_packing import plain_removal
+from test_lines_and_packing import plain_blocks
 from test_substrings import plain_marks
 
 import corpus_pipeline
@@ -48,12 +48,12 @@ def test_pipeline_equals_a_plain_one(spark, sample, duck):
         if name == "quality_rules":
             plain = [d for d in plain if kept[d[0]]]
         elif name == "line_dedup":
-            plain = plain_removal(plain)
+            plain = plain_blocks(plain)
         elif name == "near_duplicates":
             stays = {(i, c) for i, _, c in plain_components(plain)}
             plain = [d for d in plain if (str(d[0]), str(d[0])) in stays]
         else:
-            marks = plain_marks([(t or "").encode() for _, t in plain], 400)
+            marks = plain_marks([(t or "").encode() for _, t in plain], corpus_pipeline.PASSAGE)
             plain = [(i, np.frombuffer((t or "").encode(), np.uint8)[~m].tobytes().decode("utf-8", "replace")) for (i, t), m in zip(plain, marks)]
         stage = function(spark, stage, sample)
         assert stage.columns == columns

@@ -1,5 +1,11 @@
 """A corpus pipeline over ``documents``: filter, two kinds of repeated passages, near
-duplicates, and packing into batches. ``STAGES`` lists its stages in order."""
+duplicates, and packing into batches. ``STAGES`` lists its stages in order.
+
+Defined cases: an empty table stays empty. Null and empty texts fail the quality rules and go
+there. A document that line dedup leaves without a word goes, as all it held stays elsewhere.
+Rows equal in id and text are treated alike by the first stages, and one of them stays as a
+near duplicate. Null ids and further columns, whatever their names, pass through to packing.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fareloom.llm import jaccard, lines, packing, quality, suffixes
-from fareloom.llm.common import read_table, release, stored
+from fareloom.llm.common import NOT_SPACE, read_table, release, stored
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -21,8 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated blocks of two or more lines stay at their first place only."""
-    return _counted(lines.rewritten(docs, lines.remove_blocks(docs)))
+    """Repeated blocks of two or more lines stay at their first place only; a document that
+    loses all its words that way goes."""
+    found = lines.remove_blocks(docs)
+    return _counted(lines.rewritten(docs, found.where((F.col("n_removed") == 0) | F.col("new_text").rlike(NOT_SPACE))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1191,18 +1191,32 @@ def d2(spark, sf):
     return analytics.hhi(analytics.quote_shares(tables.facts(spark, sf)), ["sector"]).withColumn("hhi", to_places("hhi", 4))
 
 
-@check("d3_lockstep_moves", with_(*O.FACT, _SHARES) + f"""select sector,advance_days,carrier_a,carrier_b,cast(hour_a as varchar) hour_a,cast(hour_b as varchar) hour_b,{R('jump_a', 4)} jump_a,{R('jump_b', 4)} jump_b from
- (with hr as (select sector,advance_days,carrier_code,date_trunc('hour',scrape_timestamp) h,avg(total_fare) f from facts group by 1,2,3,4),
- jp as (select *,cast(epoch(h)/3600 as bigint) hn from (select *,f-lag(f) over (partition by sector,advance_days,carrier_code order by h) j from hr) where j>1000),
- near as (select *,hn+unnest(range(-4,5)) want from jp)
+def _lockstep_sql(min_jump: int) -> str:
+    return with_(*O.FACT, _SHARES) + f"""select sector,advance_days,carrier_a,carrier_b,cast(hour_a as varchar) hour_a,cast(hour_b as varchar) hour_b,{R('jump_a', 4)} jump_a,{R('jump_b', 4)} jump_b from
+ (with hr as materialized (select sector,advance_days,carrier_code,date_trunc('hour',scrape_timestamp) h,avg(total_fare) f from facts group by 1,2,3,4),
+ jp as materialized (select *,cast(epoch(h)/3600 as bigint) hn from (select *,f-lag(f) over (partition by sector,advance_days,carrier_code order by h) j from hr) where j>{min_jump}),
+ near as materialized (select *,hn+unnest(range(-4,5)) want from jp)
  select a.sector,a.advance_days,a.carrier_code carrier_a,b.carrier_code carrier_b,a.h hour_a,b.h hour_b,a.j jump_a,b.j jump_b
- from near a join jp b on a.sector=b.sector and a.advance_days=b.advance_days and a.want=b.hn where a.carrier_code<b.carrier_code and abs(a.j-b.j)<=150) join hh using (sector) where hhi>1500""")
-def d3(spark, sf):
-    return analytics.lockstep_moves(tables.facts(spark, sf), hhi_limit=1500.0).select(
+ from near a join jp b on a.sector=b.sector and a.advance_days=b.advance_days and a.want=b.hn where a.carrier_code<b.carrier_code and abs(a.j-b.j)<=150) join hh using (sector) where hhi>1500"""
+
+
+def lockstep_rows(spark: SparkSession, sf: str, min_jump: float) -> DataFrame:
+    return analytics.lockstep_moves(tables.facts(spark, sf), min_jump, hhi_limit=1500.0).select(
         "sector", "advance_days", "carrier_a", "carrier_b", F.col("hour_a").cast("string"), F.col("hour_b").cast("string"),
         to_places("jump_a", 4).alias("jump_a"), to_places("jump_b", 4).alias("jump_b"))
 
 
+@check("d3_lockstep_moves", _lockstep_sql(1000))
+def d3(spark, sf):
+    return lockstep_rows(spark, sf, 1000.0)
+
+
+@check("d3_lockstep_any_rise", _lockstep_sql(0))
+def d3_any(spark, sf):
+    """Rises of any size, of which small tables have some as well."""
+    return lockstep_rows(spark, sf, 0.0)
+
+
 @check("d4_hours_to_fly", with_(*O.FACT) + f"select quote_id,{R('total_fare/150.0::double', 4)} hours_to_fly,total_fare/150>40 is_strained from facts")
 def d4(spark, sf):
     return analytics.hours_to_fly(tables.facts(spark, sf)).select("quote_id", "hours_to_fly", "is_strained")
@@ -1369,14 +1383,24 @@ def w12_pairs(spark, sf):
     return found.select("series_id", day("month"), "published_index", F.lit("mean").alias("method"), "window_length", "is_expanding_window")
 
 
-@check("s1_s2_file_round_trip", ORACLES["s1_read_quotes"])
-def s1_files(spark, sf):
+def quote_files(spark: SparkSession, sf: str, multi_line: bool) -> DataFrame:
     path = flows.scratch_path(spark, "quote-files")
     quotes.write_quotes(tables.raw_quotes(spark, sf), path)
-    return quotes.read_quotes(spark, path, multi_line=False).select(
+    return quotes.read_quotes(spark, path, multi_line).select(
         "quote_id", "origin_iata", "carrier_code", day("travel_date"), F.col("raw_total_fare").cast("double"), "advance_days")
 
 
+@check("s1_s2_file_round_trip", ORACLES["s1_read_quotes"])
+def s1_files(spark, sf):
+    return quote_files(spark, sf, multi_line=False)
+
+
+@check("s1_split_objects", ORACLES["s1_read_quotes"])
+def s1_objects(spark, sf):
+    """The same files cut at the bounds of their objects instead of at line ends."""
+    return quote_files(spark, sf, multi_line=True)
+
+
 @check("a32_s17_report", with_(*O.USE, _SERIES) + f"select year(d) \"year\",cast(d as varchar) date,{R('predicted', 2)} predicted_fare,{R('actual', 2)} actual_fare from al")
 def s17(spark, sf):
     """The nested report, written, read back and unnested."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import WindowSpec
 
 from fareloom import constants as C
 from fareloom.functions.numeric import to_places
@@ -23,7 +24,53 @@ STORE_PARTITION = "travel_month"
 
 def read_quotes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A JSON array per file (or one object per line) to normalised quotes."""
-    return normalize_quotes(spark.read.schema(RAW_QUOTE_FILE).option("multiLine", multi_line).json(path))
+    if not multi_line:
+        return normalize_quotes(spark.read.schema(RAW_QUOTE_FILE).json(path))
+    return normalize_quotes(json_objects(spark, path).select(F.from_json("value", RAW_QUOTE_FILE).alias("q")).select("q.*"))
+
+
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the outermost objects of JSON files, each an array, an object or objects in a row.
+
+    Files are read in byte ranges and cut at every closing brace. Whether a brace is part of
+    a string, and how deep it lies, follows from the quotes and opening braces before it:
+    sums within a range for both cases, of which sums over a file's few ranges choose one. So
+    one large array is read by many tasks. An escape never spans a cut, as no JSON escape
+    ends in a brace. An object that is not closed is left out.
+    """
+    file_range = ["file", "range"]
+    inside = Window.partitionBy(*file_range).orderBy("place")
+    ranges = Window.partitionBy("file").orderBy("range")
+
+    def earlier(column: str, window: WindowSpec) -> Column:
+        return F.sum(column).over(window) - F.col(column)
+
+    def chosen(name: str) -> Column:
+        return F.when(F.col("in_string") == 0, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
+
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"))
+    pieces = pieces.withColumn("parts", F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"'))
+    # opening braces outside strings, for a piece that begins outside and inside one
+    outside = [F.array_join(F.filter("parts", keep), "") for keep in (lambda _, i: i % 2 == 0, lambda _, i: i % 2 == 1)]
+    pieces = pieces.withColumns({f"opens_{start}": F.length(own) - F.length(F.replace(own, F.lit("{"), F.lit(""))) for start, own in enumerate(outside)})
+    pieces = pieces.withColumn("quotes", F.size("parts") - 1).withColumn("before", earlier("quotes", inside))
+    for start in (0, 1):
+        state = (F.col("before") + start) % 2
+        pieces = pieces.withColumn(f"closes_{start}", ((state + F.col("quotes")) % 2 == 0).cast("int")).withColumn(
+            f"step_{start}", F.when(state == 0, F.col("opens_0")).otherwise(F.col("opens_1")) - F.col(f"closes_{start}"))
+    # the sums below read a few narrow columns of the written pieces
+    pieces = stored(pieces.drop("parts", "opens_0", "opens_1", "before"), "pieces")
+    whole = pieces.groupBy(*file_range).agg(*[F.sum(c).alias(c) for c in ("quotes", "step_0", "step_1")])
+    whole = whole.withColumn("in_string", earlier("quotes", ranges) % 2).withColumn("step", chosen("step")).withColumn("depth", earlier("step", ranges))
+    pieces = pieces.join(whole.select(*file_range, "in_string", "depth"), file_range).withColumn("step", chosen("step"))
+    ends = (F.col("depth") + F.sum("step").over(inside) == 0) & (chosen("closes") == 1)
+    pieces = pieces.withColumn("ends", ends.cast("int")).withColumn("ended", earlier("ends", inside))
+    counts = pieces.groupBy(*file_range).agg(F.sum("ends").alias("ends")).select(*file_range, earlier("ends", ranges).alias("ended_before"))
+    numbered = pieces.join(counts, file_range).withColumn("number", F.col("ended_before") + F.col("ended"))
+    objects = numbered.groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("range", "place", "value"))).alias("pieces"), F.max("ends").alias("ends"))
+    text = F.concat(F.array_join(F.transform("pieces", lambda p: p["value"]), "}"), F.lit("}"))
+    return objects.where("ends = 1").select(F.regexp_replace(text, r"^[^{]*", "").alias("value"))
 
 
 def quote_json(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from fareloom.plans import catalog
 SPREAD = [
     "s2_write_quotes", "s10_upsert_quotes", "s12_quotes_from_json", "p2_rejected_by_rule", "p5_decompose_fare", "p20_clean_quotes_batch",
     "a4_elementary_indices", "a9_national_laspeyres", "a10_contributions", "a16_mad_anomalies", "w6_w12_rygeks_mean", "w15_monthly_index", "d8_asof_fuel",
-    "t4_all_items_airline", "t4_all_items_agency", "r3_trunk_volatility", "e2e_year_index", "d3_lockstep_moves", "f2_tariffs",
+    "t4_all_items_airline", "t4_all_items_agency", "r3_trunk_volatility", "e2e_year_index", "d3_lockstep_moves", "d3_lockstep_any_rise", "s1_split_objects", "f2_tariffs",
 ]
 NAMES = sorted(catalog.ORACLES) if os.environ.get("FARELOOM_ALL") else SPREAD
 

@@ -235,3 +235,25 @@ def test_late_period_is_published_and_what_follows_corrected(spark, tmp_path):
     rows = sorted((r.period, r.batch_id, r.kind, r.window_length, r.published_index) for r in got.collect())
     assert rows == [("2024-01", 0, "published", 1, 100.0), ("2024-02", 1, "published", 2, 150.0), ("2024-03", 0, "published", 2, 110.0),
                     ("2024-03", 1, "correction", 3, 110.0), ("2024-04", 1, "published", 4, 121.0)]
+
+
+def test_a_large_array_is_read_by_many_tasks(spark, tmp_path):
+    odd = ['{"a": [', 'brace } and { in "text"', "back\\slash\\", '\\"}', "}{", '"', "line\nbreak }, {", ""]
+    rows = [{"id": i, "text": odd[i % len(odd)] * (i % 3 + 1), "inner": {"n": i, "deep": {"t": "}" * (i % 4)}}, "list": [{"k": "{"}] * (i % 3)} for i in range(3000)]
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    (folder / "one.json").write_text(json.dumps(rows, indent=1))
+    (folder / "two.json").write_text(json.dumps(rows[:7]))
+    (folder / "three.json").write_text("\n".join(map(json.dumps, rows[7:9])))
+    (folder / "four.json").write_text("[]")
+    (folder / "five.json").write_text(json.dumps(rows[9]))
+    (folder / "cut.json").write_text(json.dumps(rows[10:12])[:-20])
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.option("lineSep", "}").text(str(folder)).rdd.getNumPartitions() > 20
+        found = [json.loads(r.value) for r in quotes.json_objects(spark, str(folder)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    order = lambda rows: sorted(map(json.dumps, rows))
+    assert order(found) == order(rows + rows[:7] + rows[7:9] + rows[9:10] + rows[10:11])

@@ -6,10 +6,12 @@
    so a passage held by a third of all texts is no large group. Copies count as one text.
 2. *Tiles.* Partners share one of the first ``n - ceil(threshold * n) + 1`` shingles in order
    of hash, and their sizes lie in the same band or in neighbouring ones. Texts meet in
-   tiles by (shard of these shingles, size band); a shingle held by very many candidates
-   gets tiles of its own, cut into pairs of bounded parts. In a tile, bitmap signatures of
-   parities bound the overlap from above: each bit that differs is one shingle or more in
-   one set only. Pairs within the bound give the edges of a spanning forest, never all pairs.
+   tiles by (shard of these shingles, size band); shards grow in number with the shingles, so
+   a tile is cut into few parts. A shingle held by more candidates than a tile takes has
+   tiles of its own: its parts first meet the first part only, and only if that does not
+   join them all each other. In a tile, bitmap signatures of parities bound the overlap from
+   above: each bit that differs is one shingle or more in one set only. Pairs within the
+   bound give the edges of a spanning forest, never all pairs.
 3. *Verification.* The groups so joined (supersets of the components) are cut into bounded
    parts, and sorted-array intersections decide. Texts already linked are not compared again;
    large groups that the first round does not join entirely are compared part by part.
@@ -77,7 +79,7 @@ def required(size: np.ndarray, join: Join) -> np.ndarray:
 def _repeated_shingles(texts: DataFrame, join: Join) -> DataFrame:
     """``tid, n, repeated``: shingles of each distinct text, and how many occur in another text."""
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = max(3, int(np.ceil(np.log2(max(1, total / join.shard_bytes)))))
+    bits = min(32, max(3, int(np.ceil(np.log2(max(1, total / join.shard_bytes))))))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, task, number = Shingler(join.words), TaskContext.get().partitionId(), 0
@@ -103,14 +105,16 @@ def _repeated_shingles(texts: DataFrame, join: Join) -> DataFrame:
             alone = np.flatnonzero(~again)
             alone = alone[np.argsort(shard[alone], kind="stable")]
             many = sorted_[first[count > 1]]
-            for p, (own, shared) in enumerate(zip(np.split(alone, np.searchsorted(shard[alone], np.arange(1, 1 << bits))),
-                                                  np.split(many, np.searchsorted(many >> np.uint64(64 - bits), np.arange(1, 1 << bits, dtype=np.uint64))))):
+            where, many_where = shard[alone], (many >> np.uint64(64 - bits)).astype(np.int64)
+            present = np.union1d(where, many_where)  # shards without a shingle here cost nothing
+            ends = lambda at: zip(np.searchsorted(at, present).tolist(), np.searchsorted(at, present, "right").tolist())
+            low = lambda x: (x >> np.uint64(32 - bits)).astype("<u4")
+            for p, (a, b), (c, d) in zip(present.tolist(), ends(where), ends(many_where)):
+                own, shared = alone[a:b], many[c:d]
                 who, each = np.unique(owner[own], return_counts=True)
-                low = lambda x: (x >> np.uint64(32 - bits)).astype("<u4")
-                if len(own) or len(shared):
-                    rows.append((p, slice_id, False, keys[who].tobytes(), each.astype("<i4").tobytes(), low(np.concatenate([every[own], shared])).tobytes()))
+                rows.append((p, slice_id, False, keys[who].tobytes(), each.astype("<i4").tobytes(), low(np.concatenate([every[own], shared])).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(
-                (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "slice", "sizes", "tids", "counts", "data"])
+                (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "slice", "sizes", "tids", "counts", "data"])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each row of a shard, the texts that have repeated shingles there and how many."""
@@ -172,7 +176,7 @@ def _repeated_shingles(texts: DataFrame, join: Join) -> DataFrame:
         if group:
             yield summed(group)
 
-    chunks = texts.mapInArrow(told, "shard int, slice long, sizes boolean, tids binary, counts binary, data binary")
+    chunks = texts.mapInArrow(told, "shard long, slice long, sizes boolean, tids binary, counts binary, data binary")
     answers = chunks.repartition("shard").sortWithinPartitions("shard").mapInArrow(asked, "slice long, tids binary, n binary, repeated binary")
     sums = answers.repartition("slice").sortWithinPartitions("slice").mapInArrow(answered, "tid binary, n long, repeated long")
     # each batch gets the whole answer about its texts, so copies in several batches agree
@@ -245,14 +249,15 @@ def possible(x: int, rest: np.ndarray, n: np.ndarray, bits: np.ndarray, join: Jo
 
 
 def _tile_edges(rows: DataFrame, join: Join) -> DataFrame:
-    """``a, b``: a spanning forest of the pairs that may link, tile by tile."""
+    """``a, b``: a spanning forest of the pairs that may link, tile by tile
+    (``tile, tid, n, bitmap, tokens, label``); rows of one label are joined already."""
     def solved(tile: list[tuple]) -> pa.RecordBatch:
         n, bits = np.array([r[2] for r in tile], np.int64), folded([r[3] for r in tile])
         lengths = np.array([len(r[4]) for r in tile])
         token, row = np.concatenate([np.asarray(r[4], np.int64) for r in tile]), np.repeat(np.arange(len(tile)), lengths)
         order = np.lexsort((row, token))
         token, row = token[order], row[order]
-        forest = Forest(len(tile))
+        forest = Forest(len(tile), [r[5] for r in tile])
         for own in np.split(row, np.flatnonzero(token[1:] != token[:-1]) + 1):
             while len(own) > 1:
                 x, own = own[0], own[1:]
@@ -265,7 +270,7 @@ def _tile_edges(rows: DataFrame, join: Join) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([tile[a][1] for a, _ in forest.made], pa.binary()),
                                            pa.array([tile[b][1] for _, b in forest.made], pa.binary())], ["a", "b"])
 
-    return _by_group(rows.select("tile", "tid", "n", "bitmap", "tokens"), "tile", solved, "a binary, b binary")
+    return _by_group(rows.select("tile", "tid", "n", "bitmap", "tokens", "label"), "tile", solved, "a binary, b binary")
 
 
 def _by_group(rows: DataFrame, key: str, solved, schema: str) -> DataFrame:
@@ -295,6 +300,11 @@ def _pairs_of_parts(part: Column, parts: Column) -> Column:
                        lambda other: F.least(part, other).cast("long") * parts + F.greatest(part, other))
 
 
+def _with_first(part: Column, parts: Column) -> Column:
+    """The tiles of a part when each part meets the first only; tile p holds the parts 0 and p."""
+    return F.transform(F.when(part == 0, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part)), lambda p: p.cast("long"))
+
+
 def _candidate_edges(sets: DataFrame, join: Join, paths: list[str]) -> DataFrame:
     light = sets.select("tid", "n", F.explode("prefix").alias("token"))
     # neighbouring bands hold all sizes that can reach the threshold
@@ -303,15 +313,32 @@ def _candidate_edges(sets: DataFrame, join: Join, paths: list[str]) -> DataFrame
     counts = light.groupBy("token", "band").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     total = counts.agg(F.sum("held")).first()[0] or 0
     shards = max(4, int(total // join.shard_rows))
-    met = light.join(counts.select("token", "band"), ["token", "band"])
-    # all of a text's shingles in a shard travel as one row
-    shard = F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int")
-    placed = stored(met.groupBy(shard.alias("shard"), "band", "tid").agg(F.collect_list("token").alias("tokens")), "placed", paths)
+    met = light.join(counts, ["token", "band"])
+    # all of a text's shingles in a shard travel as one row; a shingle that fills tiles has a shard of its own
+    own = F.col("held") > join.tile
+    shard = F.when(own, F.xxhash64("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(shards)))
+    placed = stored(met.groupBy(shard.alias("shard"), own.alias("own"), "band", "tid").agg(F.collect_list("token").alias("tokens")), "placed", paths)
+    group = ["shard", "own", "band"]
     parts = F.ceil(F.count(F.lit(1)) / join.tile).cast("int")
-    sized = placed.join(placed.groupBy("shard", "band").agg(parts.alias("parts")), ["shard", "band"])
-    pairs = F.transform(_pairs_of_parts(_part_of(F.col("tid"), F.col("parts")), F.col("parts")), lambda p: F.xxhash64("shard", "band", p))
-    tiles = sized.select("tid", "tokens", F.explode(pairs).alias("tile")).join(sets.select("tid", "n", "bitmap"), "tid")
-    return _tile_edges(tiles, join)
+    sized = placed.join(placed.groupBy(*group).agg(parts.alias("parts")), group).withColumn("part", _part_of(F.col("tid"), F.col("parts")))
+    light_sets = sets.select("tid", "n", "bitmap")
+
+    def tiled(rows: DataFrame, places: Column, round_: int) -> DataFrame:
+        tiles = F.transform(places, lambda p: F.xxhash64(*group, p, F.lit(round_)))
+        return _tile_edges(rows.withColumn("tile", F.explode(tiles)).join(light_sets, "tid"), join)
+
+    every = _pairs_of_parts(F.col("part"), F.col("parts"))
+    # first round: shards of many shingles whole; a shard of one shingle only each part with the first
+    places = F.when(F.col("own"), _with_first(F.col("part"), F.col("parts"))).otherwise(every)
+    first = stored(tiled(sized.withColumn("label", F.col("tid")), places, 0), "tiled", paths)
+    wide = sized.where("own and parts > 1")
+    if wide.isEmpty():
+        return first
+    # second round: shards of one shingle that are not joined entirely
+    joined = components(first).select(F.col("node").alias("tid"), "root")
+    wide = wide.join(joined, "tid", "left").withColumn("label", F.coalesce("root", "tid")).drop("root")
+    open_ = wide.groupBy(*group).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*group)
+    return first.unionByName(tiled(wide.join(open_, group, "left_semi"), every, 1))
 
 
 # ---- verification -----------------------------------------------------------------------
@@ -352,8 +379,7 @@ def _links(sets: DataFrame, join: Join, paths: list[str]) -> DataFrame:
     members = stored(sized.select(F.col("node").alias("tid"), F.col("root").alias("block"), "parts",
                                   _part_of(F.col("node"), F.col("parts")).alias("part")).join(sets, "tid").drop("prefix"), "blocks", paths)
     # first round: every part with itself and with the first part
-    with_first = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    tiles = F.transform(with_first, lambda p: F.xxhash64("block", p, F.lit(0)))  # tile p holds the parts 0 and p
+    tiles = F.transform(_with_first(F.col("part"), F.col("parts")), lambda p: F.xxhash64("block", p, F.lit(0)))
     first = stored(_verified(members.withColumn("tile", F.explode(tiles)).withColumn("label", F.col("tid")), join), "links")
     linked = components(first)
     # second round: groups of several parts that are not joined entirely, all pairs of parts

@@ -68,6 +68,34 @@ def test_join_equals_brute_force(spark, small):
     assert len({c for _, _, c in want}) < len(docs) - 20
 
 
+def test_many_more_shards_than_shingles(spark):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    total = sum(len((t or "").encode()) for _, t in docs)
+    join = jaccard.Join(shard_bytes=total / (1 << 20))  # 1 << 20 shards or more
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join_texts(df, join).collect())
+    assert got == plain_components(docs)
+
+
+def test_a_shingle_of_many_parts(spark):
+    """All texts hold one shingle of a common start; two families of copies with small edits, and texts apart."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common = [word() for _ in range(6)]
+    docs = []
+    for _ in range(2):
+        own = [word() for _ in range(60)]
+        for _ in range(25):
+            edited = list(own)
+            edited[rng.randrange(60)] = word()
+            docs.append((len(docs), " ".join(common + edited)))
+    docs += [(len(docs) + i, " ".join([*common, *[word() for _ in range(58)]])) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for tile in (4, 16):
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join_texts(df, jaccard.Join(tile=tile, part=4)).collect())
+        assert got == plain_components(docs)
+
+
 def test_query_equals_brute_force(spark, sample):
     docs = [(r.doc_id, r.text) for r in read_table(spark, sample, "documents").select("doc_id", "text").collect()]
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in queries.op4_ngram_jaccard(spark, sample).collect())

@@ -13,8 +13,8 @@ rows is one candidate and one query. Lists are cut into row blocks and query blo
 pair of blocks is a group of bounded size.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take
-no part, nor do those of another dimension than the most common one (of equals, the smaller);
-rows of equal id and vector count once; rows of an id are never results of queries with that
+no part; those of several dimensions are searched dimension by dimension, each among its own,
+as there is no inner product between them; rows of equal id and vector count once; rows of an id are never results of queries with that
 id; fewer candidates than ``k`` give all; further columns are not read.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,10 @@ def train_lists(sample: np.ndarray, lists: int, seed: int, rounds: int = 8) -> n
     return centroids
 
 
-def nearest_list(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return (x @ centroids.T - 0.5 * (centroids * centroids).sum(axis=1)).argmax(axis=1)
+def nearest_list(x: np.ndarray, centroids: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Block by block, so that no more than ``block`` distances a centroid are held at once."""
+    half = 0.5 * (centroids * centroids).sum(axis=1)
+    return np.concatenate([(x[a:a + block] @ centroids.T - half).argmax(axis=1) for a in range(0, max(1, len(x)), block)])
 
 
 def scan(queries: np.ndarray, rotated_queries: np.ndarray, rows: np.ndarray, rotated: np.ndarray, ids: np.ndarray, bar: np.ndarray,
@@ -214,11 +217,15 @@ def search_all(vectors: DataFrame, is_query: Column, search: Search = Search(),
     """``query_id, rank, vec_id, score`` for every row of ``vectors`` that ``is_query`` (a condition on ``vec_id``)."""
     usable = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector")).where(
         F.col("vec_id").isNotNull() & _usable(F.col("vector")))
-    common = usable.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    if common is None:
+    # a search for each dimension; a table has few, and ids of two dimensions are two queries
+    dims = [r[0] for r in usable.select(F.size("vector").alias("dim")).distinct().orderBy("dim").collect()]
+    if not dims:
         return usable.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    dim, k = common.dim, search.k + 1  # one more, as a query's own row is among the candidates
-    usable = usable.where(F.size("vector") == dim)
+    return reduce(DataFrame.unionByName, [_search_dimension(usable.where(F.size("vector") == dim), dim, is_query, search) for dim in dims])
+
+
+def _search_dimension(usable: DataFrame, dim: int, is_query: Column, search: Search) -> DataFrame:
+    k = search.k + 1  # one more, as a query's own row is among the candidates
     # a vector's entry: its smallest ids (k are enough for any query) under the smallest one
     of_vector = Window.partitionBy("vector").orderBy("vec_id")
     few = usable.distinct().withColumn("nth", F.row_number().over(of_vector)).where(F.col("nth") <= k)

@@ -52,6 +52,25 @@ def test_all_lists_without_doubt_are_exact(spark):
     assert nearest.search_all(df.where("vec_id = 902"), F.col("vec_id") % 2 == 0).collect() == []
 
 
+def test_each_dimension_is_searched_among_its_own(spark):
+    rng = np.random.default_rng(4)
+    wide = [(int(i), np.round(v, 2).tolist()) for i, v in enumerate(rng.standard_normal((60, 3)))]
+    flat = [(100, [1.0, 2.0]), (101, [0.5, -1.0]), (20, [3.0, 1.0]), (140, None)]
+    alone = [(200, [4.0])]
+    df = spark.createDataFrame(wide + flat + alone, "vec_id long, embedding array<double>").repartition(3)
+    search = nearest.Search(k=5, probe=1.0, doubt=1e6)
+    rows = nearest.search_all(df, F.col("vec_id") % 20 == 0, search).collect()
+    two = exact(flat, lambda i: i % 20 == 0, 5)
+    got = sorted((r.query_id, r.vec_id, r.score) for r in rows)
+    want = [(q, i, s) for part in (exact(wide, lambda i: i % 20 == 0, 5), two) for q, found in part.items() for i, s in found]
+    assert got == sorted(want) and [i for i, _ in two[100]] == [20, 101]
+
+
+def test_lists_are_trained_in_blocks():
+    x = np.random.default_rng(2).standard_normal((257, 6))
+    assert (nearest.nearest_list(x, x[:9], 10) == nearest.nearest_list(x, x[:9], 1000)).all()
+
+
 def test_rejected_candidates_are_far():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 64))

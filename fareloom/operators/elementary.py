@@ -53,50 +53,11 @@ def jevons(log_mean_base: Column, log_mean_current: Column) -> Column:
     return F.exp(log_mean_current - log_mean_base)
 
 
-def match_flights(base: DataFrame, current: DataFrame, by: Sequence[str] = (), base_by: Sequence[str] = ()) -> DataFrame:
-    """K-th base quote of a flight with its k-th current quote (both already numbered)."""
-    keys = [*COHORT, *FLIGHT, "occurrence", *base_by]
-    left = base.select(*keys, F.col("fare").alias("base_fare"))
-    right = current.select(*dict.fromkeys([*by, *keys]), F.col("fare").alias("current_fare"))
-    return right.join(left, keys)
-
-
 def number_quotes(rows: DataFrame, period: Sequence[str], day: str, tie: str) -> DataFrame:
     """W1 over usable fares: the arrival number of a quote among its flight's quotes."""
     return occurrence_no(rows.filter(F.col("fare") > 0), [*period, *COHORT, *FLIGHT], day, tie)
 
 
-def cohort_jevons(
-    base: DataFrame, current: DataFrame, by: Sequence[str] = (), base_by: Sequence[str] = (),
-    pairs: DataFrame | None = None,
-) -> DataFrame:
-    """A3/A4 from prepared rows: matched pairs where any exist, else ratio of geometric means.
-
-    ``by`` are the period columns of ``current``; ``base_by`` those also on ``base``.
-    """
-    b = geometric_means(base, [*base_by, *COHORT]).select(
-        *base_by, *COHORT, F.col("quotes").alias("base_quote_count"), F.col("log_mean").alias("base_log"))
-    c = geometric_means(current, [*by, *COHORT]).select(
-        *by, *COHORT, F.col("quotes").alias("current_quote_count"), F.col("log_mean").alias("current_log"))
-    both = c.join(b, [*base_by, *COHORT])
-    if pairs is not None:
-        matched = pairs.groupBy(*by, *COHORT).agg(
-            F.count(F.lit(1)).alias("matched_quote_count"),
-            F.avg(F.ln("current_fare") - F.ln("base_fare")).alias("matched_log"))
-        both = both.join(matched, [*by, *COHORT], "left")
-    else:
-        both = both.withColumns({"matched_quote_count": F.lit(None).cast("bigint"),
-                                 "matched_log": F.lit(None).cast("double")})
-    index = F.coalesce(F.exp("matched_log"), jevons(F.col("base_log"), F.col("current_log")))
-    return both.filter(F.col("base_log").isNotNull() & F.col("current_log").isNotNull()).select(
-        *by, *COHORT, "base_quote_count", "current_quote_count",
-        F.coalesce("matched_quote_count", F.lit(0)).alias("matched_quote_count"),
-        to_places(F.exp("base_log"), 4).alias("base_geometric_mean"),
-        to_places(F.exp("current_log"), 4).alias("current_geometric_mean"),
-        to_places(index, 6).alias("index_value"),
-    )
-
-
 def _narrow(df: DataFrame, sectors: Sequence[str] | None, windows: Sequence[int] | None) -> DataFrame:
     if sectors:
         df = df.filter(F.col("sector").isin(list(sectors)))
@@ -162,12 +123,34 @@ def elementary_indices_lagged(
     return _against(rows, period, base, match, period, tie)
 
 
+def _two_sides(base: DataFrame, current: DataFrame, fare: str, extra: Sequence[str]) -> DataFrame:
+    """Both sets as one, with ``side`` 0 for the base, so that what follows reads each once."""
+    sides = [prepare(df, None, fare, extra).withColumn("side", F.lit(k)) for k, df in enumerate((base, current))]
+    return sides[0].unionByName(sides[1])
+
+
+def match_flights(base: DataFrame, current: DataFrame, fare: str = "total_fare",
+                  day: str = "travel_date", tie: str = "quote_id") -> DataFrame:
+    """K-th base quote of a flight with its k-th current quote.
+
+    Both sides are numbered in one pass and meet in an aggregate, at most two rows a key.
+    """
+    rows = number_quotes(_two_sides(base, current, fare, [day, tie]), ["side"], day, tie)
+    fares = [F.max(F.when(F.col("side") == k, F.col("fare"))).alias(name) for k, name in enumerate(("base_fare", "current_fare"))]
+    return rows.groupBy(*COHORT, *FLIGHT, "occurrence").agg(*fares).dropna(subset=["base_fare", "current_fare"])
+
+
 def jevons_of_two(base: DataFrame, current: DataFrame, fare: str = "total_fare", match: bool = True,
                   day: str = "travel_date", tie: str = "quote_id") -> DataFrame:
-    """A4 for two given sets of quotes."""
-    b, c = prepare(base, None, fare, [day, tie]), prepare(current, None, fare, [day, tie])
-    pairs = match_flights(number_quotes(b, [], day, tie), number_quotes(c, [], day, tie)) if match else None
-    return cohort_jevons(b, c, pairs=pairs)
+    """A3: A4 for two given sets of quotes, as the two periods of one pass.
+
+    The index of a cohort is that of its matched pairs where any exist, else the ratio of
+    geometric means.
+    """
+    is_base = F.col("side") == 0
+    both = _against(_two_sides(base, current, fare, [day, tie]), "side",
+                    lambda value, group: F.max(F.when(is_base, value)).over(group), match, day, tie)
+    return both.filter(~is_base).drop("side")
 
 
 def cohort_keys(base: DataFrame, current: DataFrame, keys: Sequence[str] = COHORT) -> DataFrame:

@@ -18,6 +18,7 @@ from fareloom.operators import (analytics, decompose, dedup, elementary, movemen
 from fareloom.plans import oracle as O
 from fareloom.plans import publish
 from fareloom.plans.oracle import R, with_
+from fareloom.session import stored as stored_once
 from fareloom.sources import cpi, pages, quotes, tables, weights
 from fareloom.streaming import flows
 
@@ -366,6 +367,7 @@ def p15(spark, sf):
 
 def cohort_rows(spark, sf):
     rows = quality.with_cohort(dedup.deduplicate_quotes(tables.valid_quotes(spark, sf)))
+    rows = stored_once(rows.select("quote_id", "raw_total_fare", *quality.COHORT), "cohort-rows")  # used twice: for the statistics and for the rows
     return quality.cohort_frame(rows, quality.cohort_stats(rows))
 
 
@@ -567,9 +569,7 @@ def a3(spark, sf):
 
 @check("j1_match_flights", with_(*TWO) + "select c.sector,c.carrier_code,c.advance_days,c.flight_number flight,c.k occurrence,b.fare base_fare,c.fare current_fare from num c join num b on b.period=1999 and c.period=2000 and b.sector=c.sector and b.carrier_code=c.carrier_code and b.advance_days=c.advance_days and b.flight_number=c.flight_number and b.departure_time=c.departure_time and b.k=c.k")
 def j1(spark, sf):
-    base, current = [elementary.number_quotes(elementary.prepare(df, None, "total_fare", ["travel_date", "quote_id"]), [], "travel_date", "quote_id")
-                     for df in two_years(spark, sf)]
-    return elementary.match_flights(base, current).select("sector", "carrier_code", "advance_days", "flight", "occurrence", "base_fare", "current_fare")
+    return elementary.match_flights(*two_years(spark, sf)).select("sector", "carrier_code", "advance_days", "flight", "occurrence", "base_fare", "current_fare")
 
 
 @check("w1_occurrence_no", with_(*O.USE, *O.elementary("usable", "year(travel_date)", "b.period=1995")[:1]) + "select period yr,sector,flight_number flight,fare,k occurrence from num")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
-from pyspark.sql.window import WindowSpec
 
 from fareloom import constants as C
 from fareloom.functions.numeric import to_places
@@ -20,6 +24,8 @@ from fareloom.sources.schemas import CLEAN_QUOTE, RAW_QUOTE_FILE
 from fareloom.sources.weights import attach_dims
 
 STORE_PARTITION = "travel_month"
+FILE_QUOTES = 200_000
+ESCAPE = re.compile(rb"(?s)\\.")
 
 
 def read_quotes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -33,44 +39,105 @@ def json_objects(spark: SparkSession, path: str) -> DataFrame:
     """``value``: the outermost objects of JSON files, each an array, an object or objects in a row.
 
     Files are read in byte ranges and cut at every closing brace. Whether a brace is part of
-    a string, and how deep it lies, follows from the quotes and opening braces before it:
-    sums within a range for both cases, of which sums over a file's few ranges choose one. So
-    one large array is read by many tasks. An escape never spans a cut, as no JSON escape
-    ends in a brace. An object that is not closed is left out.
+    a string, and how deep it lies, follows from the quotes and opening braces before it. A
+    range is walked in order where it is read, so texts are neither shuffled nor written: a
+    file of one range begins outside strings; the ranges of a larger file are walked for
+    their sums in both cases first, of which sums over a file's few ranges choose one. So one
+    large array is read by many tasks. Only what objects leave over at the ends of ranges
+    meets, by file. An escape never spans a cut, as no JSON escape ends in a brace. An object
+    that is not closed is left out.
     """
-    file_range = ["file", "range"]
-    inside = Window.partitionBy(*file_range).orderBy("place")
-    ranges = Window.partitionBy("file").orderBy("range")
-
-    def earlier(column: str, window: WindowSpec) -> Column:
-        return F.sum(column).over(window) - F.col(column)
-
-    def chosen(name: str) -> Column:
-        return F.when(F.col("in_string") == 0, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
-
     pieces = spark.read.option("lineSep", "}").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"))
-    pieces = pieces.withColumn("parts", F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"'))
-    # opening braces outside strings, for a piece that begins outside and inside one
-    outside = [F.array_join(F.filter("parts", keep), "") for keep in (lambda _, i: i % 2 == 0, lambda _, i: i % 2 == 1)]
-    pieces = pieces.withColumns({f"opens_{start}": F.length(own) - F.length(F.replace(own, F.lit("{"), F.lit(""))) for start, own in enumerate(outside)})
-    pieces = pieces.withColumn("quotes", F.size("parts") - 1).withColumn("before", earlier("quotes", inside))
-    for start in (0, 1):
-        state = (F.col("before") + start) % 2
-        pieces = pieces.withColumn(f"closes_{start}", ((state + F.col("quotes")) % 2 == 0).cast("int")).withColumn(
-            f"step_{start}", F.when(state == 0, F.col("opens_0")).otherwise(F.col("opens_1")) - F.col(f"closes_{start}"))
-    # the sums below read a few narrow columns of the written pieces
-    pieces = stored(pieces.drop("parts", "opens_0", "opens_1", "before"), "pieces")
-    whole = pieces.groupBy(*file_range).agg(*[F.sum(c).alias(c) for c in ("quotes", "step_0", "step_1")])
-    whole = whole.withColumn("in_string", earlier("quotes", ranges) % 2).withColumn("step", chosen("step")).withColumn("depth", earlier("step", ranges))
-    pieces = pieces.join(whole.select(*file_range, "in_string", "depth"), file_range).withColumn("step", chosen("step"))
-    ends = (F.col("depth") + F.sum("step").over(inside) == 0) & (chosen("closes") == 1)
-    pieces = pieces.withColumn("ends", ends.cast("int")).withColumn("ended", earlier("ends", inside))
-    counts = pieces.groupBy(*file_range).agg(F.sum("ends").alias("ends")).select(*file_range, earlier("ends", ranges).alias("ended_before"))
-    numbered = pieces.join(counts, file_range).withColumn("number", F.col("ended_before") + F.col("ended"))
-    objects = numbered.groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("range", "place", "value"))).alias("pieces"), F.max("ends").alias("ends"))
-    text = F.concat(F.array_join(F.transform("pieces", lambda p: p["value"]), "}"), F.lit("}"))
-    return objects.where("ends = 1").select(F.regexp_replace(text, r"^[^{]*", "").alias("value"))
+        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"),
+        (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("split"))
+    columns, parted = ["value", "file", "range"], pieces.filter("split")
+    sums = parted.select(*columns).mapInArrow(range_sums, "file string, range long, quotes long, step_0 long, step_1 long")
+    starts = range_starts(sums)
+    known = {(r["file"], r["range"]): (r["in_string"], r["depth"]) for r in starts.collect()}  # a row for each range of a large file
+    whole = pieces.select(*columns).mapInArrow(lambda batches: range_objects(batches, known, True), RANGE_TEXT).select("value")
+    if known:
+        ends = stored(parted.select(*columns).mapInArrow(lambda batches: range_objects(batches, known, False), RANGE_TEXT), "range-ends")
+        before = Window.partitionBy("file").orderBy("range", "place").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("number", F.coalesce(F.sum(F.col("ended").cast("int")).over(before), F.lit(0)))
+        joined = ends.groupBy("file", "number").agg(
+            F.sort_array(F.collect_list(F.struct("range", "place", "value"))).alias("parts"), F.max("ended").alias("ended"))
+        spanning = joined.filter("ended").select(F.array_join(F.transform("parts", lambda p: p["value"].cast("string")), "").cast("binary").alias("value"))
+        whole = whole.unionByName(spanning)
+    return whole.select(F.regexp_replace(F.col("value").cast("string"), r"^[^{]*", "").alias("value"))
+
+
+RANGE_TEXT = "file string, range long, place long, ended boolean, value binary"
+
+
+def range_starts(sums: DataFrame) -> DataFrame:
+    """``file, range, in_string, depth`` at the start of each range, from the sums over the ranges."""
+    ranges = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("in_string", F.coalesce(F.sum("quotes").over(ranges), F.lit(0)) % 2)
+    sums = sums.withColumn("step", F.when(F.col("in_string") == 0, F.col("step_0")).otherwise(F.col("step_1")))
+    return sums.select("file", "range", "in_string", F.coalesce(F.sum("step").over(ranges), F.lit(0)).alias("depth"))
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[bytes]]]:
+    """Runs of pieces of one range, in order; a long range comes in several runs, one after the other."""
+    for batch in batches:
+        value, file, start = batch.columns
+        if not batch.num_rows:
+            continue
+        other = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(start[1:], start[:-1]))
+        cuts = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield (file[a].as_py(), start[a].as_py()), value[a:b].to_pylist()
+
+
+def _marks(piece: bytes) -> list[bytes]:
+    """A piece between its quotes; every second entry is in a string."""
+    return (ESCAPE.sub(b"", piece) if b"\\" in piece else piece).split(b'"')
+
+
+def range_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range: its quotes, and opening less closing braces if it begins outside and inside a string."""
+    at, quotes, steps = None, 0, [0, 0]
+    for key, pieces in chain(_by_range(batches), [(None, [])]):
+        if key != at:
+            if at is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*at, quotes, *steps)], ["file", "range", "quotes", "step_0", "step_1"])
+            at, quotes, steps = key, 0, [0, 0]
+        for piece in pieces:
+            marks = _marks(piece)
+            for first in (0, 1):
+                inside = (quotes + first) % 2
+                steps[first] += b"".join(marks[inside::2]).count(b"{") - ((inside + len(marks) - 1) % 2 == 0)
+            quotes += len(marks) - 1
+
+
+def range_objects(batches: Iterator[pa.RecordBatch], known: dict[tuple[str, int], tuple[int, int]], whole: bool) -> Iterator[pa.RecordBatch]:
+    """The objects that lie in one range; or the rest: what a range's first object has left, and what its last one leaves.
+
+    ``known``: (in a string, depth) at the start of the ranges of large files.
+    """
+    at, place = None, 0
+    for key, pieces in chain(_by_range(batches), [(None, [])]):
+        out: list[tuple] = []
+        if key != at:
+            if at is not None and at in known and held and not whole:
+                out.append((*at, place, False, b"}".join(held) + b"}"))
+            at, held, place = key, [], 0
+            inside, depth = known.get(key, (0, 0))
+            first = key is not None and key[1] > 0  # what comes before the first end belongs to the range before
+        for piece in pieces:
+            marks = _marks(piece)
+            opened = b"".join(marks[inside::2]).count(b"{")
+            inside = (inside + len(marks) - 1) % 2
+            depth += opened - (not inside)
+            held.append(piece)
+            if not inside and depth == 0:
+                if first != whole:
+                    out.append((*at, place, True, b"}".join(held) + b"}"))
+                place, held, first = place + 1, [], False
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))],
+                ["file", "range", "place", "ended", "value"])
 
 
 def quote_json(df: DataFrame) -> DataFrame:
@@ -82,8 +149,8 @@ def quote_json(df: DataFrame) -> DataFrame:
 
 
 def write_quotes(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S2."""
-    quote_json(df).write.mode(mode).text(path)
+    """Compressed text; a file has so few quotes that one task reads it, as it can't be split."""
+    quote_json(df).write.mode(mode).option("compression", "gzip").option("maxRecordsPerFile", FILE_QUOTES).text(path)
 
 
 def to_facts(raw: DataFrame) -> DataFrame:

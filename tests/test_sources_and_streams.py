@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,3 +258,16 @@ def test_a_large_array_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
     order = lambda rows: sorted(map(json.dumps, rows))
     assert order(found) == order(rows + rows[:7] + rows[7:9] + rows[9:10] + rows[10:11])
+
+
+def test_quote_files_are_small_and_read_without_a_shuffle_of_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quotes, "FILE_QUOTES", 40)
+    rows = spark.range(100).select(F.concat(F.lit('q"{}\\'), "id").alias("quote_id"), F.lit(4500.0).alias("total_fare"))
+    path = str(tmp_path / "files")
+    quotes.write_quotes(rows.coalesce(1), path)
+    assert [f.endswith(".txt.gz") for f in sorted(os.listdir(path)) if f.startswith("part-")] == [True] * 3
+    objects = quotes.json_objects(spark, path)
+    assert "Exchange" not in objects._jdf.queryExecution().executedPlan().toString()
+    assert sorted(json.loads(r.value)["quote_id"] for r in objects.collect()) == sorted(r.quote_id for r in rows.collect())
+    for multi_line in (False, True):
+        assert quotes.read_quotes(spark, path, multi_line).filter("raw_total_fare = 4500").count() == 100

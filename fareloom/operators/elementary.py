@@ -55,7 +55,7 @@ def jevons(log_mean_base: Column, log_mean_current: Column) -> Column:
 
 def number_quotes(rows: DataFrame, period: Sequence[str], day: str, tie: str) -> DataFrame:
     """W1 over usable fares: the arrival number of a quote among its flight's quotes."""
-    return occurrence_no(rows.filter(F.col("fare") > 0), [*period, *COHORT, *FLIGHT], day, tie)
+    return occurrence_no(rows.filter(F.col("fare") > 0), [*period, *COHORT, *FLIGHT], day, tie, near=[*COHORT, *FLIGHT])
 
 
 def _narrow(df: DataFrame, sectors: Sequence[str] | None, windows: Sequence[int] | None) -> DataFrame:
@@ -77,7 +77,8 @@ def _against(rows: DataFrame, period: str, base: Callable[[Column, WindowSpec],
     """
     rows = rows.withColumn("usable", F.col("fare") > 0)
     if match:
-        rows = occurrence_no(rows, [period, *COHORT, *FLIGHT, "usable"], day, tie)
+        # a flight's rows of all periods lie together, so the pairs below need no further shuffle
+        rows = occurrence_no(rows, [period, *COHORT, *FLIGHT, "usable"], day, tie, near=[*COHORT, *FLIGHT, "usable"])
         pair = Window.partitionBy(*COHORT, *FLIGHT, "usable", "occurrence")
         rows = rows.withColumn("base_fare", base(F.col("fare"), pair))
         gap = F.when(F.col("usable"), F.ln("fare") - F.ln("base_fare"))

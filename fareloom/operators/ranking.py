@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from fareloom.session import stored
 
 SLICES_PER_OCTAVE = 32
+DEALT = 1 << 16  # hashes by which rows are counted before they are dealt
+HEAVY_ROWS = 1_000_000  # a hash with more rows than these is not left to one task
 
 
 def value_slice(value: Column) -> Column:
@@ -112,16 +114,35 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, rank_as: str = "
     )
 
 
-def occurrence_no(df: DataFrame, keys: Sequence[str], day: str, tie: str, name: str = "occurrence") -> DataFrame:
+def occurrence_no(
+    df: DataFrame, keys: Sequence[str], day: str, tie: str, name: str = "occurrence", near: Sequence[str] | None = None,
+    most_rows: int = HEAVY_ROWS,
+) -> DataFrame:
     """Number the rows of each group 1, 2, … in order of ``day``, then ``tie``.
 
-    One path for groups of every size: the rows are range-partitioned by (keys, day, tie),
+    Rows are dealt by ``near``, which is all or some of ``keys``: a caller who goes on by
+    those columns gets the rows as they lie, without a further shuffle. A count of rows by
+    hashes of ``near`` first tells which of them hold over ``most_rows`` rows; their groups
+    are numbered stretch by stretch, so no task gets a group of any size.
+    """
+    near = list(near or keys)
+    dealt = F.pmod(F.xxhash64(*near), F.lit(DEALT))
+    heavy = [r[0] for r in df.groupBy(dealt.alias("dealt")).count().filter(F.col("count") > most_rows).select("dealt").collect()]
+    light = df.filter(~dealt.isin(heavy)) if heavy else df
+    group = Window.partitionBy(*keys).orderBy(day, tie)
+    light = light.repartition(*near).withColumn(name, F.row_number().over(group).cast("bigint"))
+    return light.unionByName(_numbered_by_stretch(df.filter(dealt.isin(heavy)), list(keys), day, tie, name)) if heavy else light
+
+
+def _numbered_by_stretch(df: DataFrame, keys: list[str], day: str, tie: str, name: str) -> DataFrame:
+    """The same for groups of any size.
+
+    The rows are range-partitioned by (keys, day, tie),
     so a group with most of the rows spans many stretches. Each stretch numbers its own rows
     and adds the group's rows in earlier stretches. The stretches are written to the scratch
     folder, so that counts and rows see the same cut. Where they are cut differs between
     runs, the numbers do not.
     """
-    keys = list(keys)
     order = list(dict.fromkeys([*keys, day, tie]))
     cut = stored(df.repartitionByRange(*order).withColumn("stretch", F.spark_partition_id()), "stretches")
     counts = cut.groupBy(*keys, "stretch").agg(F.count(F.lit(1)).alias("rows"))

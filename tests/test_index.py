@@ -51,6 +51,27 @@ def test_numbers_of_one_flight_with_most_rows(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_numbers_and_pairs_do_not_depend_on_how_rows_are_dealt(spark):
+    rng = random.Random(4)
+    rows = [("DEL-BOM", "6E", 7, f"6E-{rng.randrange(3) ** 2}", "08:00", float(rng.randrange(2000, 9000)),
+             f"2024-01-{1 + rng.randrange(3):02d}", f"{i:05d}") for i in range(200)]
+    df = elementary.prepare(quotes(spark, rows), None, extra=["travel_date", "quote_id"])
+    keys = [*elementary.COHORT, *elementary.FLIGHT]
+    want = df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy("travel_date", "quote_id")))
+    for most_rows in (1_000_000, 90, 0):  # no group, some and all are numbered by stretches
+        got = ranking.occurrence_no(df, keys, "travel_date", "quote_id", near=keys[:4], most_rows=most_rows)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lagged_indices_shuffle_the_rows_once(spark):
+    rows = [("DEL-BOM", "6E", 7, "6E-1", "08:00", 4000.0 + i, f"2024-01-{i + 1:02d}", str(i)) for i in range(20)]
+    found = elementary.elementary_indices_lagged(quotes(spark, rows), 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # of the rows, of the sums by date, and of those by cohort
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert found.count() == 13
+
+
 def test_time_reversal(spark):
     rng = random.Random(5)
     rows = [[("DEL-BOM", "AI", 1, f"AI-{i}", "08:00", rng.uniform(2000, 9000), "2024-01-01", f"{s}{i}") for i in range(n)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,13 +52,13 @@ def previous_day_fare(
 ) -> DataFrame:
     """Fare of the same flight, travel date and source on its last earlier scrape day.
 
-    A day is first reduced to its last quote, so the window sees one row per day and
-    copies within a day never meet in one task.
+    One window over a flight's quotes, by a frame that ends the day before: the rows are read
+    and shuffled once. Rows whose key or scrape day is unknown have no earlier day.
     """
     key = [*FLIGHT_KEY, "source"]
     keyed = with_flight_key(df).withColumn("scrape_day", F.to_date(ts))
-    daily = keyed.groupBy(*key, "scrape_day").agg(
-        F.max_by(F.col(fare).cast("double"), F.struct(ts, tie)).alias("day_fare"))
-    earlier = daily.withColumn(name, F.lag("day_fare").over(Window.partitionBy(*key).orderBy("scrape_day")))
-    earlier = earlier.filter(F.col(name).isNotNull()).drop("day_fare")
-    return keyed.join(earlier, [*key, "scrape_day"], "left").drop("scrape_day", "flight_key")
+    before = Window.partitionBy(*key).orderBy(F.unix_date("scrape_day")).rangeBetween(Window.unboundedPreceding, -1)
+    # the last quote of the last day: the greatest (day, time, tie)
+    last = F.max(F.struct("scrape_day", F.col(ts).alias("at"), F.col(tie).alias("tie"), F.col(fare).cast("double").alias("day_fare")))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*key, "scrape_day"]])
+    return keyed.withColumn(name, F.when(known, last.over(before)["day_fare"])).drop("scrape_day", "flight_key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,31 +54,35 @@ def normalize_quotes(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def _rules() -> dict[str, Column]:
+    """Whether a raw quote breaks a rule, by the rule's name and in rule order; never null."""
+    required = ["source", "flight_number", "departure_time", "arrival_time", "travel_date", "raw_total_fare"]
+    broken = {f"missing_{name}": F.col(name).isNull() for name in required}
+    known = {
+        "bad_origin": ~F.col("origin_iata").rlike(text.IATA_PATTERN),
+        "bad_destination": ~F.col("destination_iata").rlike(text.IATA_PATTERN),
+        "same_airport": F.col("origin_iata") == F.col("destination_iata"),
+        "bad_carrier": ~F.length("carrier_code").between(2, 3),
+        "negative_lead_time": F.col("advance_days") < 0,
+        "bad_duration": F.col("duration_minutes") <= 0,
+        "negative_stops": F.col("stops") < 0,
+    }
+    broken |= {name: F.coalesce(rule, F.lit(True)) for name, rule in known.items()}
+    return broken | {"negative_seats": F.coalesce(F.col("seats_available") < 0, F.lit(False))}
+
+
 def violations() -> Column:
     """Names of the rules a raw quote breaks, in rule order; codes as P1 leaves them."""
-    def rule(name: str, broken: Column) -> Column:
-        return F.when(F.coalesce(broken, F.lit(True)), F.lit(name))
-
-    required = ["source", "flight_number", "departure_time", "arrival_time", "travel_date", "raw_total_fare"]
-    rules = [rule(f"missing_{name}", F.col(name).isNull()) for name in required]
-    rules += [
-        rule("bad_origin", ~F.col("origin_iata").rlike(text.IATA_PATTERN)),
-        rule("bad_destination", ~F.col("destination_iata").rlike(text.IATA_PATTERN)),
-        rule("same_airport", F.col("origin_iata") == F.col("destination_iata")),
-        rule("bad_carrier", ~F.length("carrier_code").between(2, 3)),
-        rule("negative_lead_time", F.col("advance_days") < 0),
-        rule("bad_duration", F.col("duration_minutes") <= 0),
-        rule("negative_stops", F.col("stops") < 0),
-        F.when(F.col("seats_available") < 0, F.lit("negative_seats")),
-    ]
-    return F.filter(F.array(*rules), lambda name: name.isNotNull())
+    return F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in _rules().items()]), lambda name: name.isNotNull())
 
 
 def validate_quotes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with ``violations``)."""
-    judged = df.withColumn("violations", violations())
-    broken = F.size("violations") > 0
-    return judged.filter(~broken).drop("violations"), judged.filter(broken)
+    """(valid rows, rejected rows with ``violations``).
+
+    Valid rows are told by the rules alone; their names are put together for rejected rows only.
+    """
+    broken = reduce(lambda a, b: a | b, _rules().values())
+    return df.filter(~broken), df.filter(broken).withColumn("violations", violations())
 
 
 def reconcile_clean(df: DataFrame) -> DataFrame:

@@ -133,3 +133,35 @@ def test_window_keys_and_tags(spark):
     assert (rows[0].sector, rows[0].carrier_code, rows[0].advance_window, rows[0].intent) == ("DEL-BOM", "6E", 7, "carrier_comparison")
     assert (rows[1].origin, rows[1].destination, rows[1].intent) == ("PNQ", "GOI", "simulation")
     assert rows[2].intent == "general_overview"
+
+
+def test_earlier_fare_in_one_shuffle(spark):
+    rows = [(f, d, q, t, fare) for f, d, q, t, fare in (
+        ("6E-1", "2024-03-01", "a", "2024-02-01 08:00:00", 4000.0), ("6E-1", "2024-03-01", "b", "2024-02-01 09:00:00", 4100.0),
+        ("6E1", "2024-03-01", "c", "2024-02-03 07:00:00", 5000.0), ("6E-1", "2024-03-01", "d", "2024-02-03 07:00:00", 5100.0),
+        ("6E-1", "2024-03-01", "e", "2024-02-04 07:00:00", 6000.0), ("6E-1", None, "f", "2024-02-04 07:00:00", 1.0),
+        ("6E-1", None, "g", "2024-02-05 07:00:00", 2.0), ("6E-2", "2024-03-01", "h", None, 3.0), ("6E-2", "2024-03-01", "i", "2024-02-04 07:00:00", None))]
+    df = spark.createDataFrame(rows, "flight_number string, travel_date string, quote_id string, scrape_timestamp string, raw_total_fare double")
+    df = df.select("flight_number", F.to_date("travel_date").alias("travel_date"), "quote_id", F.to_timestamp("scrape_timestamp").alias("scrape_timestamp"),
+                   "raw_total_fare", *[F.lit(v).alias(c) for c, v in (("origin_iata", "DEL"), ("destination_iata", "BOM"), ("carrier_code", "6E"), ("source", "indigo"))])
+    found = dedup.previous_day_fare(df)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r.quote_id: r.prev_fare for r in found.collect()} == {
+        "a": None, "b": None, "c": 4100.0, "d": 4100.0, "e": 5100.0, "f": None, "g": None, "h": None, "i": 3.0}
+
+
+def test_search_patterns_find_what_their_definitions_find(spark):
+    rng = random.Random(6)
+    parts = ["del", "bom", "goa", "to", "-", "/", " ", " ", "t+", "7", "15", "day", "days", "air india", "ai", "ix", "mumbai", "_", "é", "\n", ",", "x9", "air  india"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "q string")
+    pair = F.regexp_extract("q", tagging.SECTOR_FOUND, 0)
+    got = df.select("q", F.left(pair, F.lit(3)).alias("o"), F.right(pair, F.lit(3)).alias("d"), F.regexp_extract("q", tagging.WINDOW_FOUND, 1).alias("w"),
+                    *[tagging.has_word(F.col("q"), w).alias(f"w{i}") for i, w in enumerate(("ai", "air india", "ix", "goa", "mumbai"))],
+                    *[F.regexp_extract("q", tagging.SECTOR, i).alias(f"x{i}") for i in (1, 2)], F.regexp_extract("q", tagging.WINDOW, 1).alias("xw"),
+                    *[F.col("q").rlike(tagging.BEFORE + w + tagging.AFTER).alias(f"x_w{i}") for i, w in enumerate(("ai", "air india", "ix", "goa", "mumbai"))])
+    for r in got.collect():
+        assert (r.o, r.d, r.w) == (r.x1, r.x2, r.xw), r
+        assert [r[f"w{i}"] for i in range(5)] == [r[f"x_w{i}"] for i in range(5)], r
+    plan = tagging.tag_queries(df, "q")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 2 and "lambdafunction" not in plan

@@ -18,10 +18,15 @@ from fareloom.functions.numeric import lookup
 BEFORE, AFTER = "(?:^|[^a-z0-9_])", "(?:[^a-z0-9_]|$)"
 SECTOR = f"{BEFORE}([a-z]{{3}})\\s*(?:-|to|/)\\s*([a-z]{{3}}){AFTER}"
 WINDOW = f"(?:t\\+|{BEFORE})([0-9]{{1,2}})(?:\\s*days?|{AFTER})"
+# the same for the search in tasks: what rejects a place soonest comes first, and neighbours are looked at, not taken
+NOT_BEFORE, NOT_AFTER = "(?<![a-z0-9_])", "(?![a-z0-9_])"
+SECTOR_FOUND = f"(?=[a-z]{{3}}\\s*(?:-|to|/)){NOT_BEFORE}[a-z]{{3}}\\s*(?:-|to|/)\\s*[a-z]{{3}}{NOT_AFTER}"
+WINDOW_FOUND = f"(?=[0-9]){NOT_BEFORE}([0-9]{{1,2}})(?:\\s*days?|{NOT_AFTER})"
 
 
 def whole_word(word: str) -> str:
-    return BEFORE + word.replace("+", "\\+") + AFTER
+    word = word.replace("+", "\\+")
+    return f"{word}{NOT_AFTER}(?<![a-z0-9_]{word})"
 
 
 def has_word(text: Column, word: str) -> Column:
@@ -32,8 +37,8 @@ def has_word(text: Column, word: str) -> Column:
 def _cities(text: Column) -> Column:
     """Airports named in the text, in list order: cities first, then bare codes."""
     words = C.CITY_WORDS + [(row[0].lower(), row[0]) for row in C.AIRPORTS]
-    found = F.array(*[F.when(has_word(text, w), F.lit(iata)) for w, iata in words])
-    return F.array_distinct(F.filter(found, lambda c: c.isNotNull()))
+    found = F.concat_ws(",", *[F.when(has_word(text, w), F.lit(iata)) for w, iata in words])
+    return F.array_distinct(F.split(F.nullif(found, F.lit("")), ","))
 
 
 def tag_queries(df: DataFrame, text_col: str = "text", extra_index_words: Sequence[str] = ()) -> DataFrame:
@@ -41,12 +46,12 @@ def tag_queries(df: DataFrame, text_col: str = "text", extra_index_words: Sequen
     df = df.withColumn("q", F.lower(F.trim(text_col)))
     q = F.col("q")
     airports = [row[0] for row in C.AIRPORTS]
-    pair = [F.upper(F.regexp_extract(q, SECTOR, i)) for i in (1, 2)]
-    df = df.withColumns({"pair_o": pair[0], "pair_d": pair[1], "cities": _cities(q)})
+    df = df.withColumns({"pair": F.upper(F.regexp_extract(q, SECTOR_FOUND, 0)), "cities": _cities(q)})
+    df = df.withColumns({"pair_o": F.left("pair", F.lit(3)), "pair_d": F.right("pair", F.lit(3))})
     known = F.col("pair_o").isin(airports) & F.col("pair_d").isin(airports)
     named = F.col("cities")
     carrier = F.coalesce(*[F.when(has_word(q, w), F.lit(c)) for w, c in C.CARRIER_WORDS])
-    days = F.regexp_extract(q, WINDOW, 1).try_cast("int")
+    days = F.regexp_extract(q, WINDOW_FOUND, 1).try_cast("int")
     df = df.withColumns({
         "origin": F.when(known, F.col("pair_o")).otherwise(F.get(named, F.lit(0))),
         "destination": F.when(known, F.col("pair_d")).otherwise(F.get(named, F.lit(1))),
@@ -67,4 +72,4 @@ def tag_queries(df: DataFrame, text_col: str = "text", extra_index_words: Sequen
     names = {c: n for c, n, *_ in C.CARRIERS}
     return df.withColumns({
         "sector": sector, "intent": intent, "carrier_name": lookup("carrier_code", names, None, "string"),
-    }).drop("q", "pair_o", "pair_d", "cities")
+    }).drop("q", "pair", "pair_o", "pair_d", "cities")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fareloom import constants as C
 from fareloom.functions.text import clock_time, row_key
 from fareloom.operators.normalize import split_total_70_30
+from fareloom.session import computed_once
 from fareloom.sources.schemas import MONEY, RAW_QUOTE
 
 # fixed values: where a payload keeps its flight list, in order of preference
@@ -84,9 +85,8 @@ def flight_list(payload: Column, kind: str) -> Column:
 
 def _raw_quotes(rows: DataFrame, kind: str, fee: Column | None) -> DataFrame:
     """Common end of S12 and S14: fare limits, then P8 to a raw quote."""
-    fare = F.regexp_replace(F.trim("fare_text"), ",", "").try_cast(MONEY.simpleString())
-    rows = rows.withColumn("raw_total_fare", fare).filter(
-        F.col("raw_total_fare").between(C.FARE_FLOOR, C.EXTRACT_FARE_MAX))
+    fare = F.translate(F.trim("fare_text"), ",", "").try_cast(MONEY.simpleString())
+    rows = computed_once(rows, raw_total_fare=fare).filter(F.col("raw_total_fare").between(C.FARE_FLOOR, C.EXTRACT_FARE_MAX))
     own = F.lit(0.0) if kind == "airline" else F.lit(0.0) if fee is None else fee
     rows = split_total_70_30(rows.withColumn("raw_convenience_fee", own))
     have = {
@@ -112,7 +112,7 @@ def quotes_from_json(df: DataFrame, payload: str = "payload", kind: str = "airli
     # one value per page, so that the list is found once and not once for each use; items
     # are parsed one by one, so an item that is no object spoils only itself
     lists = F.transform(F.array(F.col(payload)), lambda p: F.from_json(flight_list(p, kind), "array<string>"))
-    rows = df.select("*", F.posexplode(F.get(lists, F.lit(0))).alias("position", "item"))
+    rows = computed_once(df, **{payload: F.col(payload)}).select(*df.columns, F.posexplode(F.get(lists, F.lit(0))).alias("position", "item"))
     # out of a generator, so that an item is parsed once and not once for each use of a member
     rows = rows.select(*df.columns, "position", F.explode(F.array(_fields(F.col("item"), FLIGHT_FIELDS))).alias("fl"))
     fl = F.col("fl")
@@ -131,7 +131,10 @@ def quotes_from_json(df: DataFrame, payload: str = "payload", kind: str = "airli
         full = (F.when(stated.isNotNull(), F.when(text.startswith(stated), text).otherwise(F.concat_ws("-", stated, text)))
                 .when(parsed.isNotNull(), F.concat_ws("-", parsed, digits)).otherwise(F.concat_ws("-", F.lit("6E"), made_up)))
     price = _first_filled(fl, ["totalFare", "fare", "price", "amount"])
-    nested = F.coalesce(*[_filled(F.get_json_object(price, f"$.{k}")) for k in ("total", "amount", "value")])
+    # each member is looked up once, and only where the price is an object
+    members = F.transform(F.array(*[F.get_json_object("price", f"$.{k}") for k in ("total", "amount", "value")]), _filled)
+    nested = F.get(F.filter(members, lambda value: value.isNotNull()), F.lit(0))
+    rows, price = computed_once(rows, price=price), F.col("price")
     rows = rows.withColumns({
         "carrier_code": carrier, "flight_number": full,
         "departure_time": clock_time(F.coalesce(_first_filled(fl, ["departureTime", "depTime"]), F.lit(DEFAULT_DEPARTS))),
@@ -151,7 +154,7 @@ def embedded_state(html: Column) -> Column:
 
 def quotes_from_embedded_state(df: DataFrame, html: str = "html", kind: str = "airline") -> DataFrame:
     """S13."""
-    return quotes_from_json(df.withColumn("payload", embedded_state(F.col(html))), "payload", kind)
+    return quotes_from_json(computed_once(df, **{html: F.col(html)}).withColumn("payload", embedded_state(F.col(html))), "payload", kind)
 
 
 def _mark_pattern(form: str, word: str) -> str:

@@ -271,3 +271,16 @@ def test_quote_files_are_small_and_read_without_a_shuffle_of_texts(spark, tmp_pa
     assert sorted(json.loads(r.value)["quote_id"] for r in objects.collect()) == sorted(r.quote_id for r in rows.collect())
     for multi_line in (False, True):
         assert quotes.read_quotes(spark, path, multi_line).filter("raw_total_fare = 4500").count() == 100
+
+
+def test_a_page_and_its_prices_are_read_once(spark):
+    page = '<script>window.__INITIAL_STATE__ = {"data":{"flights":[%s]}};</script>'
+    items = ['{"flightNumber":"101","totalFare":{"total":0,"amount":"4,500"}}', '{"flightNo":"AI202","price":"5100"}', '{"fare":{"value":{"x":1}}}', '{"fare":false,"amount":4100.5}']
+    df = spark.createDataFrame([(page % ",".join(items), "AI"), (None, "AI"), ("<p>", "AI")], "html string, own_carrier string")
+    df = df.select(F.upper("html").alias("other"), F.concat("html", F.lit(" ")).alias("html"), "own_carrier", F.lit("x").alias("source"), F.lit("DEL").alias("origin_iata"),
+                   F.lit("BOM").alias("destination_iata"), F.to_date(F.lit("2024-03-01")).alias("travel_date"), F.lit(7).alias("advance_days"))
+    found = pages.quotes_from_embedded_state(df)
+    rows = found.select("position", "flight_number", F.col("raw_total_fare").cast("double").alias("fare")).collect()
+    assert sorted(map(tuple, rows)) == [(0, "AI-101", 4500.0), (1, "AI202", 5100.0), (3, "AI-1003", 4100.5)]
+    plan = found.select("raw_total_fare")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.total") == 1 and plan.count("get_json_object") == 4  # one for the page, three for a price

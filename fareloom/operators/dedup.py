@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from fareloom import constants as C
 from fareloom.functions import text
+from fareloom.operators.joins import MAX_BROADCAST_ROWS
+from fareloom.operators.ranking import HEAVY_ROWS, heavy_hashes
+from fareloom.session import stored
 
 FLIGHT_KEY = ["origin_iata", "destination_iata", "carrier_code", "flight_key", "travel_date"]
 
@@ -19,9 +22,14 @@ def with_flight_key(df: DataFrame) -> DataFrame:
     return df.withColumn("flight_key", text.normalize_flight(F.coalesce("flight_number", F.lit(""))))
 
 
+def flight_columns() -> list[Column]:
+    """``FLIGHT_KEY`` as expressions of a quote's columns."""
+    return [text.normalize_flight(F.coalesce("flight_number", F.lit(""))) if c == "flight_key" else F.col(c) for c in FLIGHT_KEY]
+
+
 def deduplicate_quotes(
     df: DataFrame, fare: str | Column = "raw_total_fare", scope_cols: Sequence[str] = (),
-    order: Sequence[str] = ("scrape_timestamp", "quote_id"),
+    order: Sequence[str] = ("scrape_timestamp", "quote_id"), deal_first: bool = False, most_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Direct source first, then lowest fare, then first seen.
 
@@ -29,14 +37,47 @@ def deduplicate_quotes(
     collapse; pass ``scope_cols=["advance_days"]`` (or a scrape date) to keep them apart.
     ``row_number() = 1`` is cut to one row per key in every map task before the shuffle,
     so a key with a third of all rows costs no more than any other.
+
+    That cut sorts each map task's rows, which spills where a task reads many. With
+    ``deal_first`` whole rows are dealt by key and sorted once, in the smaller parts they are
+    dealt to; keys in hashes of over ``most_rows`` rows, which a count tells first, keep to the cut.
     """
+    names = [*FLIGHT_KEY, *scope_cols]
+    if not deal_first:
+        return _first(with_flight_key(df), names, fare, order)
+    dealt, heavy = heavy_hashes(df, [*flight_columns(), *scope_cols], most_rows)
+    light = df.filter(~dealt.isin(heavy)) if heavy else df
+    light = _first(with_flight_key(light).repartition(*names), names, fare, order)
+    return light.unionByName(_first(with_flight_key(df.filter(dealt.isin(heavy))), names, fare, order)) if heavy else light
+
+
+def _first(keyed: DataFrame, keys: Sequence[str], fare: str | Column, order: Sequence[str]) -> DataFrame:
     agency = F.when(text.source_name("source").isin(C.DIRECT_SOURCES), 0).otherwise(1)
-    keyed = with_flight_key(df)
-    first = Window.partitionBy(*FLIGHT_KEY, *scope_cols).orderBy(agency, fare, *order)
+    first = Window.partitionBy(*keys).orderBy(agency, fare, *order)
     return (keyed.withColumn("choice", F.row_number().over(first)).filter(F.col("choice") == 1)
             .drop("choice", "flight_key"))
 
 
+def settled(df: DataFrame, keys: Sequence[str | Column], settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``settle``, which leaves rows whose ``keys`` occur once as they are, without a shuffle of those.
+
+    Only 64-bit hashes of the keys are shuffled, to count them; rows whose hash occurs again
+    are settled, be their keys equal or not. ``df`` is read several times. Where very many
+    keys repeat, all rows are settled.
+    """
+    at = F.xxhash64(*keys)
+    repeated = df.groupBy(at.alias("key_hash")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key_hash")
+    repeated = stored(repeated, "repeated-keys")
+    found = repeated.count()
+    if found > MAX_BROADCAST_ROWS:
+        return settle(df)
+    if not found:
+        return df
+    hashed, repeated = df.withColumn("key_hash", at), F.broadcast(repeated)
+    once = hashed.join(repeated, "key_hash", "left_anti").drop("key_hash")
+    return once.unionByName(settle(hashed.join(repeated, "key_hash", "left_semi").drop("key_hash")))
+
+
 def cheapest_quote(
     df: DataFrame, keys: Sequence[str], fare: str = "total_fare", tie: str = "quote_id",
 ) -> DataFrame:

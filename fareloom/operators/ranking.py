@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fareloom.operators.joins import join_cohort
 from fareloom.session import stored
 
 SLICES_PER_OCTAVE = 32
@@ -55,9 +56,14 @@ def exact_quantiles(
 
 
 def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count_as: str = "n",
+    counts: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count_as: str = "n", folded: bool = True,
 ) -> DataFrame:
-    """The same from (keys, value, n), one row for each distinct value of a group."""
+    """The same from (keys, value, n), one row for each distinct value of a group.
+
+    Where ``counts`` are not ``folded``, a value may have several rows, whose (signed) counts
+    add up. Then slices are counted in the map tasks, and only values in slices that hold a
+    wanted rank are shuffled; ``counts`` are read twice.
+    """
     keys = list(keys)
     counts = counts.withColumn("slice", value_slice(F.col(value)))
     wanted = _slice_offsets(counts, keys)
@@ -73,7 +79,14 @@ def quantiles_of_counts(
                          & (rank < F.col("rows_before") + F.col("slice_rows")))
     wanted = wanted.filter(hit)
     within = Window.partitionBy(*keys, "slice").orderBy(value)
-    ranked = (counts.join(wanted, [*keys, "slice"])
+    if folded:
+        held = counts.join(wanted, [*keys, "slice"])
+    else:
+        place = [*keys, "slice"]
+        wanted = stored(wanted, "wanted-slices")
+        few = join_cohort(counts, wanted.select(*place), place).groupBy(*place, value).agg(F.sum("n").alias("n")).filter("n <> 0")
+        held = join_cohort(few, wanted, place)
+    ranked = (held
               .withColumn("rank_end", F.col("rows_before") + F.sum("n").over(within))
               .withColumn("rank_start", F.col("rank_end") - F.col("n")))
     aggregates = [F.max("rows").alias(count_as)]
@@ -114,6 +127,12 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, rank_as: str = "
     )
 
 
+def heavy_hashes(df: DataFrame, keys: Sequence[str | Column], most_rows: int = HEAVY_ROWS) -> tuple[Column, list[int]]:
+    """The hash rows are counted by, and which of its values hold over ``most_rows`` rows (a few at most)."""
+    dealt = F.pmod(F.xxhash64(*keys), F.lit(DEALT))
+    return dealt, [r[0] for r in df.groupBy(dealt.alias("dealt")).count().filter(F.col("count") > most_rows).select("dealt").collect()]
+
+
 def occurrence_no(
     df: DataFrame, keys: Sequence[str], day: str, tie: str, name: str = "occurrence", near: Sequence[str] | None = None,
     most_rows: int = HEAVY_ROWS,
@@ -126,8 +145,7 @@ def occurrence_no(
     are numbered stretch by stretch, so no task gets a group of any size.
     """
     near = list(near or keys)
-    dealt = F.pmod(F.xxhash64(*near), F.lit(DEALT))
-    heavy = [r[0] for r in df.groupBy(dealt.alias("dealt")).count().filter(F.col("count") > most_rows).select("dealt").collect()]
+    dealt, heavy = heavy_hashes(df, near, most_rows)
     light = df.filter(~dealt.isin(heavy)) if heavy else df
     group = Window.partitionBy(*keys).orderBy(day, tie)
     light = light.repartition(*near).withColumn(name, F.row_number().over(group).cast("bigint"))

@@ -47,11 +47,21 @@ def shard() -> Column:
     return F.pmod(F.xxhash64("sector", F.col("advance_days").cast("int"), F.col("weekday").cast("int")), F.lit(SHARDS)).cast("int")
 
 
+def fare_rows(facts: DataFrame, fare: str = "total_fare") -> DataFrame:
+    """``COHORT, fare, n``: a row with a count of one for each fare, not folded."""
+    rows = facts.select("sector", F.col("advance_days").cast("int").alias("advance_days"), F.weekday("travel_date").cast("int").alias("weekday"),
+                        F.col(fare).cast("double").alias("fare"), F.lit(1).cast("long").alias("n"))
+    return rows.filter("fare is not null")
+
+
 def cohort_fares(facts: DataFrame, fare: str = "total_fare") -> DataFrame:
     """``COHORT, fare, n``: equal fares of a cohort folded."""
-    rows = facts.select("sector", F.col("advance_days").cast("int").alias("advance_days"), F.weekday("travel_date").cast("int").alias("weekday"),
-                        F.col(fare).cast("double").alias("fare"))
-    return rows.filter("fare is not null").groupBy(*COHORT, "fare").agg(F.count(F.lit(1)).alias("n"))
+    return fare_rows(facts, fare).groupBy(*COHORT, "fare").agg(F.sum("n").alias("n"))
+
+
+def id_rows(facts: DataFrame, month: Column) -> DataFrame:
+    """``quote_id, travel_month, n``: a row with a count of one for each fact, not folded."""
+    return facts.select("quote_id", month.alias("travel_month"), F.lit(1).cast("long").alias("n"))
 
 
 def summed(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -107,11 +117,14 @@ class Ledger:
     def _write(self, name: str, changes: DataFrame, generation: int, merge: int) -> None:
         folder = "bucket" if name == "ids" else "shard"
         rows = changes.withColumn(folder, bucket() if name == "ids" else shard())
-        rows.repartition(folder).write.mode("overwrite").partitionBy(folder).parquet(f"{self.root}/{name}/generation={generation}/merge={merge}")
+        # each task writes to the folders as the fold before has dealt the rows, so they are shuffled once
+        rows.write.mode("overwrite").partitionBy(folder).parquet(f"{self.root}/{name}/generation={generation}/merge={merge}", compression="zstd")
 
     def months_of(self, ids: DataFrame) -> DataFrame:
         """``quote_id, travel_month`` of those of ``ids`` that the store holds; their buckets are read only."""
-        wanted = ids.select("quote_id").distinct()
+        if not exists(self.spark, f"{self.root}/ids/generation={self.last.generation}"):  # a new store: nothing to look ids up in
+            return self.spark.createDataFrame([], "quote_id string, travel_month string")
+        wanted = ids.select("quote_id")
         held = self._changes("ids").filter(present(F.col("bucket"), wanted.select(bucket())))
         held = held.join(wanted, "quote_id", "left_semi")
         return summed([held.select("quote_id", "travel_month", "n")], ["quote_id", "travel_month"]).drop("n")
@@ -127,7 +140,7 @@ class Ledger:
         generation, merge = (self.last.generation + 1, self.last.merge + 1) if self.last else (0, 0)
         if facts is None:
             return self._note(merge=merge, step=DONE, generation=generation, folders=0, base_rows=0, change_rows=0, months=[])
-        self._write("ids", facts.groupBy("quote_id", F.col(month).alias("travel_month")).agg(F.count(F.lit(1)).alias("n")), generation, merge)
+        self._write("ids", summed([id_rows(facts, F.col(month))], ["quote_id", "travel_month"]), generation, merge)
         self._write("fares", cohort_fares(facts), generation, merge)
         rows = self.spark.read.schema(IDS).parquet(f"{self.root}/ids/generation={generation}").count()
         self._note(merge=merge, step=DONE, generation=generation, folders=1, base_rows=rows, change_rows=0, months=[])
@@ -139,15 +152,17 @@ class Ledger:
 
     def commit(self, before: DataFrame, after: DataFrame, months: list[str], replace: Callable[[DataFrame, list[str]], None]) -> None:
         """Puts ``after`` in the place of ``before``, which are all rows of ``months``."""
-        merge, month = self.last.merge + 1, F.date_format("travel_date", "yyyy-MM").alias("travel_month")
+        merge, month = self.last.merge + 1, F.date_format("travel_date", "yyyy-MM")
         staged = f"{self.root}/staged/merge={merge}"
-        after.write.mode("overwrite").parquet(staged)
+        after.write.mode("overwrite").parquet(staged, compression="zstd")
         after = self.spark.read.schema(after.schema).parquet(staged)
-        places = lambda rows: rows.groupBy("quote_id", month).agg(F.count(F.lit(1)).alias("n"))
-        self._write("ids", summed([places(after), negative(places(before))], ["quote_id", "travel_month"]), self.last.generation, merge)
-        self._write("fares", summed([cohort_fares(after), negative(cohort_fares(before))], [*COHORT, "fare"]), self.last.generation, merge)
+        # both sides are folded together, in one shuffle
+        self._write("ids", summed([id_rows(after, month), negative(id_rows(before, month))], ["quote_id", "travel_month"]), self.last.generation, merge)
+        self._write("fares", summed([fare_rows(after), negative(fare_rows(before))], [*COHORT, "fare"]), self.last.generation, merge)
         rows = self.spark.read.schema("n long").parquet(f"{self.root}/ids/generation={self.last.generation}/merge={merge}").count()
-        self._note(merge=merge, step=READY, folders=self.last.folders + 1, change_rows=self.last.change_rows + rows, months=months)
+        # the first changes of a generation are what it begins with: there is nothing to fold them into
+        base, changes = (self.last.base_rows, self.last.change_rows + rows) if self.last.folders else (rows, 0)
+        self._note(merge=merge, step=READY, folders=self.last.folders + 1, base_rows=base, change_rows=changes, months=months)
         self.finish(replace, after)
 
     def finish(self, replace: Callable[[DataFrame, list[str]], None], like: DataFrame) -> None:

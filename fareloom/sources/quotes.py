@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from fareloom import constants as C
 from fareloom.functions.numeric import to_places
-from fareloom.operators.dedup import deduplicate_quotes
+from fareloom.operators.dedup import deduplicate_quotes, flight_columns, settled
 from fareloom.operators.normalize import normalize_quotes
 from fareloom.operators.quality import clean_rows, stored_form
 from fareloom.session import stored
@@ -159,14 +159,16 @@ def to_facts(raw: DataFrame) -> DataFrame:
 
 
 def upsert_quotes(existing: DataFrame, batch: DataFrame, key: str = "quote_id",
-                  order: tuple[str, ...] = ("scrape_timestamp",)) -> DataFrame:
+                  order: tuple[str, ...] = ("scrape_timestamp",), count_first: bool = False) -> DataFrame:
     """Stored ∪ batch, one row per key; the batch wins, then the newest.
 
-    Repeats are cut to one row per key in each map task before the shuffle.
+    Repeats are cut to one row per key in each map task before the shuffle. With
+    ``count_first`` keys are counted before, and only rows of repeated ones are shuffled.
     """
     both = existing.withColumn("batch_no", F.lit(0)).unionByName(batch.withColumn("batch_no", F.lit(1)))
     newest = Window.partitionBy(key).orderBy(F.desc("batch_no"), *[F.desc(c) for c in order])
-    return both.withColumn("place", F.row_number().over(newest)).filter("place = 1").drop("place", "batch_no")
+    first = lambda rows: rows.withColumn("place", F.row_number().over(newest)).filter("place = 1").drop("place")
+    return (settled(both, [key], first) if count_first else first(both)).drop("batch_no")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -193,10 +195,11 @@ def _write_months(facts: DataFrame, path: str) -> None:
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(STORE_PARTITION).parquet(path))
 
 
-def one_per_flight(facts: DataFrame) -> DataFrame:
+def one_per_flight(facts: DataFrame, count_first: bool = False) -> DataFrame:
     """W2 on stored facts; a fare put in for a sold-out quote counts as the missing one it was."""
     filled = F.col("is_sold_out") & (F.col("total_fare") == C.SOLD_OUT_FARE)
-    return deduplicate_quotes(facts, F.when(filled, 0.0).otherwise(F.col("total_fare")))
+    first = lambda rows: deduplicate_quotes(rows, F.when(filled, 0.0).otherwise(F.col("total_fare")))
+    return settled(facts, flight_columns(), first) if count_first else first(facts)
 
 
 def _replace_months(path: str) -> Callable[[DataFrame, list[str]], None]:
@@ -219,23 +222,25 @@ def open_store(spark: SparkSession, path: str) -> Ledger:
     return ledger
 
 
-def merge_store(spark: SparkSession, path: str, batch: DataFrame, per_flight: bool = False) -> None:
+def merge_store(spark: SparkSession, path: str, batch: DataFrame, per_flight: bool = False, cheap: bool = False) -> None:
     """S10 on disk: only months the batch touches are read and rewritten.
 
     A month also counts as touched when it holds a row the batch replaces; the id index tells
     which, from the buckets of the batch's ids. With ``per_flight`` the merged rows are
     reduced to one per flight (W2), as the quotes of a flight may come in several batches. A
     store that does not exist yet is made. A merge that fails is finished by the next one or
-    has left no trace (:mod:`fareloom.sources.ledger`).
+    has left no trace (:mod:`fareloom.sources.ledger`). A batch is written to the scratch
+    folder first, unless it is ``cheap`` to compute several times, and always alike, from files.
     """
     ledger = open_store(spark, path)
-    batch = stored(batch.select(*CLEAN_QUOTE.fieldNames()), "batch")  # used three times below
+    batch = batch.select(*CLEAN_QUOTE.fieldNames())
+    batch = batch if cheap else stored(batch, "batch")  # used several times below
     month = F.date_format("travel_date", "yyyy-MM").alias(STORE_PARTITION)
     touched = batch.select(month).union(ledger.months_of(batch).select(STORE_PARTITION))
     months = sorted(r[0] for r in touched.distinct().collect() if r[0])  # as many as there are months at most
     kept = store_months(spark, path, months).drop(STORE_PARTITION)
-    merged = upsert_quotes(kept, batch.select(*kept.columns))
-    ledger.commit(kept, one_per_flight(merged) if per_flight else merged, months, _replace_months(path))
+    merged = upsert_quotes(kept, batch.select(*kept.columns), count_first=True)
+    ledger.commit(kept, one_per_flight(merged, count_first=True) if per_flight else merged, months, _replace_months(path))
 
 
 def store_months(spark: SparkSession, path: str, months: list[str]) -> DataFrame:

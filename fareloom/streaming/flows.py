@@ -17,7 +17,7 @@ from fareloom.functions.numeric import to_places
 from fareloom.operators import dedup, decompose, quality
 from fareloom.operators.normalize import handle_sold_out, normalize_quotes, validate_quotes
 from fareloom.session import scratch_path, stored
-from fareloom.sources.ledger import bucket, cohort_fares, exists, present, summed
+from fareloom.sources.ledger import bucket, exists, fare_rows, present
 from fareloom.sources.quotes import merge_store, stored_fares, stored_form
 from fareloom.sources.schemas import RAW_QUOTE_FILE
 from fareloom.sources.weights import attach_dims
@@ -138,13 +138,13 @@ def upsert_batches(store: str, cohort_history: bool = True, on_batch: Callable[[
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         valid, _ = validate_quotes(normalize_quotes(batch))
-        rows = stored(quality.with_cohort(dedup.deduplicate_quotes(valid)), "micro-batch")
-        counts = cohort_fares(rows, "raw_total_fare")
+        rows = stored(quality.with_cohort(dedup.deduplicate_quotes(valid, deal_first=True)), "micro-batch", "zstd")
+        counts = fare_rows(rows, "raw_total_fare")
         if cohort_history:
-            counts = summed([counts, stored_fares(spark, store, rows)], [*quality.COHORT, "fare"])
-        framed = quality.cohort_frame(rows, quality.cohort_stats_of_counts(counts))
+            counts = counts.unionByName(stored_fares(spark, store, rows))
+        framed = quality.cohort_frame(rows, quality.cohort_stats_of_counts(counts, folded=False))
         facts = stored_form(attach_dims(quality.clean_rows(framed)))
-        merge_store(spark, store, facts, per_flight=True)
+        merge_store(spark, store, facts, per_flight=True, cheap=True)
         if on_batch is not None:
             on_batch(facts, batch_id)
     return run

@@ -97,3 +97,51 @@ def test_upserts_agree_over_one_four_and_twenty_batches(spark, sample, tmp_path)
         got[n] = sorted(map(tuple, rows.select("quote_id", "total_fare").collect()))
         in_step(spark, store)
     assert all(rows == got[1] for rows in got.values()) and got[1]
+
+
+def test_a_first_merge_folds_and_shuffles_no_more_than_it_must(spark, sample, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "LEAST_FOLD", 10)
+    folds, settles = [], []
+    fold, first = ledger.Ledger._fold, quotes.deduplicate_quotes
+    monkeypatch.setattr(ledger.Ledger, "_fold", lambda self: (folds.append(self.last.merge), fold(self)))
+    monkeypatch.setattr(quotes, "deduplicate_quotes", lambda rows, *a: settles.append(rows.count()) or first(rows, *a))
+    store, facts = str(tmp_path / "store"), quotes.one_per_flight(some_facts(spark, sample)).cache()
+    settles.clear()
+    quotes.merge_store(spark, store, facts, per_flight=True)
+    assert folds == [] and settles == []  # before, a lone folder was folded and all rows went through both windows
+    assert in_step(spark, store) == facts.count()
+    # the same flights under other ids for two of them: only those rows meet
+    twice = facts.orderBy("quote_id").limit(2).withColumns({"quote_id": F.concat("quote_id", F.lit("-low")), "total_fare": F.col("total_fare") - 1})
+    quotes.merge_store(spark, store, twice.unionByName(twice), per_flight=True)
+    assert settles == [4] and in_step(spark, store) == facts.count()
+
+
+@pytest.mark.parametrize("most", [0, 1, 100_000])
+def test_settling_only_repeated_keys_equals_settling_all(spark, monkeypatch, most):
+    from fareloom.operators import dedup
+    monkeypatch.setattr(dedup, "MAX_BROADCAST_ROWS", most)
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 3), (None, 4), ("c", None)], "k string, v int")
+    least = lambda df: df.groupBy("k").agg(F.min("v").alias("v"))
+    got = dedup.settled(rows, ["k"], least).collect()
+    assert sorted(map(str, got)) == sorted(map(str, least(rows).collect()))
+
+
+def test_quantiles_of_unfolded_signed_counts_equal_folded_ones(spark):
+    from fareloom.operators.ranking import quantiles_of_counts
+    rows = [("x", float(v % 17), 1) for v in range(60)] + [("x", 3.0, -1), ("x", 500.0, 2), ("x", 500.0, -2), ("y", 1.0, 1), ("y", 1.0, -1), (None, 2.0, 1)]
+    rows += [("z", float(-v * v), 3) for v in range(9)]
+    parts = spark.createDataFrame(rows, "k string, v double, n long").repartition(3)
+    probs = {"low": 0.25, "mid": 0.5, "high": 0.75}
+    want = quantiles_of_counts(ledger.summed([parts], ["k", "v"]), ["k"], "v", probs).collect()
+    assert sorted(quantiles_of_counts(parts, ["k"], "v", probs, folded=False).collect()) == sorted(want) and len(want) == 2
+
+
+def test_dealing_quotes_first_keeps_the_same_quotes_and_sorts_no_map_task(spark, sample):
+    from fareloom.operators import dedup
+    valid = tables.valid_quotes(spark, sample)
+    want = sorted(map(tuple, dedup.deduplicate_quotes(valid).select("quote_id", "source").collect()))
+    for most in (0, 10, 1_000_000):
+        got = dedup.deduplicate_quotes(valid, deal_first=True, most_rows=most).select("quote_id", "source")
+        assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan.split("Initial Plan")[-1].split("Exchange")[1]

@@ -123,3 +123,21 @@ def test_a_hot_key_is_never_gathered(spark, module, size, gram):
     want = {t: m.tolist() for t, m in zip(docs, plain_marks([split(t) for t in docs], size)) if m.any()}
     got = {bytes(r.text).decode(): windows.covered(len(split(bytes(r.text).decode())), r.spans, size).tolist() for r in found.collect()}
     assert got == want and len(got) > 60
+
+
+def test_suffix_arrays_of_bytes_never_scan_in_python(monkeypatch):
+    """Long repeats, whose order took several levels of a scan by single characters."""
+    def fails(*_):
+        raise AssertionError("a scan by single characters")
+
+    monkeypatch.setattr(suffixes, "_induce_by_scan", fails)
+    rng = random.Random(3)
+    passage = bytes(rng.choice(b"abc ") for _ in range(700))
+    texts_ = [passage * 3, passage[5:] + b"x" + passage, b"\0".join([passage] * 2), b"ab" * 400, b"a" * 300, b"abc" * 99 + b"abd" * 99, b"", b"b"]
+    texts_ += [bytes(rng.choice(b"ab") for _ in range(n)) for n in (2, 3, 17, 900)]
+    for b in texts_:
+        t = np.append(np.frombuffer(b, np.uint8).astype(np.int64) + 1, 0)
+        assert suffixes.suffix_array(t, 257).tolist() == [len(b), *sorted(range(len(b)), key=lambda i: b[i:])]
+    ranks = np.array([2, 0, 2, 0, 2, 0]) + 1  # a string whose least character stands at its end only
+    ranks[-1] = 0
+    assert suffixes._ordered(ranks).tolist() == sorted(range(6), key=lambda i: ranks[i:].tolist())

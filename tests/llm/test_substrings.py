@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -141,3 +142,24 @@ def test_suffix_arrays_of_bytes_never_scan_in_python(monkeypatch):
     ranks = np.array([2, 0, 2, 0, 2, 0]) + 1  # a string whose least character stands at its end only
     ranks[-1] = 0
     assert suffixes._ordered(ranks).tolist() == sorted(range(6), key=lambda i: ranks[i:].tolist())
+
+
+def test_op6_takes_passages_of_over_50_words_from_400_bytes_on(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    docs, want = [], {}
+    for size in (357, 399, 400, 401, 600):
+        passage = text(90)[:size]
+        assert len(passage.split()) > 50
+        for before, after in ("<>", "[]"):  # what stands beside the passage differs, so no more than it repeats
+            head, tail = f"{text(80)} {before}", f"{after} {text(80)}"
+            gone = size >= 400
+            rest = head + tail if gone else head + passage + tail
+            want[len(docs)] = (len(head + passage + tail), size * gone, int(gone), hashlib.sha256(rest.encode()).hexdigest())
+            docs.append(head + passage + tail)
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op6_suffix_array_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == want
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(queries.BYTES_SQL).fetchall()} == want
